@@ -16,7 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ROWS_PER_BUCKET = 250_000
+DEFAULT_ROWS_PER_BUCKET = 20_000
 MAX_BUCKETS = 100_000  # bound on the broadcast bucket table
 
 
@@ -28,7 +28,9 @@ def bucket_cuts(keys: DataFrame, key: str, rows_per_bucket: int = DEFAULT_ROWS_P
     Catalyst prunes everything else.  Returns at most ``MAX_BUCKETS-1`` values.
     """
     n = keys.select(F.count(F.lit(1))).first()[0]
-    nb = max(1, min(MAX_BUCKETS, math.ceil(n / max(1, rows_per_bucket))))
+    # enough buckets to bound each window task, and at least a few per core
+    floor_nb = min(n, 4 * keys.sparkSession.sparkContext.defaultParallelism)
+    nb = max(1, min(MAX_BUCKETS, max(math.ceil(n / max(1, rows_per_bucket)), floor_nb)))
     if nb == 1:
         return []
     probs = [i / nb for i in range(1, nb)]
@@ -39,8 +41,8 @@ def bucket_cuts(keys: DataFrame, key: str, rows_per_bucket: int = DEFAULT_ROWS_P
 
 def with_bucket(df: DataFrame, key: str, cuts: list[float], out: str = "_bucket") -> DataFrame:
     """Adds an integer bucket column (monotone in ``key``), binary search in the JVM."""
-    if not cuts:
-        return df.withColumn(out, F.lit(0))
+    # Always a computed column: a literal bucket would be constant-folded into
+    # a nested-loop join and a single-partition window.
     tmp = f"{out}_key"
     b = Bucketizer(splits=[-math.inf] + cuts + [math.inf], inputCol=tmp, outputCol=out,
                    handleInvalid="keep")

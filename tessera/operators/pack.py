@@ -24,7 +24,9 @@ def token_offsets(tokens: DataFrame, order_key: str = "doc_id", ids_col: str = "
     token table itself may be expensive to recompute).  Empty documents are
     dropped: they contribute nothing to the stream.
     """
-    sized = tokens.withColumn("n_tokens", F.size(ids_col).cast("long")).filter(F.col("n_tokens") > 0)
+    # read twice (bucket totals, then the window): persist so the tokenizer runs once
+    sized = (tokens.withColumn("n_tokens", F.size(ids_col).cast("long")).filter(F.col("n_tokens") > 0)
+             .persist(StorageLevel.MEMORY_AND_DISK))
     if cuts is None:
         cuts = prefix.bucket_cuts(keys if keys is not None else tokens.select(order_key), order_key)
     return prefix.running_total(sized, order_key, "n_tokens", "start", cuts)
