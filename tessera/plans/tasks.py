@@ -1 +1,277 @@
-"""placeholder"""
+"""Task tables from ``documents`` (one sample per document,
+words from the trained vocabulary) and scoring of a generations table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.hashing import sql_hash32, sql_randint, sql_uniform
+from ..operators import scoring as E
+from ..operators import tasks as G
+from ..operators import tokenize
+from ..sources.corpus import read_table
+from . import corpus as C
+from .registry import register
+
+S = G.SEED
+
+
+def H(seed, tag, *cols):
+    return sql_hash32(seed, f"'{tag}'", *cols)
+
+
+def U(seed, tag, *cols):
+    return sql_uniform(seed, f"'{tag}'", *cols)
+
+
+def RI(lo, hi, seed, tag, *cols):
+    return sql_randint(lo, hi, seed, f"'{tag}'", *cols)
+
+NUM_PAIRS = 50
+HOPS = 2
+NUM_LAYERS = 6
+RUN = "ablation"
+
+
+def nl(s: str) -> str:
+    """SQL literal with newlines as chr(10)."""
+    parts = s.split("\n")
+    return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in parts)
+
+
+def samples(spark, sf):
+    return read_table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"))
+
+
+def words(spark, sf):
+    return tokenize.eligible_words(C.vocab_df(spark, sf))
+
+
+SQL_BASE = "WITH " + C.sql_vocab() + """,
+samples AS (SELECT doc_id AS sample_id FROM documents),
+words AS (SELECT DISTINCT token AS word FROM vocab WHERE regexp_full_match(token, '[a-zA-Z]{3,}')),
+widx AS (SELECT CAST(row_number() OVER (ORDER BY word) - 1 AS BIGINT) AS w_idx, word FROM words),
+nw AS (SELECT count(*) AS n FROM words)"""
+
+
+def sql_kv(tag: str, vmax: int, n: int = NUM_PAIRS) -> str:
+    return f""",
+{tag}_draws AS (SELECT s.sample_id, t.j, {H(S, tag, 's.sample_id', 't.j')} % (SELECT n FROM nw) AS w_idx
+               FROM samples s, range({2 * n}) t(j)),
+{tag}_first AS (SELECT sample_id, w_idx, min(j) AS j FROM {tag}_draws GROUP BY sample_id, w_idx),
+{tag}_slots AS (SELECT * FROM (SELECT sample_id, w_idx, row_number() OVER (PARTITION BY sample_id ORDER BY j) - 1 AS slot
+                FROM {tag}_first) WHERE slot < {n}),
+{tag}_kv AS (SELECT s.sample_id, s.slot, w.word, {RI(0, vmax, S, tag + '-v', 's.sample_id', 's.slot')} AS v
+             FROM {tag}_slots s JOIN widx w USING (w_idx))"""
+
+
+def pool_word_sql(i: str) -> str:
+    return f"(repeat(chr(CAST(97 + ({i}) % 26 AS INTEGER)), 2) || CASE WHEN ({i}) // 26 = 0 THEN '' ELSE CAST(({i}) // 26 AS VARCHAR) END)"
+
+
+# ---- G SQL blocks (each defines <name>_out(task, sample_id, prompt, answer)) ----
+
+SQL_G2 = sql_kv("ret", 100) + f""",
+ret_out AS (
+  SELECT '{G.RETRIEVAL}' AS task, k.sample_id,
+    {nl("Memorize the following dictionary:\n")} || string_agg(k.word || ':' || k.v, chr(10) ORDER BY k.slot)
+      || {nl(chr(10) + "The value of the key '")} || max(CASE WHEN k.slot = {H(S, 'ret-q', 'k.sample_id')} % {NUM_PAIRS} THEN k.word END) || ''' is' AS prompt,
+    CAST(max(CASE WHEN k.slot = {H(S, 'ret-q', 'k.sample_id')} % {NUM_PAIRS} THEN k.v END) AS VARCHAR) AS answer
+  FROM ret_kv k GROUP BY k.sample_id)"""
+
+SQL_G3 = sql_kv("ar", 9) + f""",
+ar_q AS (SELECT * FROM (SELECT sample_id, slot, word, v,
+           row_number() OVER (PARTITION BY sample_id ORDER BY {H(S, 'ar-q', 'sample_id', 'slot')}, slot) AS qn FROM ar_kv) WHERE qn <= 3),
+ar_out AS (
+  SELECT '{G.AR}' AS task, k.sample_id,
+    {nl("Given the following key-value pairs:\n")} || string_agg(k.word || ': ' || k.v, chr(10) ORDER BY k.slot)
+      || {nl(chr(10) + "What is the value of ")} || (SELECT string_agg(q.word, ' + ' ORDER BY q.qn) FROM ar_q q WHERE q.sample_id = k.sample_id) || '?' AS prompt,
+    CAST((SELECT sum(q.v) FROM ar_q q WHERE q.sample_id = k.sample_id) AS VARCHAR) AS answer
+  FROM ar_kv k GROUP BY k.sample_id)"""
+
+VT_CHAINS, VT_HOPS, VT_NOISE = 2, 2, 1.0
+_h1 = VT_HOPS + 1
+_nstat = VT_CHAINS * _h1
+_nnoise = int(round(VT_NOISE * _nstat))
+_letters = "[" + ",".join(f"'{x}'" for x in G.DISTRACTOR_LETTERS) + "]"
+_nletters = "[" + ",".join(f"'{x}'" for x in G.NOISE_LETTERS) + "]"
+
+
+def _ne(tag: str, *parts) -> str:
+    r = RI(10000, 99998, S, tag, *parts)
+    return f"(CASE WHEN {r} >= t.target THEN {r} + 1 ELSE {r} END)"
+
+
+SQL_G6 = f""",
+vt_t AS (SELECT sample_id, {RI(10000, 99999, S, 'vt-t', 'sample_id')} AS target FROM samples),
+vt_items AS (
+  SELECT t.sample_id, c.c * {_h1} + (i.i - 1) AS idx,
+    'VAR ' || (CASE WHEN c.c = 0 THEN 'X' ELSE {_letters}[((c.c - 1) % {len(G.DISTRACTOR_LETTERS)}) + 1] END) || i.i || ' = ' ||
+    CASE WHEN i.i = 1 THEN CAST(CASE WHEN c.c = 0 THEN t.target ELSE {_ne('vt-d', 't.sample_id', 'c.c')} END AS VARCHAR)
+         ELSE (CASE WHEN c.c = 0 THEN 'X' ELSE {_letters}[((c.c - 1) % {len(G.DISTRACTOR_LETTERS)}) + 1] END) || (i.i - 1) END AS item
+  FROM vt_t t, range({VT_CHAINS}) c(c), range(1, {_h1 + 1}) i(i)
+  UNION ALL
+  SELECT t.sample_id, {_nstat} + k.k AS idx,
+    CASE WHEN {U(S, 'vt-nd', 't.sample_id', 'k.k')} < 0.5 THEN '......'
+         ELSE 'VAR ' || {_nletters}[{H(S, 'vt-nl', 't.sample_id', 'k.k')} % 7 + 1] || {RI(1, 9, S, 'vt-ni', 't.sample_id', 'k.k')}
+              || ' = ' || {_ne('vt-nv', 't.sample_id', 'k.k')} END AS item
+  FROM vt_t t, range({_nnoise}) k(k)),
+vt_out AS (
+  SELECT '{G.VT}' AS task, i.sample_id,
+    ' ...... ' || string_agg(i.item, ' ...... ' ORDER BY {H(S, 'vt-sh', 'i.sample_id', 'i.idx')}, i.idx) || ' ......' || chr(10)
+      || 'Find all variables that are assigned the value ' || max(t.target) || '.' || chr(10) || 'Answer:' AS prompt,
+    '{" ".join(f"X{i}" for i in range(1, _h1 + 1))}' AS answer
+  FROM vt_items i JOIN vt_t t USING (sample_id) GROUP BY i.sample_id)"""
+
+CW, UCW, FCW, FUCW = 10, 100, 2, 1
+_V = CW + UCW + 16
+SQL_G7 = f""",
+cw_perm AS (SELECT * FROM (SELECT s.sample_id, i.i,
+              row_number() OVER (PARTITION BY s.sample_id ORDER BY {H(S, 'cw-p', 's.sample_id', 'i.i')}, i.i) AS p
+            FROM samples s, range({_V}) i(i)) WHERE p <= {CW + UCW}),
+cw_bag AS (SELECT c.sample_id, c.i, r.r, c.p FROM cw_perm c, range({max(FCW, FUCW)}) r(r)
+           WHERE r.r < CASE WHEN c.p <= {CW} THEN {FCW} ELSE {FUCW} END),
+cw_out AS (
+  SELECT '{G.CWE}' AS task, b.sample_id,
+    {nl("Given the following list of words separated by spaces:\n")}
+      || string_agg({pool_word_sql('b.i')}, ' ' ORDER BY {H(S, 'cw-b', 'b.sample_id', 'b.i', 'b.r')}, b.i, b.r)
+      || {nl(f"\nWhat are the {CW} most common words in the above list?\nAnswer:")} AS prompt,
+    (SELECT string_agg({pool_word_sql('c.i')}, ' ' ORDER BY {pool_word_sql('c.i')}) FROM cw_perm c
+      WHERE c.sample_id = b.sample_id AND c.p <= {CW}) AS answer
+  FROM cw_bag b GROUP BY b.sample_id)"""
+
+FW_ALPHA, FW_V, FW_N = 2.0, 200, 400
+_cdf = G.zipf_cdf(FW_ALPHA, FW_V)
+SQL_G8 = f""",
+fw_cdf AS (SELECT * FROM (VALUES {", ".join(f"({k + 1}, {repr(c)})" for k, c in enumerate(_cdf))}) t(k, c)),
+fw_draw AS (SELECT s.sample_id, i.i, {U(S, 'fw', 's.sample_id', 'i.i')} AS u FROM samples s, range({FW_N}) i(i)),
+fw_rank AS (SELECT d.sample_id, d.i, coalesce(c.k, 0) AS r0 FROM fw_draw d ASOF LEFT JOIN fw_cdf c ON d.u >= c.c),
+fw_words AS (SELECT sample_id, i, {pool_word_sql('r0')} AS word FROM fw_rank),
+fw_top AS (SELECT sample_id, string_agg(word, ' ' ORDER BY c DESC, word) AS answer FROM (
+             SELECT * FROM (SELECT sample_id, word, count(*) AS c,
+                    row_number() OVER (PARTITION BY sample_id ORDER BY count(*) DESC, word) AS rn
+                    FROM fw_words GROUP BY sample_id, word) WHERE rn <= 3) GROUP BY sample_id),
+fw_out AS (
+  SELECT '{G.FWE}' AS task, w.sample_id,
+    {nl("Given the following list of words separated by spaces:\n")} || string_agg(w.word, ' ' ORDER BY w.i)
+      || {nl(chr(10) + "What are the 3 most frequently appeared words in the above coded text?" + chr(10) + "Answer:")} AS prompt,
+    max(t.answer) AS answer
+  FROM fw_words w JOIN fw_top t USING (sample_id) GROUP BY w.sample_id)"""
+
+SQL_G9 = f""",
+names AS (SELECT DISTINCT word FROM words WHERE regexp_full_match(word, '[A-Za-z]{{3,10}}')),
+nidx AS (SELECT CAST(row_number() OVER (ORDER BY word) - 1 AS BIGINT) AS w_idx, word FROM names),
+nn AS (SELECT count(*) AS n FROM names),
+pb_s AS (SELECT sample_id, {RI(8, 30, S, 'pb-len', 'sample_id')} AS length FROM samples),
+pb_e AS (SELECT s.sample_id, s.length, e.e AS slot,
+           {H(S, 'pb-f', 's.sample_id', 'e.e')} % (SELECT n FROM nn) AS fi,
+           {H(S, 'pb-l', 's.sample_id', 'e.e')} % (SELECT n FROM nn) AS li,
+           CAST({RI(6, 9, S, 'pb-p0', 's.sample_id', 'e.e')} AS VARCHAR)
+             || lpad(CAST({RI(0, 999999999, S, 'pb-p', 's.sample_id', 'e.e')} AS VARCHAR), 9, '0') AS phone
+         FROM pb_s s, range(30) e(e) WHERE e.e < s.length),
+pb_n AS (SELECT e.*, upper(substr(f.word, 1, 1)) || lower(substr(f.word, 2)) || ' ' || upper(substr(l.word, 1, 1)) || lower(substr(l.word, 2)) AS name
+         FROM pb_e e JOIN nidx f ON f.w_idx = e.fi JOIN nidx l ON l.w_idx = e.li),
+pb_q AS (SELECT * FROM (SELECT sample_id, slot, name, phone,
+           row_number() OVER (PARTITION BY sample_id ORDER BY {H(S, 'pb-q', 'sample_id', 'slot')}, slot) AS qn FROM pb_n) WHERE qn <= 3),
+pb_out AS (
+  SELECT '{G.PHONE_BOOK}' AS task, n.sample_id,
+    string_agg(n.name || ': ' || n.phone, chr(10) ORDER BY n.slot) || chr(10) || chr(10)
+      || max(CASE WHEN q.qn = 1 THEN q.name || ': ' || q.phone END) || chr(10)
+      || max(CASE WHEN q.qn = 2 THEN q.name || ': ' || q.phone END) || chr(10) || chr(10)
+      || max(CASE WHEN q.qn = 3 THEN q.name END) || ':' AS prompt,
+    max(CASE WHEN q.qn = 3 THEN q.phone END) AS answer
+  FROM pb_n n LEFT JOIN pb_q q ON q.sample_id = n.sample_id AND q.slot = n.slot
+  GROUP BY n.sample_id)"""
+
+ALL_G = SQL_G2 + SQL_G3 + SQL_G6 + SQL_G7 + SQL_G8 + SQL_G9
+TASK_OUT = ["ret_out", "ar_out", "vt_out", "cw_out", "fw_out", "pb_out"]
+
+
+def _md5_out(sql_block: str, out: str) -> str:
+    return SQL_BASE + sql_block + f"\nSELECT task, sample_id, md5(prompt) AS prompt_md5, answer FROM {out}"
+
+
+def _md5(df):
+    return df.select("task", "sample_id", F.md5("prompt").alias("prompt_md5"), "answer")
+
+
+@register("g1_word_pool", sql=f"SELECT CAST(i AS BIGINT) AS w_idx, {pool_word_sql('i')} AS word FROM range((SELECT count(*) FROM documents)) t(i)")
+def g1_word_pool(spark, sf):
+    n = read_table(spark, sf, "documents").count()
+    return G.word_pool(spark, n)
+
+
+@register("g2_retrieval", sql=_md5_out(SQL_G2, "ret_out"))
+def g2_retrieval(spark, sf):
+    return _md5(G.retrieval(samples(spark, sf), words(spark, sf), NUM_PAIRS))
+
+
+@register("g3_associative_recall", sql=_md5_out(SQL_G3, "ar_out"))
+def g3_associative_recall(spark, sf):
+    return _md5(G.associative_recall(samples(spark, sf), words(spark, sf), NUM_PAIRS))
+
+
+@register("g4_multihop_recall")
+def g4_multihop_recall(spark, sf):
+    return _md5(G.multihop_recall(samples(spark, sf), words(spark, sf), NUM_PAIRS, HOPS))
+
+
+ALIAS_PROB = 40  # percent of slots (after the first) that alias an earlier slot
+G5_MAX_HOPS = NUM_PAIRS
+
+
+def alias_edges(spark, sf):
+    """G5 input derivable in SQL: G3's key/value slots where a hash-chosen
+    share of keys aliases an earlier slot (acyclic by construction)."""
+    from pyspark.sql import Window  # noqa: F401
+
+    kv = G._kv_rows(samples(spark, sf), words(spark, sf), NUM_PAIRS, S, "ar", 9)
+    from ..functions.hashing import hash32
+    sid, slot = F.col("sample_id"), F.col("slot")
+    is_alias = (slot > 0) & (hash32(S, "g5-a", sid, slot) % 100 < ALIAS_PROB)
+    tslot = hash32(S, "g5-t", sid, slot) % F.greatest(slot, F.lit(1))
+    e = kv.select("sample_id", "slot", "word", "v", is_alias.alias("ia"), tslot.alias("ts"))
+    tgt = kv.select("sample_id", F.col("slot").alias("ts"), F.col("word").alias("target_key"))
+    return (e.join(tgt, ["sample_id", "ts"], "left")
+            .select("sample_id", F.col("word").alias("key"),
+                    F.when(F.col("ia"), F.col("target_key")).alias("target_key"),
+                    F.when(~F.col("ia"), F.col("v")).cast("int").alias("value")))
+
+
+@register("g5_resolve_aliases", sql=SQL_BASE.replace("WITH ", "WITH RECURSIVE ", 1) + sql_kv("ar", 9) + f""",
+edges AS (SELECT k.sample_id, k.word AS key,
+            CASE WHEN k.slot > 0 AND {H(S, 'g5-a', 'k.sample_id', 'k.slot')} % 100 < {ALIAS_PROB} THEN t.word END AS target_key,
+            CASE WHEN NOT (k.slot > 0 AND {H(S, 'g5-a', 'k.sample_id', 'k.slot')} % 100 < {ALIAS_PROB}) THEN k.v END AS value
+          FROM ar_kv k LEFT JOIN ar_kv t ON t.sample_id = k.sample_id
+            AND t.slot = {H(S, 'g5-t', 'k.sample_id', 'k.slot')} % greatest(k.slot, 1)),
+walk AS (
+  SELECT sample_id, key AS start, key AS cur, target_key, value, 0 AS hops FROM edges
+  UNION ALL
+  SELECT w.sample_id, w.start, e.key, e.target_key, e.value, w.hops + 1
+  FROM walk w JOIN edges e ON e.sample_id = w.sample_id AND e.key = w.target_key
+  WHERE w.value IS NULL AND w.hops < {G5_MAX_HOPS})
+SELECT sample_id, start AS key, CAST(value AS INTEGER) AS value, CAST(hops AS INTEGER) AS hops FROM walk WHERE value IS NOT NULL""")
+def g5_resolve_aliases(spark, sf):
+    r = G.resolve_aliases(alias_edges(spark, sf), G5_MAX_HOPS)
+    return r.select("sample_id", "key", "value", F.col("hops").cast("int").alias("hops"))
+
+
+@register("g6_variable_tracking", sql=_md5_out(SQL_G6, "vt_out"))
+def g6_variable_tracking(spark, sf):
+    return _md5(G.variable_tracking(samples(spark, sf), VT_CHAINS, VT_HOPS, VT_NOISE))
+
+
+@register("g7_common_words", sql=_md5_out(SQL_G7, "cw_out"))
+def g7_common_words(spark, sf):
+    return _md5(G.common_words(samples(spark, sf), CW, UCW, FCW, FUCW))
+
+
+@register("g8_frequent_words", sql=_md5_out(SQL_G8, "fw_out"))
+def g8_frequent_words(spark, sf):
+    return _md5(G.frequent_words(samples(spark, sf), FW_ALPHA, FW_V, FW_N))
+
+
+@register("g9_phone_book", sql=_md5_out(SQL_G9, "pb_out"))
+def g9_phone_book(spark, sf):
+    names = G.name_pool(spark, words(spark, sf))
+    return _md5(G.phone_book(samples(spark, sf), names))
