@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import sql_hash32, sql_randint, sql_uniform
+from ..functions.hashing import sql_hash32, sql_randint, sql_uniform, uniform
 from ..operators import scoring as E
 from ..operators import tasks as G
 from ..operators import tokenize
@@ -275,3 +275,196 @@ def g8_frequent_words(spark, sf):
 def g9_phone_book(spark, sf):
     names = G.name_pool(spark, words(spark, sf))
     return _md5(G.phone_book(samples(spark, sf), names))
+
+
+# ---- E: generations = task rows x (baseline + NUM_LAYERS ablated layers) ----------
+
+def _p_correct(l):
+    """Share of correct answers: 0.9 for the baseline, lower and varied per layer."""
+    return F.when(l < 0, F.lit(0.9)).otherwise(F.lit(0.3) + F.lit(0.6) * ((l * 7) % NUM_LAYERS) / NUM_LAYERS)
+
+
+def _text(task, ans, ok):
+    """Synthetic model output: correct-shaped when ``ok``, else a wrong shape."""
+    return (F.when(task == G.RETRIEVAL, F.when(ok, F.concat(F.lit("The value is "), ans, F.lit("."))).otherwise(F.lit("I am not sure.")))
+            .when(task == G.AR, F.when(ok, F.concat(F.lit("The answer is "), ans)).otherwise(F.lit("unknown")))
+            .when(task == G.VT, F.when(ok, F.concat(F.lit("Answer: "), ans)).otherwise(F.lit("X1")))
+            .when(task == G.CWE, F.when(ok, F.concat(ans, F.lit("\nExplanation: these repeat"))).otherwise(F.lit("none")))
+            .when(task == G.FWE, F.when(ok, F.concat(ans, F.lit(" Explanation"))).otherwise(F.lit("none")))
+            .when(task == G.PHONE_BOOK, F.when(ok, F.concat(ans, F.lit("\nDone"))).otherwise(F.concat(F.lit("\n"), ans)))
+            .otherwise(F.lit("")))
+
+
+def task_tables(spark, sf, which=None):
+    s, w = samples(spark, sf), words(spark, sf)
+    build = {
+        G.RETRIEVAL: lambda: G.retrieval(s, w, NUM_PAIRS),
+        G.AR: lambda: G.associative_recall(s, w, NUM_PAIRS),
+        G.VT: lambda: G.variable_tracking(s, VT_CHAINS, VT_HOPS, VT_NOISE),
+        G.CWE: lambda: G.common_words(s, CW, UCW, FCW, FUCW),
+        G.FWE: lambda: G.frequent_words(s, FW_ALPHA, FW_V, FW_N),
+        G.PHONE_BOOK: lambda: G.phone_book(s, G.name_pool(spark, w)),
+    }
+    out = None
+    for name in which or list(build):
+        t = build[name]()
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def generations(spark, sf, which=None):
+    t = task_tables(spark, sf, which)
+    g = t.select("*", F.explode(F.sequence(F.lit(-1), F.lit(NUM_LAYERS - 1))).alias("l"))
+    ok = uniform(S, "gen", F.col("task"), F.col("sample_id"), F.col("l")) < _p_correct(F.col("l"))
+    return g.select(F.lit(RUN).alias("run"), "task", "sample_id", "prompt", "answer",
+                    F.when(F.col("l") >= 0, F.col("l")).cast("int").alias("layer_index"),
+                    _text(F.col("task"), F.col("answer"), ok).alias("text"))
+
+
+def _sql_gens(tasks_out: list[str]) -> str:
+    union = " UNION ALL ".join(f"SELECT * FROM {o}" for o in tasks_out)
+    p = f"CASE WHEN l.l < 0 THEN 0.9 ELSE 0.3 + 0.6 * ((l.l * 7) % {NUM_LAYERS}) / {NUM_LAYERS} END"
+    ok = f"({U(S, 'gen', 't.task', 't.sample_id', 'l.l')} < {p})"
+    text = f"""CASE t.task
+      WHEN '{G.RETRIEVAL}' THEN CASE WHEN {ok} THEN 'The value is ' || t.answer || '.' ELSE 'I am not sure.' END
+      WHEN '{G.AR}' THEN CASE WHEN {ok} THEN 'The answer is ' || t.answer ELSE 'unknown' END
+      WHEN '{G.VT}' THEN CASE WHEN {ok} THEN 'Answer: ' || t.answer ELSE 'X1' END
+      WHEN '{G.CWE}' THEN CASE WHEN {ok} THEN t.answer || chr(10) || 'Explanation: these repeat' ELSE 'none' END
+      WHEN '{G.FWE}' THEN CASE WHEN {ok} THEN t.answer || ' Explanation' ELSE 'none' END
+      WHEN '{G.PHONE_BOOK}' THEN CASE WHEN {ok} THEN t.answer || chr(10) || 'Done' ELSE chr(10) || t.answer END
+      ELSE '' END"""
+    return f""",
+tasks_all AS ({union}),
+gens AS (SELECT '{RUN}' AS run, t.task, t.sample_id, t.prompt, t.answer,
+           CAST(CASE WHEN l.l >= 0 THEN l.l END AS INTEGER) AS layer_index, {text} AS text
+         FROM tasks_all t, range(-1, {NUM_LAYERS}) l(l)),
+parsed AS (SELECT *,
+  regexp_extract(text, '\\p{{Nd}}+', 0) AS first_int,
+  list_sort(list_distinct(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, 'X\\p{{Nd}}+')))) AS vars,
+  list_filter(string_split_regex(regexp_extract(prompt, '(?s)separated by spaces:\\n(.*?)\\nWhat are', 1), '\\s+'), lambda w: w <> '') AS allowed,
+  list_filter(string_split_regex(answer, '\\s+'), lambda w: w <> '') AS gold_words,
+  regexp_extract_all(CASE WHEN position('Explanation' IN text) > 0 THEN substr(text, 1, position('Explanation' IN text) - 1) ELSE text END,
+                     '[A-Za-z0-9_]+') AS toks,
+  CASE WHEN length(text) = 0 THEN NULL ELSE
+    regexp_replace(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0B\\f\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')[1], '^\\s+|\\s+$', '', 'g') END AS first_line
+  FROM gens),
+parsed2 AS (SELECT *, list_filter(list_filter(toks, lambda t: list_contains(allowed, t)),
+                                  lambda t, i: list_position(list_filter(toks, lambda u: list_contains(allowed, u)), t) = i) AS dtoks
+            FROM parsed),
+scored AS (SELECT *, coalesce(CASE task
+  WHEN '{G.RETRIEVAL}' THEN first_int = answer
+  WHEN '{G.AR}' THEN contains(text, answer)
+  WHEN '{G.AR_MULTIHOP}' THEN contains(text, answer)
+  WHEN '{G.VT}' THEN vars = list_sort(list_distinct(gold_words))
+  WHEN '{G.CWE}' THEN list_sort(list_distinct(dtoks[1:len(gold_words)])) = list_sort(list_distinct(gold_words))
+  WHEN '{G.FWE}' THEN dtoks[1:3] = gold_words
+  WHEN '{G.PHONE_BOOK}' THEN first_line = answer
+  ELSE false END, false) AS correct FROM parsed2),
+acc AS (SELECT run, task, layer_index, avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n_samples
+        FROM scored GROUP BY run, task, layer_index),
+drops AS (SELECT a.run, a.task, a.layer_index, b.accuracy AS baseline_accuracy, a.accuracy,
+                 b.accuracy - a.accuracy AS performance_drop
+          FROM acc a JOIN acc b ON b.run = a.run AND b.task = a.task AND b.layer_index IS NULL
+          WHERE a.layer_index IS NOT NULL)"""
+
+
+def _e_sql(blocks: str, outs: list[str], select: str) -> str:
+    return SQL_BASE + blocks + _sql_gens(outs) + "\n" + select
+
+
+def _scored(spark, sf, which):
+    return E.score(generations(spark, sf, which))
+
+
+@register("e1_first_int", sql=_e_sql(SQL_G2, ["ret_out"],
+          "SELECT sample_id, layer_index, first_int AS parsed, correct FROM scored"))
+def e1_first_int(spark, sf):
+    s = _scored(spark, sf, [G.RETRIEVAL])
+    return s.select("sample_id", "layer_index", E.first_int(F.col("text")).alias("parsed"), "correct")
+
+
+@register("e2_substring_match", sql=_e_sql(SQL_G3, ["ar_out"], "SELECT sample_id, layer_index, correct FROM scored"))
+def e2_substring_match(spark, sf):
+    return _scored(spark, sf, [G.AR]).select("sample_id", "layer_index", "correct")
+
+
+@register("e3_variable_set", sql=_e_sql(SQL_G6, ["vt_out"],
+          "SELECT sample_id, layer_index, array_to_string(vars, ' ') AS vars, correct FROM scored"))
+def e3_variable_set(spark, sf):
+    s = _scored(spark, sf, [G.VT])
+    return s.select("sample_id", "layer_index", F.array_join(E.var_set(F.col("text")), " ").alias("vars"), "correct")
+
+
+@register("e4_prompt_words", sql=SQL_BASE + SQL_G7 + """,
+w AS (SELECT sample_id, list_filter(string_split_regex(regexp_extract(prompt, '(?s)separated by spaces:\\n(.*?)\\nWhat are', 1), '\\s+'), lambda x: x <> '') AS ws FROM cw_out)
+SELECT sample_id, CAST(len(ws) AS INTEGER) AS n_words, md5(array_to_string(ws, ' ')) AS words_md5 FROM w""")
+def e4_prompt_words(spark, sf):
+    t = G.common_words(samples(spark, sf), CW, UCW, FCW, FUCW)
+    ws = E.prompt_words(F.col("prompt"))
+    return t.select("sample_id", F.size(ws).alias("n_words"), F.md5(F.array_join(ws, " ")).alias("words_md5"))
+
+
+@register("e5_topk_parse", sql=_e_sql(SQL_G8, ["fw_out"],
+          "SELECT sample_id, layer_index, array_to_string(dtoks[1:3], ' ') AS parsed FROM scored"))
+def e5_topk_parse(spark, sf):
+    g = generations(spark, sf, [G.FWE])
+    parsed = E.top_k_tokens(F.col("text"), E.prompt_words(F.col("prompt")), 3)
+    return g.select("sample_id", "layer_index", F.array_join(parsed, " ").alias("parsed"))
+
+
+@register("e6_common_words_score", sql=_e_sql(SQL_G7, ["cw_out"], "SELECT sample_id, layer_index, correct FROM scored"))
+def e6_common_words_score(spark, sf):
+    return _scored(spark, sf, [G.CWE]).select("sample_id", "layer_index", "correct")
+
+
+@register("e7_frequent_words_score", sql=_e_sql(SQL_G8, ["fw_out"], "SELECT sample_id, layer_index, correct FROM scored"))
+def e7_frequent_words_score(spark, sf):
+    return _scored(spark, sf, [G.FWE]).select("sample_id", "layer_index", "correct")
+
+
+@register("e8_first_line", sql=_e_sql(SQL_G9, ["pb_out"],
+          "SELECT sample_id, layer_index, first_line, correct FROM scored"))
+def e8_first_line(spark, sf):
+    s = _scored(spark, sf, [G.PHONE_BOOK])
+    return s.select("sample_id", "layer_index", E.first_line(F.col("text")).alias("first_line"), "correct")
+
+
+@register("e9_accuracy", sql=_e_sql(ALL_G, TASK_OUT,
+          "SELECT run, task, layer_index, round(accuracy, 6) AS accuracy, n_samples FROM acc"))
+def e9_accuracy(spark, sf):
+    a = E.accuracy(_scored(spark, sf, None))
+    return a.select("run", "task", "layer_index", F.round("accuracy", 6).alias("accuracy"), "n_samples")
+
+
+@register("e10_ablation_drop", sql=_e_sql(ALL_G, TASK_OUT, """
+SELECT run, task, layer_index, round(baseline_accuracy, 6) AS baseline_accuracy, round(accuracy, 6) AS accuracy,
+       round(performance_drop, 6) AS performance_drop FROM drops"""))
+def e10_ablation_drop(spark, sf):
+    d = E.ablation_drop(E.accuracy(_scored(spark, sf, None)))
+    return d.select("run", "task", "layer_index", F.round("baseline_accuracy", 6).alias("baseline_accuracy"),
+                    F.round("accuracy", 6).alias("accuracy"), F.round("performance_drop", 6).alias("performance_drop"))
+
+
+@register("e11_importance_rank", sql=_e_sql(ALL_G, TASK_OUT, """
+SELECT run, task, layer_index, CAST(row_number() OVER (PARTITION BY run, task ORDER BY performance_drop DESC, layer_index) AS INTEGER) AS importance_rank
+FROM drops"""))
+def e11_importance_rank(spark, sf):
+    r = E.importance_rank(E.ablation_drop(E.accuracy(_scored(spark, sf, None))))
+    return r.select("run", "task", "layer_index", "importance_rank")
+
+
+@register("s7_result_sinks", sql=_e_sql(ALL_G, TASK_OUT, """
+SELECT task, layer_index, round(accuracy, 6) AS accuracy, round(performance_drop, 6) AS performance_drop FROM drops"""))
+def s7_result_sinks(spark, sf):
+    """Baseline rows -> JSON, per-layer table -> CSV with header; read the CSV back."""
+    from ..session import scratch_path
+    from ..sources import sinks
+
+    acc = E.accuracy(_scored(spark, sf, None))
+    drops = E.ablation_drop(acc).select("task", "layer_index", "accuracy", "performance_drop")
+    stem = sinks.result_name("student/model-0.5", "all_tasks", pairs=NUM_PAIRS)
+    paths = sinks.write_results(acc.filter(F.col("layer_index").isNull()), drops, scratch_path(spark, "results"), stem)
+    back = spark.read.option("header", True).schema(
+        "task string, layer_index int, accuracy double, performance_drop double").csv(paths["layers"])
+    return back.select("task", "layer_index", F.round("accuracy", 6).alias("accuracy"),
+                       F.round("performance_drop", 6).alias("performance_drop"))
