@@ -1 +1,109 @@
-"""placeholder"""
+"""L1-L5 on the 512-token chunk table built from ``documents``; L3 parameters from ``orders``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import batching as L
+from ..operators import pack
+from ..sources.corpus import read_table
+from . import corpus as C
+from .registry import register
+
+SEED, EPOCH, BATCH = 1234, 0, 8
+MICRO, WORLD, ACCUM, STEPS = 2, 2, 1, 60
+
+
+def chunks(spark, sf):
+    off = pack.token_offsets(C.encoded(spark, sf), keys=C.docs(spark, sf).select("doc_id"))
+    return pack.pack_chunks(off, C.CHUNK_LEN)
+
+
+SQL_CH = "WITH " + C.sql_stream() + f""",
+chunks AS ({C.sql_chunks(C.CHUNK_LEN)}),
+ord AS (SELECT chunk_id, ids_md5, CAST(row_number() OVER (ORDER BY md5('{SEED}:{EPOCH}:' || chunk_id), chunk_id) - 1 AS BIGINT) AS pos
+        FROM chunks)"""
+
+
+@register("l1_epoch_shuffle", sql=SQL_CH + " SELECT chunk_id, pos FROM ord")
+def l1_epoch_shuffle(spark, sf):
+    return L.epoch_order(chunks(spark, sf), SEED, EPOCH).select("chunk_id", "pos")
+
+
+@register("l2_collate", sql=SQL_CH + f"""
+SELECT CAST(pos // {BATCH} AS BIGINT) AS batch_id, CAST(count(*) AS INTEGER) AS n_rows,
+       string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY pos) AS chunk_ids,
+       md5(string_agg(ids_md5, ',' ORDER BY pos)) AS batch_md5
+FROM ord GROUP BY 1""")
+def l2_collate(spark, sf):
+    b = L.collate(L.epoch_order(chunks(spark, sf), SEED, EPOCH), BATCH)
+    return b.select("batch_id", F.size("chunk_ids").alias("n_rows"),
+                    F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",").alias("chunk_ids"),
+                    F.md5(F.array_join(F.transform("input_ids", lambda a: F.md5(F.array_join(a, ","))), ",")).alias("batch_md5"))
+
+
+def run_params(spark, sf):
+    """One training run per order priority, parameters derived from its orders."""
+    o = read_table(spark, sf, "orders")
+    g = o.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("tp"))
+    return g.select(F.col("o_orderpriority").alias("run"),
+                    F.when(F.col("n") % 2 == 0, F.floor(F.col("tp")).cast("long") * 100).alias("target_tokens"),
+                    (F.col("n") % 500 + 100).cast("long").alias("max_steps"),
+                    (8 * (1 + F.col("n") % 12)).cast("int").alias("batch_size"),
+                    (1 + F.col("n") % 4).cast("int").alias("micro_batch_size"),
+                    F.when(F.col("n") % 3 == 0, 4096).otherwise(512).cast("int").alias("seq_len"),
+                    F.lit(8).alias("world_size"))
+
+
+@register("l3_budget_plan", sql="WITH " + C.sql_vocab() + "," + C.sql_token_rows() + """,
+tot AS (SELECT count(*) AS total_tokens FROM ids),
+g AS (SELECT o_orderpriority AS run, count(*) AS n, sum(o_totalprice) AS tp FROM orders GROUP BY 1),
+p AS (SELECT run, CASE WHEN n % 2 = 0 THEN CAST(floor(tp) AS BIGINT) * 100 END AS target_tokens, n % 500 + 100 AS max_steps,
+             8 * (1 + n % 12) AS batch_size, 1 + n % 4 AS micro_batch_size, CASE WHEN n % 3 = 0 THEN 4096 ELSE 512 END AS seq_len,
+             8 AS world_size FROM g),
+a AS (SELECT *, greatest(1, CAST(ceil(batch_size / (micro_batch_size * world_size)) AS BIGINT)) AS accum_steps FROM p),
+e AS (SELECT *, micro_batch_size * world_size * accum_steps AS effective_batch FROM a),
+s AS (SELECT *, CASE WHEN target_tokens IS NOT NULL AND target_tokens > 0
+                     THEN greatest(1, target_tokens // (effective_batch * seq_len)) ELSE max_steps END AS total_steps FROM e)
+SELECT run, CAST(accum_steps AS BIGINT) AS accum_steps, CAST(effective_batch AS BIGINT) AS effective_batch,
+       CAST(total_steps AS BIGINT) AS total_steps,
+       CAST(ceil(total_steps * effective_batch * seq_len / (tot.total_tokens // seq_len * seq_len)) AS BIGINT) AS epochs_needed
+FROM s, tot""")
+def l3_budget_plan(spark, sf):
+    plan = L.budget_plan(run_params(spark, sf))
+    total = pack.packing_stats(C.encoded(spark, sf), 1).first()["total_tokens"]  # one number
+    usable = F.floor(F.lit(total) / F.col("seq_len")) * F.col("seq_len")
+    return plan.select("run", "accum_steps", "effective_batch", "total_steps",
+                    F.ceil(F.col("total_steps") * F.col("effective_batch") * F.col("seq_len") / usable).cast("long")
+                    .alias("epochs_needed"))
+
+
+@register("l4_assign_steps", sql=SQL_CH + f""",
+n AS (SELECT count(*) AS n FROM chunks),
+g AS (SELECT chunk_id, {EPOCH} * (SELECT n FROM n) + pos AS g FROM ord)
+SELECT chunk_id, CAST(g // {MICRO * WORLD * ACCUM} AS BIGINT) AS step,
+       CAST((g % {MICRO * WORLD * ACCUM}) // {MICRO * WORLD} AS BIGINT) AS accum_slot,
+       CAST(((g % {MICRO * WORLD * ACCUM}) % {MICRO * WORLD}) // {MICRO} AS BIGINT) AS rank,
+       CAST((g % {MICRO * WORLD * ACCUM}) % {MICRO} AS BIGINT) AS lane
+FROM g WHERE g // {MICRO * WORLD * ACCUM} < {STEPS}""")
+def l4_assign_steps(spark, sf):
+    ch = chunks(spark, sf)
+    n = ch.count()
+    a = L.assign_steps(L.epoch_order(ch, SEED, EPOCH), MICRO, WORLD, ACCUM, STEPS, n)
+    return a.select("chunk_id", F.col("step").cast("long").alias("step"), F.col("accum_slot").cast("long").alias("accum_slot"),
+                    F.col("rank").cast("long").alias("rank"), F.col("lane").cast("long").alias("lane"))
+
+
+@register("l5_shift_labels", sql="WITH " + C.sql_stream() + f""",
+c AS (SELECT gpos // {C.CHUNK_LEN} AS chunk_id, gpos % {C.CHUNK_LEN} AS j, token_id FROM stream),
+full_ AS (SELECT chunk_id FROM c GROUP BY chunk_id HAVING count(*) = {C.CHUNK_LEN})
+SELECT CAST(c.chunk_id AS BIGINT) AS chunk_id,
+  md5(string_agg(CAST(token_id AS VARCHAR), ',' ORDER BY j) FILTER (WHERE j < {C.CHUNK_LEN - 1})) AS inputs_md5,
+  md5(string_agg(CAST(token_id AS VARCHAR), ',' ORDER BY j) FILTER (WHERE j > 0)) AS targets_md5,
+  md5(string_agg(CAST(token_id AS VARCHAR), ',' ORDER BY j) FILTER (WHERE j > 0) || ',{L.IGNORE_INDEX}') AS labels_md5
+FROM c JOIN full_ USING (chunk_id) GROUP BY c.chunk_id""")
+def l5_shift_labels(spark, sf):
+    s = L.shift_labels(L.shift_labels(chunks(spark, sf)), keep_length=True)
+    md = lambda c: F.md5(F.array_join(F.col(c), ","))
+    return s.select("chunk_id", md("inputs").alias("inputs_md5"), md("targets").alias("targets_md5"),
+                    md("labels").alias("labels_md5"))
