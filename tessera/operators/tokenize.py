@@ -55,11 +55,12 @@ def build_vocab(df: DataFrame, text_col: str = "text", max_size: int = 32000,
 def vocab_dict(vocab: DataFrame, max_entries: int = 1_000_000) -> dict:
     """Collects a vocabulary to a dict.  Size is bounded by ``build_vocab``'s
     ``max_size``; this check makes the bound explicit before broadcasting."""
-    n = vocab.count()
-    if n > max_entries:
-        raise ValueError(f"vocabulary of {n} entries is too large to broadcast; "
+    # one job: fetch at most max_entries + 1 rows, fail if the bound is exceeded
+    rows = vocab.select("token", "token_id").limit(max_entries + 1).collect()
+    if len(rows) > max_entries:
+        raise ValueError(f"vocabulary exceeds {max_entries} entries and is too large to broadcast; "
                          f"use encode_by_join instead")
-    return {r["token"]: int(r["token_id"]) for r in vocab.select("token", "token_id").collect()}
+    return {r["token"]: int(r["token_id"]) for r in rows}
 
 
 def _word_encoder(vocab: dict, unk: int):

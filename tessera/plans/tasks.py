@@ -44,7 +44,9 @@ def samples(spark, sf):
 
 
 def words(spark, sf):
-    return tokenize.eligible_words(C.vocab_df(spark, sf))
+    from pyspark.storagelevel import StorageLevel
+
+    return tokenize.eligible_words(C.vocab_df(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 SQL_BASE = "WITH " + C.sql_vocab() + """,
