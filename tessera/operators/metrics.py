@@ -23,21 +23,34 @@ def _sum(arr: Column) -> Column:
 
 
 def logsumexp(x: Column) -> Column:
-    """D1 core: max-shifted log-sum-exp."""
-    m = F.array_max(x)
-    return m + F.log(_sum(F.transform(x, lambda e: F.exp(e - m))))
+    """D1 core: one-pass (online) max-shifted log-sum-exp.
+
+    The running max rescales the running sum, as in a blockwise softmax;
+    nothing outside the lambda is referenced per element, so the cost is
+    O(H) per row (an outer ``array_max`` inside the lambda would be O(H^2)).
+    """
+    init = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("z"))
+
+    def step(acc, e):
+        m = F.greatest(acc["m"], e)
+        return F.struct(m.alias("m"), (acc["z"] * F.exp(acc["m"] - m) + F.exp(e - m)).alias("z"))
+
+    return F.aggregate(x, init, step, lambda acc: acc["m"] + F.log(acc["z"]))
 
 
 def log_softmax(x: Column) -> Column:
-    """Stable log-softmax of an array."""
-    lse = logsumexp(x)
-    return F.transform(x, lambda e: e - lse)
+    """Stable log-softmax of an array (``lse`` bound once via a
+    single-element ``transform`` so it is evaluated once per row)."""
+    return F.element_at(F.transform(F.array(logsumexp(x)), lambda lse: F.transform(x, lambda e: e - lse)), 1)
 
 
 def kl_row(t: Column, s: Column) -> Column:
     """D2 per row: sum p_t (log p_t - log p_s)."""
-    lt, ls = log_softmax(t), log_softmax(s)
-    return _sum(F.zip_with(lt, ls, lambda a, b: F.exp(a) * (a - b)))
+    def body(lt_lse, ls_lse):
+        return _sum(F.zip_with(t, s, lambda a, b: F.exp(a - lt_lse) * ((a - lt_lse) - (b - ls_lse))))
+
+    lses = F.array(F.struct(logsumexp(t).alias("lt"), logsumexp(s).alias("ls")))
+    return F.element_at(F.transform(lses, lambda p: body(p["lt"], p["ls"])), 1)
 
 
 def kl_grad(t: Column, s: Column, n: Column | int = 1) -> Column:
