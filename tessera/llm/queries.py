@@ -41,3 +41,34 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return (token_counts(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
             .withColumn("over_limit", F.col("n_tokens") > 2048))
+
+
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.licenses import license_scan
+
+    return license_scan(spark, table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.sharding import shard_rows
+
+    return shard_rows(spark, table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def _oracles() -> None:
+    from tessera.llm import licenses, quality_rules
+
+    ORACLE["op2_licenses"] = licenses.oracle_sql()
+    ORACLE["op9_quality_rules"] = quality_rules.oracle_sql()
+
+
+_oracles()
