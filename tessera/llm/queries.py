@@ -43,6 +43,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("over_limit", F.col("n_tokens") > 2048))
 
 
+@query
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.near_dup import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 @query
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.licenses import license_scan
