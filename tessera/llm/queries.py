@@ -57,6 +57,13 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(spark, table(spark, sf_dir, "documents")).drop("spans")
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_cnn import quality_scores
+
+    return quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sharding import shard_rows
