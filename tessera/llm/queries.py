@@ -64,6 +64,24 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The secret of the pseudonyms is a parameter; this one serves the queries over synthetic tables.
+EXAMPLE_KEY = b"an example key, not a secret"
+
+
+@query
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pseudonyms import pseudonymised
+
+    return pseudonymised(table(spark, sf_dir, "documents"), EXAMPLE_KEY, count="n_replaced")
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontaminate import contaminated
+
+    return contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sharding import shard_rows
