@@ -28,6 +28,13 @@ def vocabulary(name: str) -> bytes:
         return f.read()
 
 
+@query
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.lm_score import lm_scores
+
+    return lm_scores(spark, table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 @query
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sentencepiece_bpe import encode_decode
