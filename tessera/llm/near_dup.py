@@ -7,14 +7,17 @@
    wanted similarity share at least ``t`` retained values, so it is enough to enter the
    ``size - t + 1`` rarest (rarest first, in one order for all). ``t`` is exact for sets that fit
    into their sketch; for larger ones it lies ``SIGMAS`` standard deviations under the expectation.
-3. Each list elects its most central class, which overlaps the rarest-free others, and offers a
-   pair with it for every other class of the list: as many pairs as entries, however long a list is.
-4. The sketch of the union of a pair (the ``k`` smallest values of both sketches) estimates the
+3. Full sets are made of the classes that share a list with another, and put in order: what only one of
+   them has can't overlap and goes, the rest stands rarest first. The mean frequency of a set's
+   shingles says how central it is (the origin of a family of copies is the most central of them).
+4. Each list elects its most central class and offers a pair with it for every other class of
+   the list: as many pairs as entries, however long a list is.
+5. The sketch of the union of a pair (the ``k`` smallest values of both sketches) estimates the
    similarity and drops clear misses; the exact Jaccard on full sets verifies the others.
-5. Lists whose classes have not all met in one component stay open. Their classes are joined again
+6. Lists whose classes have not all met in one component stay open. Their classes are joined again
    on the rarest shingles of their full sets, across components only, under the bound that the
    places of the common shingle leave on the overlap. This step is exact and needs no sketch.
-6. Connected components of all verified links.
+7. Connected components of all verified links.
 
 Null ids are linked with nothing (component null, kept). Null or empty texts and texts without a
 word have no shingles and are linked with nothing. Rows that share an id are one document, linked
@@ -80,9 +83,10 @@ def full_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, sets in row_sets(batch.column(1), words):
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], names=["id", "n", "shingles"])
+                total = pa.array([int(s.sum()) for s in sets], pa.int64())
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), total, _lists(sets)], names=["id", "n", "s1", "shingles"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
@@ -95,21 +99,26 @@ def least_shared(n: str, k: int, percent: int) -> str:
     return f"greatest(1, cast(case when {n} * 100 <= {percent * k} then {whole} else floor(least({p} * least({n}, {k}), {p * k} - {spread})) end as int))"
 
 
-def _linked(percent: int, both: str) -> str:
-    return f"100 * {both} >= {percent} * (na + nb - {both})"
+def _in_order(sets: DataFrame) -> DataFrame:
+    """(id, n, central, shingles): of each set the shingles that another set has too, rarest first, and
+    the mean frequency of all its shingles."""
+    tokens = sets.select("id", "n", "s1", F.explode("shingles").alias("h"))
+    often = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    order = tokens.join(often, "h").groupBy("id", "n", "s1").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"), F.sum("df").alias("sum"))
+    return order.select("id", "n", (F.col("sum") / F.col("n")).alias("central"), F.col("s.h").alias("shingles"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    left = ordered.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    right = ordered.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     full = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return full.withColumn("both", F.size(F.array_intersect("sa", "sb"))).where(_linked(percent, "both")).select("a", "b")
+    return full.withColumn("both", F.size(F.array_intersect("sa", "sb"))).where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
 
 
 def _leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b) of each list's most central class with every other of a fitting size, once."""
-    leaders = lists.groupBy("v").agg(F.max(F.struct("central", "id", "n")).alias("top"), F.count("*").alias("size")).where("size > 1")
+    leaders = lists.groupBy("v").agg(F.max(F.struct("central", "id", "n")).alias("top"))
     pairs = lists.join(leaders.select("v", "top"), "v").where(f"id <> top.id and 100 * least(n, top.n) >= {percent} * greatest(n, top.n)")
     return pairs.groupBy(F.col("top.id").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("overlap"))
 
@@ -127,15 +136,11 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
 def _open_pairs(spark: SparkSession, open_sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of different components that the places of a common rare shingle allow; exact.
 
-    ``open_sets``: id, n, component, shingles.
+    ``open_sets``: id, n, component, shingles in order. What a set has alone stands before the shared ones.
     """
-    tokens = open_sets.select("id", "n", "component", F.explode("shingles").alias("h"))
-    often = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    # the shingles that others have too, rarest first; all that nobody shares stand before them
-    ranked = tokens.join(often, "h").groupBy("id", "n", "component").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
-    prefix = ranked.select("id", "n", "component", F.posexplode(F.expr(
-        f"slice(transform(shared, x -> x.h), 1, greatest(0, cast(n - ({percent} * n + 99) div 100 + 1 - (n - size(shared)) as int)))")).alias("i", "h"),
-        (F.col("n") - F.size("shared")).alias("alone"))
+    alone = "(n - size(shingles))"
+    prefix = open_sets.select("id", "n", "component", F.expr(f"cast({alone} as int)").alias("alone"), F.posexplode(F.expr(
+        f"slice(shingles, 1, greatest(0, cast(n - ({percent} * n + 99) div 100 + 1 - {alone} as int)))")).alias("i", "h"))
     prefix = written(spark, prefix.select("id", "n", "component", "h", (F.col("alone") + F.col("i")).alias("place")), "prefix")
     largest = prefix.groupBy("h", "component").agg(F.count("*").alias("c")).groupBy("h").agg(
         F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("components")).where("components > 1").select("h", "largest")
@@ -156,21 +161,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
 
     values = classes.select("id", "n", F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = values.join(often, "v").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"), F.sum("df").alias("central"))
+    ranked = values.join(often, "v").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
     enter = f"greatest(0, least(n, {k}) - {least_shared('n', k, percent)} + 1 - (least(n, {k}) - size(shared)))"
-    lists = ranked.select("id", "n", (F.col("central") / F.least("n", F.lit(k))).alias("central"), F.explode(F.expr(f"slice(transform(shared, x -> x.v), 1, cast({enter} as int))")).alias("v"))
+    entries = written(spark, ranked.select("id", "n", F.explode(F.expr(f"slice(transform(shared, x -> x.v), 1, cast({enter} as int))")).alias("v")), "entries")
+    lists = entries.join(entries.groupBy("v").agg(F.count("*").alias("size")).where("size > 1"), "v").select("id", "n", "v")
     lists = written(spark, lists, "lists")
 
     members = lists.select("id").distinct()
     chosen = docs.join(members.withColumnRenamed("id", key), key, "left_semi")
-    sets = written(spark, full_sets(chosen, key, text, words), "sets")
+    ordered = written(spark, _in_order(full_sets(chosen, key, text, words)), "ordered")
 
-    links = written(spark, _verified(_estimated(_leader_pairs(lists, percent), classes, k, percent), sets, percent), "links")
+    central = lists.join(ordered.select("id", "n", "central"), ["id", "n"])
+    links = written(spark, _verified(_estimated(_leader_pairs(central, percent), classes, k, percent), ordered, percent), "links")
     met = components(spark, links).withColumnRenamed("node", "id")
     at = lists.join(met, "id", "left").withColumn("component", F.coalesce("component", "id"))
     still = at.groupBy("v").agg((F.min("component") < F.max("component")).alias("open")).where("open").select("v")
     open_ids = at.join(still, "v", "left_semi").select("id", "component").distinct()
-    more = _verified(_open_pairs(spark, sets.join(open_ids, "id"), percent), sets, percent)
+    more = _verified(_open_pairs(spark, ordered.join(open_ids, "id"), percent), ordered, percent)
     found = components(spark, links.union(more)).withColumnRenamed("node", "id")
 
     of_class = classes.select("s1", "s2", "n", "id").join(found, "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
