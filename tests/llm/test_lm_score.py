@@ -40,9 +40,19 @@ def test_gradient_and_causality():
             got.append(net.gradient(x, y, c)[0])
         w[at] = keep
         assert abs((got[0] - got[1]) / 2e-5 - g[name][at]) < 1e-4 * max(1, abs(g[name][at])), name
-    base = net.log_probability(x, y)
+    every = np.ones(x.shape, bool)
+    base = net.log_probability(x, y, every).reshape(x.shape)
+    assert np.allclose(net.log_probability(x, y, c > 0), base[c > 0])
+    z = net.forward(x)[-1]
+    assert np.allclose(base, np.take_along_axis(z, y[:, :, None], 2)[:, :, 0] - np.log(np.exp(z).sum(axis=2)))
+    for name in ("query", "out"):  # as well where exponentials would overflow
+        big = L.Attention(12, 5)
+        big.w = {k: v * (400 if k == name else 1) for k, v in net.w.items()}
+        big.mask = net.mask
+        z = big.forward(x)[-1]
+        assert np.allclose(big.log_probability(x, y, every).reshape(x.shape), np.take_along_axis(z, y[:, :, None], 2)[:, :, 0] - np.log(np.exp(z).sum(axis=2)))
     x[:, 20:] = 0
-    assert np.allclose(net.log_probability(x, y)[:, :20], base[:, :20])
+    assert np.allclose(net.log_probability(x, y, every).reshape(x.shape)[:, :20], base[:, :20])
 
 
 def test_probabilities_sum_to_one():
@@ -50,7 +60,7 @@ def test_probabilities_sum_to_one():
     classes = L.Classes(r.integers(0, 50, 200).astype(float))
     net = L.Attention(200, L.SINGLE + L.BINS)
     x = r.integers(0, 200, (1, L.WINDOW))
-    total = sum(np.exp(net.log_probability(x, np.full_like(x, classes.of[i])) + classes.inside[i]) for i in range(200))
+    total = sum(np.exp(net.log_probability(x, np.full_like(x, classes.of[i]), np.ones(x.shape, bool)) + classes.inside[i]) for i in range(200))
     assert np.allclose(total, 1, atol=1e-4)
 
 
