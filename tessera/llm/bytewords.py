@@ -55,12 +55,17 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, and where each row starts (one more at the end); null: empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = col.cast(pa.large_binary())
+    kinds = (pa.types.is_string, pa.types.is_binary, pa.types.is_large_string, pa.types.is_large_binary)
+    if not any(f(col.type) for f in kinds):
+        col = col.cast(pa.large_string())
     if col.null_count:
-        col = col.fill_null(b"")
-    offsets = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset : col.offset + len(col) + 1]
+        col = col.fill_null(b"" if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else "")
+    wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
+    if not len(col):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(col.buffers()[1], dtype=np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     data = col.buffers()[2]
-    buf = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+    buf = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)  # no copy
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
