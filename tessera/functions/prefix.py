@@ -1,86 +1,53 @@
 """Global running sums without a single-partition window.
 
-A running total over a huge table ordered by a unique key is computed in two
-levels: the key range is cut into buckets by approximate quantiles (bounded
-number of cut points, chosen from a one-column scan), per-bucket totals are
-summed (partial aggregation, tiny result), a running sum over the *bucket*
-table gives each bucket its base, and a window partitioned by bucket finishes
-the job.  The only single-partition step touches ``num_buckets`` rows.
+A running total over a huge table is computed in two levels: the narrow rows (order columns and the
+value, nothing else) are range-partitioned by their order, which gives each range a number that grows
+with the order; per-range totals are summed (partial aggregation, one row a range), a running sum over the
+*ranges* gives each its base, and a window inside each range finishes the job. The ranged rows are written
+to the shared folder, so both readings see the same ranges whatever happens to an executor.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ROWS_PER_BUCKET = 20_000
-MAX_BUCKETS = 100_000  # bound on the broadcast bucket table
+from ..session import scratch_path
 
+ROWS_PER_RANGE = 200_000
 
-def bucket_cuts(keys: DataFrame, key: str, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-                rel_error: float | None = None) -> list[float]:
-    """Cut points that split ``keys[key]`` into roughly equal buckets.
 
-    ``keys`` should be a cheap scan (one column of the source table) so that
-    Catalyst prunes everything else.  Returns at most ``MAX_BUCKETS-1`` values.
-    """
-    n = keys.select(F.count(F.lit(1))).first()[0]
-    # enough buckets to bound each window task, and at least a few per core
-    floor_nb = min(n, 4 * keys.sparkSession.sparkContext.defaultParallelism)
-    nb = max(1, min(MAX_BUCKETS, max(math.ceil(n / max(1, rows_per_bucket)), floor_nb)))
-    if nb == 1:
-        return []
-    probs = [i / nb for i in range(1, nb)]
-    err = rel_error if rel_error is not None else min(0.01, 0.25 / nb)
-    cuts = keys.select(F.col(key).cast("double").alias(key)).approxQuantile(key, probs, err)
-    return sorted(set(c for c in cuts if c is not None and not math.isnan(c)))
+def ranged(df: DataFrame, order: list, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``df`` with ``_range``: the number of the range of ``order`` that a row lies in.
 
+    The number of ranges follows the row count, so a range keeps its size at any scale."""
+    spark = df.sparkSession
+    n = df.count()
+    parts = max(1, math.ceil(n / rows_per_range), min(n, spark.sparkContext.defaultParallelism))
+    path = scratch_path(spark, "ranges")
+    df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    return spark.read.parquet(path)
 
-def with_bucket(df: DataFrame, key: str, cuts: list[float], out: str = "_bucket") -> DataFrame:
-    """Adds an integer bucket column (monotone in ``key``), binary search in the JVM."""
-    # Always a computed column: a literal bucket would be constant-folded into
-    # a nested-loop join and a single-partition window.
-    tmp = f"{out}_key"
-    b = Bucketizer(splits=[-math.inf] + cuts + [math.inf], inputCol=tmp, outputCol=out,
-                   handleInvalid="keep")
-    return (b.transform(df.withColumn(tmp, F.col(key).cast("double")))
-            .drop(tmp).withColumn(out, F.col(out).cast("int")))
 
+def running_total(df: DataFrame, order: list | str, value: str | None, out: str, exclusive: bool = True,
+                  rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``out`` = sum of ``value`` over rows before (exclusive) or up to this one in ``order``.
 
-def running_total(df: DataFrame, key: str, value: str, out: str, cuts: list[float],
-                  exclusive: bool = True) -> DataFrame:
-    """``out`` = sum of ``value`` over rows with a smaller key (exclusive) or
-    smaller-or-equal key (inclusive).  ``key`` must be unique."""
-    b = with_bucket(df, key, cuts)
-    return running_total_in_buckets(b, "_bucket", [key], value, out, exclusive).drop("_bucket")
+    ``order`` (names or sort expressions) must order the rows uniquely; ``value`` None counts rows.
+    Pass only the columns needed: all of ``df`` goes through the sort."""
+    order = [order] if isinstance(order, str) else list(order)
+    rows = ranged(df, order, rows_per_range)
+    one = F.lit(1).cast("long") if value is None else F.col(value)
+    totals = rows.groupBy("_range").agg(F.sum(one).alias("_total"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = totals.select("_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.col("_base") + F.sum(one).over(inside)
+    return rows.join(base, "_range").withColumn(out, total - one if exclusive else total).drop("_base", "_range")
 
 
-def running_total_in_buckets(df: DataFrame, bucket: str, order: list, value: str, out: str,
-                             exclusive: bool = True) -> DataFrame:
-    """Running sum when a bucket column (monotone in the order) already exists.
-
-    ``df`` is read twice (bucket totals, then the window); callers persist it
-    when it is expensive to recompute.
-    """
-    totals = df.groupBy(bucket).agg(F.sum(value).alias("_btotal"))
-    base = totals.select(
-        bucket,
-        F.coalesce(
-            F.sum("_btotal").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_base"),
-    )
-    # The bucket table has at most MAX_BUCKETS rows, so broadcasting it is bounded.
-    w = Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    res = df.join(F.broadcast(base), bucket).withColumn(
-        out, F.col("_base") + F.sum(value).over(w) - (F.col(value) if exclusive else F.lit(0))
-    )
-    return res.drop("_base")
-
-
-def dense_index(df: DataFrame, sort_col: str, out: str, cuts: list[float]) -> DataFrame:
-    """0-based dense position of each row in ``sort_col`` order (unique values)."""
-    return running_total(df.withColumn("_one", F.lit(1)), sort_col, "_one", out, cuts).drop("_one")
+def dense_index(df: DataFrame, order: list | str, out: str) -> DataFrame:
+    """0-based dense position of each row in ``order``."""
+    return running_total(df, order, None, out)

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions import prefix
 
@@ -19,22 +18,18 @@ def shuffle_key(seed: int, epoch: int, key: str = "chunk_id") -> Column:
 def epoch_order(chunks: DataFrame, seed: int, epoch: int, key: str = "chunk_id") -> DataFrame:
     """L1: a seeded permutation per epoch as a dense 0-based ``pos``.
 
-    The sort key is md5 of ``seed:epoch:id``; its first three hex digits are
-    a uniform bucket (4096 of them), so the dense index is the two-level
-    prefix sum: bucket counts (tiny) + a window inside each bucket.  No
-    single-partition sort of the data.
+    Only (key, md5 of ``seed:epoch:key``) are indexed, by ranges of the md5; the chunk's
+    other columns are joined back on the key.
     """
-    k = chunks.withColumn("_k", shuffle_key(seed, epoch, key)) \
-        .withColumn("_b", F.conv(F.substring("_k", 1, 3), 16, 10).cast("int")) \
-        .withColumn("_one", F.lit(1)).persist(StorageLevel.MEMORY_AND_DISK)
-    out = prefix.running_total_in_buckets(k, "_b", ["_k", key], "_one", "pos")
-    return out.drop("_k", "_b", "_one").withColumn("epoch", F.lit(epoch))
+    narrow = chunks.select(key, shuffle_key(seed, epoch, key).alias("_k"))
+    order = prefix.dense_index(narrow, ["_k", key], "pos").select(key, "pos")
+    return chunks.join(order, key).withColumn("epoch", F.lit(epoch))
 
 
 def collate(ordered: DataFrame, batch_size: int, ids_col: str = "input_ids") -> DataFrame:
     """L2: ``batch_size`` consecutive rows -> one batch ``[B, T]`` (last partial
     batch kept).  Each group holds at most ``batch_size`` rows."""
-    return (ordered.groupBy((F.floor(F.col("pos") / batch_size)).alias("batch_id"))
+    return (ordered.groupBy(F.expr(f"pos div {int(batch_size)}").alias("batch_id"))
             .agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_id", ids_col))).alias("_b"))
             .select("batch_id", F.col("_b.chunk_id").alias("chunk_ids"), F.col(f"_b.{ids_col}").alias(ids_col)))
 
@@ -50,16 +45,31 @@ def budget_plan(params: DataFrame) -> DataFrame:
     return p.withColumn("total_steps", F.coalesce(steps, F.col("max_steps")).cast("long"))
 
 
-def assign_steps(ordered: DataFrame, micro: int, world: int, accum: int, steps: int, n_chunks: int) -> DataFrame:
-    """L4: chunk -> (step, accumulation slot, rank, lane); cut at ``steps``."""
-    eff = micro * world * accum
-    g = F.col("epoch") * n_chunks + F.col("pos")
-    w = g % eff
-    return (ordered.withColumn("step", F.floor(g / eff))
-            .filter(F.col("step") < steps)
-            .withColumn("accum_slot", F.floor(w / (micro * world)))
-            .withColumn("rank", F.floor((w % (micro * world)) / micro))
-            .withColumn("lane", w % micro))
+def assign_steps(chunk_ids: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """L4: (run, epoch, chunk_id) -> step, accumulation slot, rank and lane, for every step of every run.
+
+    ``chunk_ids``: (chunk_id, chunk_len); ``plan``: L3's rows with ``run, seq_len, micro_batch_size,
+    world_size, accum_steps, effective_batch, total_steps`` (one row per run).  A run reads chunks of its
+    own length, epoch after epoch in L1's order, until its steps are filled: the number of epochs
+    follows from the steps and from how many chunks of that length there are.
+    """
+    have = chunk_ids.groupBy("chunk_len").agg(F.count(F.lit(1)).alias("n_chunks"))
+    plan = (plan.join(have, F.col("seq_len") == F.col("chunk_len")).drop("seq_len")
+            .withColumn("_rows", F.col("total_steps") * F.col("effective_batch")))
+    epochs = plan.groupBy("chunk_len").agg(F.max(F.expr("(_rows + n_chunks - 1) div n_chunks")).alias("_epochs"))
+    # one narrow row for each epoch and chunk that some run reads; positions count on across epochs
+    narrow = (chunk_ids.join(F.broadcast(epochs), "chunk_len")  # one row per chunk length
+              .select("chunk_len", "chunk_id", F.explode(F.sequence(F.lit(0), F.col("_epochs").cast("int") - 1)).alias("epoch")))
+    narrow = narrow.withColumn("_k", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("chunk_id").cast("string"))))
+    order = prefix.dense_index(narrow, ["chunk_len", "epoch", "_k", "chunk_id"], "_g")
+    first = order.groupBy("chunk_len").agg(F.min("_g").alias("_first"))
+    placed = order.join(F.broadcast(first), "chunk_len").withColumn("_g", F.col("_g") - F.col("_first"))
+    runs = plan.drop("n_chunks")
+    return (placed.join(F.broadcast(runs), "chunk_len").filter("_g < _rows")  # one row per run
+            .select("run", "epoch", "chunk_id", F.expr("_g div effective_batch").alias("step"),
+                    F.expr("_g % effective_batch div (micro_batch_size * world_size)").alias("accum_slot"),
+                    F.expr("_g % effective_batch % (micro_batch_size * world_size) div micro_batch_size").alias("rank"),
+                    F.expr("_g % effective_batch % (micro_batch_size * world_size) % micro_batch_size").alias("lane")))
 
 
 def shift_labels(df: DataFrame, ids_col: str = "input_ids", keep_length: bool = False,

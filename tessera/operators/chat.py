@@ -154,7 +154,7 @@ def segment_sessions(turns: DataFrame) -> DataFrame:
     """H6: adds ``kind`` (user turns only; other roles are 'message') and
     ``segment`` (running count of clear/switch), and drops everything from the
     first quit on.  Windows are per conversation, ordered by turn."""
-    kind = F.when(F.col("role") == "user", command_kind(F.col("text"))).otherwise(F.lit("message"))
+    kind = turn_kind(F.col("role"), F.col("text"))
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     t = turns.withColumn("kind", kind)
     t = t.withColumn("_quit", F.max((F.col("kind") == "quit").cast("int")).over(w))
@@ -162,15 +162,30 @@ def segment_sessions(turns: DataFrame) -> DataFrame:
     return t.filter(F.col("_quit") == 0).drop("_quit")
 
 
+def mode_value(kind: Column, text: Column) -> Column:
+    """The preset (or ``auto``) that a ``mode`` turn sets; null if it sets none."""
+    parts = _parts(text)
+    arg = F.lower(F.try_element_at(parts, F.lit(2)))
+    return F.when((kind == "mode") & (F.size(parts) >= 2) & arg.isin("auto", *[p[0] for p in PRESETS]), arg)
+
+
+def stage_jump(kind: Column, text: Column) -> Column:
+    """The stage that ``switch N`` names; null for any other turn."""
+    parts = _parts(text)
+    arg = F.try_element_at(parts, F.lit(2))
+    return F.when((kind == "switch") & (F.size(parts) == 2) & arg.isin("1", "2", "3"), arg.cast("int"))
+
+
+def turn_kind(role: Column, text: Column) -> Column:
+    """H6 for a turn: only user turns can be commands."""
+    return F.when(role == "user", command_kind(F.coalesce(text, F.lit("")))).otherwise(F.lit("message"))
+
+
 def attach_modes(seg: DataFrame) -> DataFrame:
     """H8 state: ``locked`` = last ``mode X`` value before the turn (``auto``
     unlocks; bare ``mode`` and unknown names change nothing)."""
-    labels = [p[0] for p in PRESETS]
-    parts = _parts(F.col("text"))
-    arg = F.lower(F.try_element_at(parts, F.lit(2)))
-    value = (F.when((F.col("kind") == "mode") & (F.size(parts) >= 2) & (arg == "auto"), F.lit("auto"))
-             .when((F.col("kind") == "mode") & (F.size(parts) >= 2) & arg.isin(*labels), arg))
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    value = mode_value(F.col("kind"), F.col("text"))
     return seg.withColumn("_mv", value).withColumn("locked", F.last("_mv", ignorenulls=True).over(w)).drop("_mv")
 
 
@@ -188,11 +203,8 @@ def active_stage(seg: DataFrame, start: int = START_STAGE) -> DataFrame:
     """H9: stage in force at each turn.  ``switch N`` (N in 1..3) jumps, any
     other switch cycles ``(cur mod 3) + 1``.  Closed form: last jump target and
     the number of cycling switches since it."""
-    parts = _parts(F.col("text"))
-    is_sw = F.col("kind") == "switch"
-    jump = F.when(is_sw & (F.size(parts) == 2) & F.try_element_at(parts, F.lit(2)).isin("1", "2", "3"),
-                  F.try_element_at(parts, F.lit(2)).cast("int"))
-    bare = (is_sw & jump.isNull()).cast("int")
+    jump = stage_jump(F.col("kind"), F.col("text"))
+    bare = ((F.col("kind") == "switch") & jump.isNull()).cast("int")
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     t = seg.withColumn("_jump", jump).withColumn("_cum", F.sum(bare).over(w))
     t = t.withColumn("_lastj", F.last("_jump", ignorenulls=True).over(w)) \

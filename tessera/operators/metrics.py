@@ -2,15 +2,14 @@
 
 Rows are ``(pos, layer, teacher ARRAY<DOUBLE>, student ARRAY<DOUBLE>)``.
 Per-row maths are higher-order array expressions in the JVM; batch means are
-partial aggregates.  D7 (hidden -> logits -> KL) streams the projection
-matrix in row blocks and merges per-block online-softmax partials with a
+partial aggregates.  D7 (hidden -> logits -> KL) joins blocks of positions with blocks
+of the two projection matrices and merges per-block online-softmax partials with a
 ``groupBy``, so neither side needs to fit in one task.
 """
 
 from __future__ import annotations
 
-import math
-from typing import Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,8 +59,14 @@ def kl_grad(t: Column, s: Column, n: Column | int = 1) -> Column:
 
 
 def cross_entropy_row(logits: Column, target: Column) -> Column:
-    """D4 per position: -log p(target) (target is 0-based)."""
-    return -F.element_at(log_softmax(logits), (target + 1).cast("int"))
+    """D4 per position: -log p(target) (target is 0-based); one pass for the normaliser, one element read."""
+    return logsumexp(logits) - F.element_at(logits, (target + 1).cast("int"))
+
+
+def next_targets(df: DataFrame, pos: str = "pos", token: str = "token", out: str = "target") -> DataFrame:
+    """Each position's target is the token at the next one; the last position has none and goes."""
+    after = df.select((F.col(pos) - 1).alias(pos), F.col(token).alias(out))
+    return df.join(after, pos)
 
 
 def alignment_row(t: Column, s: Column) -> Column:
@@ -90,56 +95,46 @@ def layer_mean(per_layer: DataFrame, loss_col: str, factor: float = 1.0) -> Data
 
 # ---- D7 ---------------------------------------------------------------------
 
-def _block_partials(w_block: np.ndarray, hid_t: str, hid_s: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pos = b.column("pos").to_numpy()
-            n = len(pos)
-            if n == 0:
-                continue
-            xt = np.asarray(b.column(hid_t).to_pylist(), dtype=np.float64).reshape(n, -1)
-            xs = np.asarray(b.column(hid_s).to_pylist(), dtype=np.float64).reshape(n, -1)
-            lt, ls = xt @ w_block.T, xs @ w_block.T
+def _matrix(column: pa.ListArray, rows: int) -> np.ndarray:
+    """An Arrow column of equally long lists as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
+def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each pair of a block of positions and a block of weights: per position the maxima and
+    max-shifted sums that a blockwise softmax needs."""
+    for batch in batches:
+        for i in range(len(batch)):
+            pos, t, s, wt, ws = (batch.column(c)[i].values for c in ("pos", "t", "s", "wt", "ws"))
+            lt = _matrix(t, len(t)) @ _matrix(wt, len(wt)).T
+            ls = _matrix(s, len(s)) @ _matrix(ws, len(ws)).T
             mt, ms = lt.max(axis=1), ls.max(axis=1)
             et = np.exp(lt - mt[:, None])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pos), pa.array(mt), pa.array(et.sum(axis=1)), pa.array((et * (lt - ls)).sum(axis=1)),
-                 pa.array(ms), pa.array(np.exp(ls - ms[:, None]).sum(axis=1))],
-                names=["pos", "mt", "zt", "at", "ms", "zs"])
-    return run
-
-
-def projected_kl(hidden: DataFrame, weight: DataFrame, block_rows: int = 4096,
-                 hid_t: str = "teacher", hid_s: str = "student") -> DataFrame:
-    """logits = X W^T for teacher and student hidden states, then KL per row.
-
-    ``weight`` is ``(v LONG, w ARRAY<DOUBLE>)`` with dense ``v``.  Each block of
-    ``block_rows`` rows of W (checked bound: block_rows x H values) is
-    broadcast in turn; every block yields per-row partials (max, sum exp,
-    sum exp*(t-s)) that a ``groupBy(pos)`` merges with max-rescaling -- the
-    blockwise online softmax, distributed.
+            cols = [pos, *map(pa.array, (mt, et.sum(axis=1), (et * (lt - ls)).sum(axis=1), ms, np.exp(ls - ms[:, None]).sum(axis=1)))]
+            yield pa.RecordBatch.from_arrays(cols, names=["pos", "mt", "zt", "at", "ms", "zs"])
+
+
+def projected_kl(hidden: DataFrame, weights: DataFrame, block_rows: int = 4096, block_positions: int = 1024) -> DataFrame:
+    """Teacher logits = X_t W_t^T, student logits = X_s W_s^T, then KL per position.
+
+    ``hidden``: (pos, teacher, student); ``weights``: (v, teacher, student) with dense ``v``, each side its own
+    matrix, which may differ in width. Blocks of ``block_positions`` positions meet blocks of ``block_rows``
+    weight rows by a join on the block number; each meeting is one matrix product in Arrow, and its
+    per-position partials are merged by a ``groupBy`` with max-rescaling (the online softmax). No
+    matrix passes through the driver, and no task holds more than one block of each.
     """
-    V = weight.count()
-    H = weight.select(F.size("w")).first()[0]
-    if block_rows * H > 50_000_000:
-        raise ValueError("block too large to broadcast; lower block_rows")
-    schema = "pos long, mt double, zt double, at double, ms double, zs double"
-    src = hidden.select("pos", hid_t, hid_s)
-    parts = None
-    for b0 in range(0, V, block_rows):
-        rows = (weight.filter((F.col("v") >= b0) & (F.col("v") < b0 + block_rows))
-                .orderBy("v").select("w").collect())
-        wb = np.asarray([r[0] for r in rows], dtype=np.float64)
-        p = src.mapInArrow(_block_partials(wb, hid_t, hid_s), schema)
-        parts = p if parts is None else parts.unionByName(p)
+    w = weights.groupBy(F.expr(f"v div {block_rows}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("v", "teacher", "student"))).alias("_w"))
+    w = w.select("block", F.col("_w.teacher").alias("wt"), F.col("_w.student").alias("ws"))
+    blocks = weights.agg(F.expr(f"max(v) div {block_rows}").alias("_last"))
+    x = hidden.groupBy(F.expr(f"pos div {block_positions}").alias("_rows")).agg(F.collect_list(F.struct("pos", "teacher", "student")).alias("_x"))
+    x = x.select(F.col("_x.pos").alias("pos"), F.col("_x.teacher").alias("t"), F.col("_x.student").alias("s"))
+    x = x.join(F.broadcast(blocks)).select("pos", "t", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("block"))  # one row
+    parts = x.join(w, "block").select("pos", "t", "s", "wt", "ws").mapInArrow(
+        _partials, "pos long, mt double, zt double, at double, ms double, zs double")
     g = parts.groupBy("pos").agg(F.max("mt").alias("Mt"), F.max("ms").alias("Ms"),
                                  F.collect_list(F.struct("mt", "zt", "at", "ms", "zs")).alias("p"))
-    # one entry per W block in ``p``: bounded by ceil(V / block_rows)
+    # one entry per block of weights in ``p``
     zt = _sum(F.transform("p", lambda x: x["zt"] * F.exp(x["mt"] - F.col("Mt"))))
     at = _sum(F.transform("p", lambda x: x["at"] * F.exp(x["mt"] - F.col("Mt"))))
     zs = _sum(F.transform("p", lambda x: x["zs"] * F.exp(x["ms"] - F.col("Ms"))))
     return g.select("pos", (at / zt - (F.col("Mt") + F.log(zt)) + (F.col("Ms") + F.log(zs))).alias("kl"))
-
-
-def vocab_blocks(V: int, block_rows: int) -> int:
-    return math.ceil(V / block_rows)

@@ -9,27 +9,31 @@ and one shuffle on ``chunk_id`` reassembles chunks from at most ``C`` parts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions import prefix
+from ..session import scratch_path
 
 
 def token_offsets(tokens: DataFrame, order_key: str = "doc_id", ids_col: str = "input_ids",
-                  cuts: list[float] | None = None, keys: DataFrame | None = None) -> DataFrame:
-    """Adds ``n_tokens`` and ``start`` (global offset of the first token).
+                  rows_per_range: int = prefix.ROWS_PER_RANGE) -> DataFrame:
+    """Adds ``n_tokens`` and ``start`` (global offset of the first token) to every document.
 
-    ``keys`` is a cheap one-column scan used to pick bucket cut points (the
-    token table itself may be expensive to recompute).  Empty documents are
-    dropped: they contribute nothing to the stream.
+    The encoded table is written once, so the tokenizer runs once; only (key, length) go
+    through the running sum, and the offsets are joined back on the key.  A null key has
+    no place in the order and fails the job; an empty document has the offset of the next one.
     """
-    # read twice (bucket totals, then the window): persist so the tokenizer runs once
-    sized = (tokens.withColumn("n_tokens", F.size(ids_col).cast("long")).filter(F.col("n_tokens") > 0)
-             .persist(StorageLevel.MEMORY_AND_DISK))
-    if cuts is None:
-        cuts = prefix.bucket_cuts(keys if keys is not None else tokens.select(order_key), order_key)
-    return prefix.running_total(sized, order_key, "n_tokens", "start", cuts)
+    spark = tokens.sparkSession
+    key = F.when(F.col(order_key).isNull(), F.raise_error(F.lit(f"null in the order key {order_key}"))).otherwise(F.col(order_key))
+    path = scratch_path(spark, "tokens")
+    (tokens.withColumn(order_key, key).withColumn("n_tokens", F.coalesce(F.size(ids_col), F.lit(0)).cast("long"))
+     .write.parquet(path))
+    sized = spark.read.parquet(path)
+    starts = prefix.running_total(sized.select(order_key, "n_tokens"), order_key, "n_tokens", "start", rows_per_range=rows_per_range)
+    return sized.join(starts.select(order_key, "start"), order_key)
 
 
 def pack_chunks(offsets: DataFrame, chunk_len: int, ids_col: str = "input_ids") -> DataFrame:
@@ -38,16 +42,12 @@ def pack_chunks(offsets: DataFrame, chunk_len: int, ids_col: str = "input_ids")
     Output ``chunk_id LONG, input_ids ARRAY<INT>``.
     """
     C = int(chunk_len)
-    st, n = F.col("start"), F.col("n_tokens")
-
-    def part(ck):
-        lo = F.greatest(st, ck * C)
-        hi = F.least(st + n, (ck + 1) * C)
-        return F.struct(ck.alias("chunk_id"), lo.alias("lo"),
-                        F.slice(F.col(ids_col), (lo - st + 1).cast("int"), (hi - lo).cast("int")).alias("ids"))
+    offsets = offsets.filter("n_tokens > 0")
 
-    parts = offsets.select(F.inline(F.transform(
-        F.sequence(F.floor(st / C), F.floor((st + n - 1) / C)), part)))
+    parts = offsets.select(F.expr(f"""inline(transform(sequence(start div {C}, (start + n_tokens - 1) div {C}), c -> struct(
+        c as chunk_id, greatest(start, c * {C}) as lo,
+        slice({ids_col}, cast(greatest(start, c * {C}) - start + 1 as int),
+              cast(least(start + n_tokens, (c + 1) * {C}) - greatest(start, c * {C}) as int)) as ids)))"""))
     return (parts.groupBy("chunk_id")
             .agg(F.array_sort(F.collect_list(F.struct("lo", "ids"))).alias("_p"))
             .select("chunk_id", F.flatten(F.transform("_p", lambda x: x["ids"])).alias(ids_col))
@@ -60,35 +60,55 @@ def packing_stats(tokens: DataFrame, chunk_len: int, ids_col: str = "input_ids")
     total = F.coalesce(F.sum(F.size(ids_col).cast("long")), F.lit(0)).cast("long")
     return (tokens.agg(total.alias("total_tokens"))
             .select(F.lit(C).alias("chunk_len"), "total_tokens",
-                    (F.floor(F.col("total_tokens") / C) * C).cast("long").alias("usable_tokens"),
+                    F.expr(f"total_tokens div {C} * {C}").alias("usable_tokens"),
                     (F.col("total_tokens") % C).cast("long").alias("dropped_tokens"),
-                    F.floor(F.col("total_tokens") / C).cast("long").alias("num_chunks")))
+                    F.expr(f"total_tokens div {C}").alias("num_chunks")))
 
 
 def pack_many(offsets: DataFrame, lengths: list[int], ids_col: str = "input_ids") -> DataFrame:
     """C4: the same offsets cut at several lengths (e.g. 512 and 4096).
 
-    Offsets are computed once and persisted; the output carries ``chunk_len``
-    so it can be written partitioned by length.
+    Where each length divides the next, ids move once: only the shortest chunks are cut from
+    documents, and longer ones are put together from whole shorter ones; a tail shorter than
+    the longest chunk is dropped for each length on its own.  Other lengths are cut one by one.
     """
-    off = offsets.persist(StorageLevel.MEMORY_AND_DISK)
-    out = None
+    lengths = sorted(set(int(c) for c in lengths))
+    nested = all(b % a == 0 for a, b in zip(lengths, lengths[1:]))
+    out, base = None, None
     for C in lengths:
-        part = pack_chunks(off, C, ids_col).withColumn("chunk_len", F.lit(int(C)))
+        if base is None or not nested:
+            part = base = pack_chunks(offsets, C, ids_col)
+            if nested and len(lengths) > 1:
+                path = scratch_path(offsets.sparkSession, "chunks")
+                base.write.parquet(path)
+                part = base = offsets.sparkSession.read.parquet(path)
+        else:
+            k = C // lengths[0]
+            part = (base.groupBy(F.expr(f"chunk_id div {k}").alias("long_id"))
+                    .agg(F.array_sort(F.collect_list(F.struct("chunk_id", ids_col))).alias("_p"))
+                    .filter(F.size("_p") == k)
+                    .select(F.col("long_id").alias("chunk_id"), F.flatten(F.col(f"_p.{ids_col}")).alias(ids_col)))
+        part = part.withColumn("chunk_len", F.lit(C))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def corpus_fingerprint(tokens: DataFrame, key: str = "doc_id", ids_col: str = "input_ids") -> DataFrame:
-    """Row count and an order-free checksum, used to key the C5 cache path."""
-    return tokens.agg(F.count(F.lit(1)).alias("n_docs"),
-                      F.sum(F.xxhash64(key, F.size(ids_col)).bitwiseAND(F.lit(0xFFFFFFFF))).alias("checksum"))
+def corpus_fingerprint(texts: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Row count and two order-free checksums over keys and whole texts, which name the C5 cache path."""
+    one, two = F.xxhash64(key, text_col), F.xxhash64(F.lit(1), F.lower(F.md5(F.coalesce(F.col(text_col), F.lit("")))), key)
+    return texts.agg(F.count(F.lit(1)).alias("n_docs"), *[F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias(c) for h, c in ((one, "a"), (two, "b"))])
 
 
-def materialise_offsets(offsets: DataFrame, root: str, fingerprint: tuple) -> DataFrame:
-    """Write the offset table once under a path that includes the corpus
-    fingerprint; later jobs scan it instead of re-tokenising.  An existing
-    path is reused (``ignore`` mode), a different corpus gets its own path."""
-    path = f"{root.rstrip('/')}/offsets-{fingerprint[0]}-{fingerprint[1] & 0xFFFFFFFFFFFF:x}"
-    offsets.write.mode("ignore").parquet(path)
-    return offsets.sparkSession.read.parquet(path)
+def cached_offsets(spark: SparkSession, root: str, fingerprint: tuple, make: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """(tokens with their offsets, whether they came from the cache).
+
+    The table stands under a path that names the corpus by its content; a folder counts only
+    with the writer's success mark, so a broken run leaves nothing to reuse.  ``make`` builds the
+    table where there is none yet; a hit never calls it, so the texts aren't tokenised again.
+    """
+    path = f"{root.rstrip('/')}/offsets-" + "-".join(str(x).replace("-", "m") for x in fingerprint)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    hit = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    if not hit:
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), hit

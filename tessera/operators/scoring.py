@@ -59,10 +59,16 @@ def first_line(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit(None)).otherwise(py_strip(F.split(text, PY_LINE_BREAK, 2)[0]))
 
 
-def correct(task: Column, text: Column, gold: Column, prompt: Column) -> Column:
+def with_references(tasks: DataFrame) -> DataFrame:
+    """Adds what scoring needs of a sample, ``allowed`` (E4) and ``gold_words``; done once per sample,
+    before its answers are joined or repeated, not for each answer or token."""
+    lists = F.col("task").isin(G.CWE, G.FWE)
+    return (tasks.withColumn("allowed", F.when(lists, prompt_words(F.col("prompt"))))
+            .withColumn("gold_words", py_split(F.col("answer"))))
+
+
+def correct(task: Column, text: Column, gold: Column, allowed: Column, gold_words: Column) -> Column:
     """E1-E8 dispatch: one CASE over the task name; unknown tasks score false."""
-    gold_words = py_split(gold)
-    allowed = prompt_words(prompt)
     return (F.when(task == G.RETRIEVAL, first_int(text) == gold)
             .when(task.isin(G.AR, G.AR_MULTIHOP), contains_gold(text, gold))
             .when(task == G.VT, var_set(text) == F.array_sort(F.array_distinct(gold_words)))
@@ -74,9 +80,11 @@ def correct(task: Column, text: Column, gold: Column, prompt: Column) -> Column:
 
 
 def score(gens: DataFrame) -> DataFrame:
-    """Adds ``correct`` (boolean) to every generation row."""
-    return gens.withColumn("correct", F.coalesce(correct(F.col("task"), F.col("text"), F.col("answer"),
-                                                         F.col("prompt")), F.lit(False)))
+    """Adds ``correct`` (boolean) to every generation row; see :func:`with_references`."""
+    if "allowed" not in gens.columns:
+        gens = with_references(gens)
+    cols = (F.col(c) for c in ("task", "text", "answer", "allowed", "gold_words"))
+    return gens.withColumn("correct", F.coalesce(correct(*cols), F.lit(False)))
 
 
 def accuracy(scored: DataFrame) -> DataFrame:

@@ -22,19 +22,24 @@ NAME_MAP = [
 TOLERANCES = {"float32": (1.3e-6, 1e-5), "bfloat16": (1.6e-2, 1e-5)}
 
 
-def parameter_table(tensors: DataFrame, frozen_pattern: str = "embed") -> DataFrame:
-    """``(name, numel, requires_grad)`` from tensor rows (one partial aggregate)."""
+def parameter_table(tensors: DataFrame, frozen: list[str] = ()) -> DataFrame:
+    """``(name, numel, requires_grad)`` from tensor rows (one partial aggregate); the tensors named in
+    ``frozen`` aren't trained."""
     return (tensors.groupBy("name").agg(F.sum(F.size("values")).cast("long").alias("numel"))
-            .withColumn("requires_grad", ~F.col("name").contains(frozen_pattern)))
+            .withColumn("requires_grad", ~F.col("name").isin(*frozen) if frozen else F.lit(True)))
 
 
-def parameter_groups(params: DataFrame) -> DataFrame:
-    """Total / trainable counts and share per group ('attn' in name vs other)."""
+def parameter_groups(params: DataFrame, attn_rate: float, other_rate: float) -> DataFrame:
+    """Per group ('attn' in name vs other) total and trainable counts, the trainable share, and the
+    learning rate of its trainable parameters (null where it has none)."""
     grp = F.when(F.col("name").contains("attn"), "attn").otherwise("other")
+    rate = F.when(F.col("group") == "attn", F.lit(float(attn_rate))).otherwise(F.lit(float(other_rate)))
     return (params.groupBy(grp.alias("group"))
             .agg(F.sum("numel").alias("n_params"),
                  F.sum(F.when(F.col("requires_grad"), F.col("numel")).otherwise(0)).alias("n_trainable"))
-            .withColumn("trainable_share", F.col("n_trainable") / F.col("n_params")))
+            .withColumn("trainable_share", F.col("n_trainable") / F.col("n_params"))
+            .withColumn("learning_rate", F.when(F.col("n_trainable") > 0, rate))
+            .withColumn("n_params_text", human_count(F.col("n_params"))))
 
 
 def human_count(n: F.Column) -> F.Column:
@@ -51,39 +56,40 @@ def elements(tensors: DataFrame) -> DataFrame:
         .withColumn("w", F.col("w").cast("double"))
 
 
-def magnitude_threshold(tensors: DataFrame, sparsity: float, nb: int = 256) -> DataFrame:
+def magnitude_threshold(tensors: DataFrame, sparsity: float, per_octave: int = 64, cells: int = 4096) -> DataFrame:
     """Per tensor ``k = floor(n * sparsity)`` and the exact k-th smallest |w|.
 
-    No tensor is ever sorted whole: a 256-bucket histogram of |w| per tensor
-    (partial aggregate) locates the bucket holding rank k, and only the
-    distinct values of that one bucket are ranked.  Output ``name, n, k,
-    threshold`` (threshold null when k = 0: keep everything).
+    Rank k is located in two histograms (partial aggregates): ``per_octave`` bins per power of two, which an
+    outlier cannot widen, then ``cells`` equal cells of the bin that holds it. A 32-bit float has at most
+    2**23 / per_octave / cells values in such a cell (about 32), and only those are ranked.
+    Output ``name, n, k, threshold`` (threshold null when k = 0: keep everything).
     """
     el = elements(tensors).select("name", F.abs("w").alias("a"))
+    el = el.withColumn("bin", F.when(F.col("a") > 0, F.floor(F.log2("a") * per_octave)).otherwise(F.lit(-(1 << 40))).cast("long"))
     stats = el.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     stats = stats.withColumn("k", F.floor(F.col("n") * F.lit(float(sparsity))).cast("long"))
-    mm = el.groupBy("name").agg(F.min("a").alias("amin"), F.max("a").alias("amax"))
-    width = (F.col("amax") - F.col("amin")) / nb
-    bucket = F.when(width <= 0, 0).otherwise(F.least(F.floor((F.col("a") - F.col("amin")) / width), F.lit(nb - 1)))
-    hb = el.join(F.broadcast(mm), "name").withColumn("b", bucket.cast("int"))
-    hist = hb.groupBy("name", "b").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("name").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("cum", F.sum("c").over(w)).withColumn("below", F.col("cum") - F.col("c"))
-    target = (hist.join(stats, "name").filter((F.col("k") > F.col("below")) & (F.col("k") <= F.col("cum")))
-              .select("name", "b", "below"))
-    # inside the target bucket: distinct values with counts, running count
-    inb = hb.join(F.broadcast(target), ["name", "b"]).groupBy("name", "below", "a").agg(F.count(F.lit(1)).alias("c"))
-    w2 = Window.partitionBy("name").orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
-    inb = inb.withColumn("cum", F.col("below") + F.sum("c").over(w2))
-    thr = (inb.join(stats, "name").filter((F.col("cum") >= F.col("k")) & (F.col("cum") - F.col("c") < F.col("k")))
-           .select("name", F.col("a").alias("threshold")))
+
+    def holding(hist: DataFrame, by: str, below) -> DataFrame:
+        """The bin with rank k, and how many elements lie before it."""
+        w = Window.partitionBy("name").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+        cum = hist.withColumn("cum", below + F.sum("c").over(w)).withColumn("before", F.col("cum") - F.col("c"))
+        return cum.filter((F.col("k") > F.col("before")) & (F.col("k") <= F.col("cum"))).drop("cum", "c")
+
+    bins = el.groupBy("name", "bin").agg(F.count(F.lit(1)).alias("c"), F.min("a").alias("lo"), F.max("a").alias("hi"))
+    first = holding(bins.join(stats, "name"), "bin", F.lit(0))
+    cell = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("a") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (cells - 1))).otherwise(0)
+    inner = el.join(first, ["name", "bin"]).withColumn("cell", cell.cast("int"))
+    fine = inner.groupBy("name", "k", "before", "cell").agg(F.count(F.lit(1)).alias("c"))
+    second = holding(fine.withColumnRenamed("before", "base"), "cell", F.col("base")).select("name", "k", "cell", "before")
+    values = inner.select("name", "cell", "a").join(second, ["name", "cell"]).groupBy("name", "k", "before", "a").agg(F.count(F.lit(1)).alias("c"))
+    thr = holding(values.withColumnRenamed("before", "base"), "a", F.col("base")).select("name", F.col("a").alias("threshold"))
     return stats.join(thr, "name", "left").select("name", "n", "k", F.when(F.col("k") > 0, F.col("threshold")).alias("threshold"))
 
 
 def apply_mask(tensors: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Keep |w| strictly above the threshold (ties pruned too); masked
     value = w where kept else 0.  Adds ``mask ARRAY<BOOLEAN>`` and ``masked``."""
-    t = tensors.join(F.broadcast(thresholds.select("name", "threshold")), "name", "left")
+    t = tensors.join(thresholds.select("name", "threshold"), "name", "left")
     keep = lambda x: F.col("threshold").isNull() | (F.abs(x.cast("double")) > F.col("threshold"))
     return t.withColumn("mask", F.transform("values", keep)) \
         .withColumn("masked", F.transform("values", lambda x: F.when(keep(x), x).otherwise(F.lit(0.0).cast("float"))))
@@ -106,20 +112,23 @@ def clean_keys(df: DataFrame, col: str = "key") -> DataFrame:
 
 
 def layer_of(name: F.Column) -> F.Column:
-    return F.regexp_extract(name, r"layers\.(\d+)\.", 1).try_cast("int")
+    return F.regexp_extract(name, r"^model\.layers\.(\d+)\.", 1).try_cast("int")
 
 
 def hybrid_merge(teacher: DataFrame, student: DataFrame, keep_layers: DataFrame) -> DataFrame:
-    """Attention tensors (incl. norms named attn) of kept layers come from
-    the teacher, everything else from the student.  ``keep_layers`` is a
-    one-column table ``layer`` (model depth rows: broadcast)."""
-    kl = F.broadcast(keep_layers.select("layer").distinct())
+    """All attention tensors (incl. norms named attn) of kept layers come from
+    the teacher, whichever the student has there; everything else from the student.
+    ``keep_layers`` is a one-column table ``layer`` (one row per layer of the model: broadcast)."""
+    kept = F.broadcast(keep_layers.select("layer", F.lit(True).alias("kept")).distinct())
     is_attn = F.col("name").contains("attn")
-    t = (teacher.withColumn("layer", layer_of(F.col("name"))).filter(is_attn)
-         .join(kl, "layer", "left_semi").withColumn("source", F.lit("teacher")))
-    s = (student.withColumn("layer", layer_of(F.col("name")))
-         .join(t.select("name").distinct(), "name", "left_anti").withColumn("source", F.lit("student")))
-    return t.unionByName(s).drop("layer")
+
+    def marked(df: DataFrame) -> DataFrame:
+        return (df.withColumn("layer", layer_of(F.col("name"))).join(kept, "layer", "left")
+                .withColumn("_kept", F.coalesce("kept", F.lit(False)) & is_attn).drop("layer", "kept"))
+
+    t = marked(teacher).filter("_kept").withColumn("source", F.lit("teacher"))
+    s = marked(student).filter("not _kept").withColumn("source", F.lit("student"))
+    return t.unionByName(s).drop("_kept")
 
 
 def missing_keys(merged: DataFrame, expected: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 The tokenizer slot has two implementations:
   * the built-in word tokenizer (``WORD_TOKEN_PATTERN``) whose vocabulary is
-    *trained by a Spark job* (T1) and applied with ``mapInArrow`` (T2);
+    counted by a Spark job (T1) and joined to the tokens (T2);
   * any Python object with ``encode_batch`` (for instance a ``tokenizers``
     tokenizer loaded from a file shipped to executors), also via ``mapInArrow``.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import prefix
 from ..functions.text import WORD_TOKEN_PATTERN, py_strip
 
 # Reserved ids of the built-in vocabulary.
@@ -31,36 +32,22 @@ def word_tokens(text_col: str = "text") -> F.Column:
     return F.regexp_extract_all(F.col(text_col), F.lit(WORD_TOKEN_PATTERN), 0)
 
 
-def build_vocab(df: DataFrame, text_col: str = "text", max_size: int = 32000,
+def build_vocab(df: DataFrame, text_col: str = "text", max_size: int | None = None,
                 min_count: int = 1) -> DataFrame:
-    """Token -> id from corpus counts.
+    """Token -> id from corpus counts, all tokens unless ``max_size`` says otherwise.
 
     ``explode`` + ``groupBy.count`` aggregates partially on the map side (a hot
-    token costs one row per partition).  Top-``max_size`` by (count desc,
-    token) is a ``TakeOrderedAndProject``; ids are dense after the reserved
-    ones, assigned over at most ``max_size`` rows.
+    token costs one row per partition).  Ids are dense after the reserved ones
+    in the order (count desc, token), by a two-level index; no task sorts them all.
     Output: ``token STRING, token_id INT, cnt LONG``.
     """
     counts = (df.select(F.explode(word_tokens(text_col)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
               .filter(F.col("cnt") >= min_count))
-    top = counts.orderBy(F.col("cnt").desc(), F.col("token")).limit(max_size)
-    from pyspark.sql import Window
-
-    w = Window.orderBy(F.col("cnt").desc(), F.col("token"))  # <= max_size rows
-    return top.select("token", (F.row_number().over(w) + (RESERVED - 1)).cast("int").alias("token_id"),
-                      "cnt")
-
-
-def vocab_dict(vocab: DataFrame, max_entries: int = 1_000_000) -> dict:
-    """Collects a vocabulary to a dict.  Size is bounded by ``build_vocab``'s
-    ``max_size``; this check makes the bound explicit before broadcasting."""
-    # one job: fetch at most max_entries + 1 rows, fail if the bound is exceeded
-    rows = vocab.select("token", "token_id").limit(max_entries + 1).collect()
-    if len(rows) > max_entries:
-        raise ValueError(f"vocabulary exceeds {max_entries} entries and is too large to broadcast; "
-                         f"use encode_by_join instead")
-    return {r["token"]: int(r["token_id"]) for r in rows}
+    ids = prefix.dense_index(counts, [F.col("cnt").desc(), F.col("token")], "_pos")
+    if max_size is not None:
+        ids = ids.filter(F.col("_pos") < max_size)
+    return ids.select("token", (F.col("_pos") + RESERVED).cast("int").alias("token_id"), "cnt")
 
 
 def _word_encoder(vocab: dict, unk: int):
@@ -75,20 +62,24 @@ def _word_encoder(vocab: dict, unk: int):
     return encode
 
 
+KEYS = ("doc_id", "conv_id", "item_id", "id")
+
+
 def encode(df: DataFrame, vocab: dict | DataFrame, text_col: str = "text",
            out_col: str = "input_ids", keep_columns: bool = False,
            max_length: int | None = None, append_eos: bool = False) -> DataFrame:
     """T2 (+T3, T4): text -> ``ARRAY<INT>`` with the built-in word tokenizer.
 
-    Row-local: ``mapInArrow`` over Arrow batches with the vocabulary shipped
-    once per executor as a broadcast variable; no shuffle.
+    A vocabulary table of any size is joined (:func:`encode_by_join`); a ``dict``
+    that the caller holds anyway goes to the executors as a broadcast variable,
+    row-local over Arrow batches.
     """
     if isinstance(vocab, DataFrame):
-        vocab = vocab_dict(vocab)
-    spark = df.sparkSession
-    bvocab = spark.sparkContext.broadcast(vocab)
-    factory = lambda: _word_encoder(bvocab.value, UNK_ID)
-    out = encode_with(df, factory, text_col, out_col, keep_columns)
+        out = encode_by_join(df, vocab, text_col, out_col, keep_columns)
+    else:
+        bvocab = df.sparkSession.sparkContext.broadcast(vocab)
+        factory = lambda: _word_encoder(bvocab.value, UNK_ID)
+        out = encode_with(df, factory, text_col, out_col, keep_columns)
     if max_length:
         out = truncate(out, max_length, out_col)
     if append_eos:
@@ -103,7 +94,7 @@ def encode_with(df: DataFrame, encoder_factory: Callable[[], Callable[[list], li
     executor and returns ``list[str|None] -> list[list[int]|None]`` (for a
     ``tokenizers.Tokenizer``: ``lambda ts: [e.ids for e in tok.encode_batch(ts)]``)."""
     keep = [f for f in df.schema.fields if f.name != text_col] if keep_columns else \
-        [f for f in df.schema.fields if f.name != text_col and f.name in ("doc_id", "conv_id", "item_id", "id")]
+        [f for f in df.schema.fields if f.name != text_col and f.name in KEYS]
     keep_names = [f.name for f in keep]
     schema = T.StructType(keep + [T.StructField(out_col, T.ArrayType(T.IntegerType()), True)])
     arrow_type = pa.list_(pa.int32())
@@ -119,16 +110,21 @@ def encode_with(df: DataFrame, encoder_factory: Callable[[], Callable[[list], li
     return src.mapInArrow(run, schema)
 
 
-def encode_by_join(df: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col: str = "text",
-                   out_col: str = "input_ids") -> DataFrame:
-    """T2 for vocabularies too large to broadcast: token rows joined to the
-    vocabulary (shuffle on token) and regrouped per document in position order."""
-    toks = df.select(key, F.posexplode(word_tokens(text_col)).alias("pos", "token"))
+def encode_by_join(df: DataFrame, vocab: DataFrame, text_col: str = "text",
+                   out_col: str = "input_ids", keep_columns: bool = False) -> DataFrame:
+    """T2 for a vocabulary of any size: the tokens (JVM regex) are joined to it
+    and regrouped per document in position order.
+
+    A frequent token makes a skewed join key, which AQE splits; a group holds the
+    tokens of one document.  The kept columns must tell the documents apart; an
+    empty or null text gives an empty array.
+    """
+    keep = [c for c in df.columns if c != text_col and (keep_columns or c in KEYS)]
+    toks = df.select(*keep, F.posexplode_outer(word_tokens(text_col)).alias("pos", "token"))
     joined = toks.join(vocab.select("token", "token_id"), "token", "left")
-    return (joined.groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id"))))
-                 .alias("_p"))
-            .select(key, F.transform("_p", lambda x: x["id"]).alias(out_col)))
+    part = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))
+    return (joined.groupBy(*keep).agg(F.array_sort(F.collect_list(part)).alias("_p"))
+            .select(*keep, F.col("_p.id").alias(out_col)))
 
 
 def truncate(df: DataFrame, max_length: int, col: str = "input_ids") -> DataFrame:
@@ -158,5 +154,5 @@ def eligible_words(vocab: DataFrame, need: int | None = None, token_col: str = "
     if need:
         n = out.count()
         if n < need:
-            raise ValueError(f"Not enough suitable words in vocabulary ({n}) to create pairs ({need}).")
+            raise ValueError(f"only {n} eligible words, {need} are needed")
     return out

@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 
 from ..operators import batching as L
 from ..operators import pack
+from ..session import scratch_path
 from ..sources.corpus import read_table
 from . import corpus as C
 from .registry import register
 
 SEED, EPOCH, BATCH = 1234, 0, 8
-MICRO, WORLD, ACCUM, STEPS = 2, 2, 1, 60
 
 
 def chunks(spark, sf):
-    off = pack.token_offsets(C.encoded(spark, sf), keys=C.docs(spark, sf).select("doc_id"))
+    off = pack.token_offsets(C.encoded(spark, sf))
     return pack.pack_chunks(off, C.CHUNK_LEN)
 
 
@@ -71,8 +71,9 @@ SELECT run, CAST(accum_steps AS BIGINT) AS accum_steps, CAST(effective_batch AS
 FROM s, tot""")
 def l3_budget_plan(spark, sf):
     plan = L.budget_plan(run_params(spark, sf))
-    total = pack.packing_stats(C.encoded(spark, sf), 1).first()["total_tokens"]  # one number
-    usable = F.floor(F.lit(total) / F.col("seq_len")) * F.col("seq_len")
+    total = pack.packing_stats(C.encoded(spark, sf), 1).select("total_tokens")
+    plan = plan.join(F.broadcast(total))  # one row
+    usable = F.expr("total_tokens div seq_len * seq_len")
     return plan.select("run", "accum_steps", "effective_batch", "total_steps",
                     F.ceil(F.col("total_steps") * F.col("effective_batch") * F.col("seq_len") / usable).cast("long")
                     .alias("epochs_needed"))
@@ -80,18 +81,31 @@ def l3_budget_plan(spark, sf):
 
 @register("l4_assign_steps", sql=SQL_CH + f""",
 n AS (SELECT count(*) AS n FROM chunks),
-g AS (SELECT chunk_id, {EPOCH} * (SELECT n FROM n) + pos AS g FROM ord)
-SELECT chunk_id, CAST(g // {MICRO * WORLD * ACCUM} AS BIGINT) AS step,
-       CAST((g % {MICRO * WORLD * ACCUM}) // {MICRO * WORLD} AS BIGINT) AS accum_slot,
-       CAST(((g % {MICRO * WORLD * ACCUM}) % {MICRO * WORLD}) // {MICRO} AS BIGINT) AS rank,
-       CAST((g % {MICRO * WORLD * ACCUM}) % {MICRO} AS BIGINT) AS lane
-FROM g WHERE g // {MICRO * WORLD * ACCUM} < {STEPS}""")
+g0 AS (SELECT o_orderpriority AS run, count(*) AS c FROM orders GROUP BY 1),
+p AS (SELECT run, n, n * {C.CHUNK_LEN} * (1 + c % 5) // 2 AS target_tokens, 8 * (1 + c % 12) AS batch, 1 + c % 4 AS micro, 1 + c % 2 AS world FROM g0, n),
+a AS (SELECT *, greatest(1, CAST(ceil(batch / (micro * world)) AS BIGINT)) AS accum FROM p),
+e AS (SELECT *, micro * world * accum AS eff FROM a),
+s AS (SELECT *, greatest(1, target_tokens // (eff * {C.CHUNK_LEN})) * eff AS rows_ FROM e WHERE n > 0),
+ep AS (SELECT unnest(range((SELECT max((rows_ + n - 1) // n) FROM s))) AS epoch),
+o AS (SELECT epoch, chunk_id, epoch * (SELECT n FROM n) + row_number() OVER (PARTITION BY epoch ORDER BY md5('{SEED}:' || epoch || ':' || chunk_id), chunk_id) - 1 AS g
+      FROM chunks, ep)
+SELECT run, CAST(epoch AS INTEGER) AS epoch, chunk_id, CAST(g // eff AS BIGINT) AS step, CAST((g % eff) // (micro * world) AS BIGINT) AS accum_slot,
+       CAST(((g % eff) % (micro * world)) // micro AS BIGINT) AS rank, CAST(((g % eff) % (micro * world)) % micro AS BIGINT) AS lane
+FROM o, s WHERE g < rows_""")
 def l4_assign_steps(spark, sf):
-    ch = chunks(spark, sf)
-    n = ch.count()
-    a = L.assign_steps(L.epoch_order(ch, SEED, EPOCH), MICRO, WORLD, ACCUM, STEPS, n)
-    return a.select("chunk_id", F.col("step").cast("long").alias("step"), F.col("accum_slot").cast("long").alias("accum_slot"),
-                    F.col("rank").cast("long").alias("rank"), F.col("lane").cast("long").alias("lane"))
+    """One run per order priority, each with a token budget of half an epoch to two and a half."""
+    ch = chunks(spark, sf).select("chunk_id", F.lit(C.CHUNK_LEN).alias("chunk_len"))
+    path = scratch_path(spark, "chunk-ids")
+    ch.write.parquet(path)
+    ch = spark.read.parquet(path)
+    n = ch.agg(F.count(F.lit(1)).alias("n"))
+    c = read_table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("run")).agg(F.count(F.lit(1)).alias("c"))
+    params = c.join(F.broadcast(n)).select(  # one row
+        "run", F.expr(f"n * {C.CHUNK_LEN} * (1 + c % 5) div 2").alias("target_tokens"), F.lit(None).cast("long").alias("max_steps"),
+        (8 * (1 + F.col("c") % 12)).alias("batch_size"), (1 + F.col("c") % 4).alias("micro_batch_size"),
+        (1 + F.col("c") % 2).alias("world_size"), F.lit(C.CHUNK_LEN).alias("seq_len"))
+    a = L.assign_steps(ch, L.budget_plan(params), SEED)
+    return a.select("run", "epoch", "chunk_id", *[F.col(x).cast("long").alias(x) for x in ("step", "accum_slot", "rank", "lane")])
 
 
 @register("l5_shift_labels", sql="WITH " + C.sql_stream() + f""",

@@ -58,29 +58,34 @@ def _chatml(role, content):
 
 
 @register("h1_normalise_forms", sql="""
-WITH conv AS (SELECT * FROM conversations),
-f1 AS (SELECT 'messages' AS form, conv_id, CAST(count(*) AS INTEGER) AS n_messages, string_agg(role, ',' ORDER BY turn) AS roles
-       FROM conv GROUP BY conv_id),
-f2 AS (SELECT 'conversations' AS form, conv_id, n_messages, roles FROM f1),
-p AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS pr,
-             arg_min(text, turn) FILTER (WHERE role = 'assistant') AS rs FROM conv GROUP BY conv_id),
-f3 AS (SELECT 'prompt_response' AS form, conv_id, 2 AS n_messages, 'user,assistant' AS roles FROM p
-       WHERE pr IS NOT NULL AND rs IS NOT NULL)
+WITH conv AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+f1 AS (SELECT 'messages' AS form, conv_id, CAST(count(*) AS INTEGER) AS n_messages, string_agg(role, ',' ORDER BY turn) AS roles,
+              md5(string_agg(text, chr(10) ORDER BY turn)) AS contents_md5 FROM conv GROUP BY conv_id),
+f2 AS (SELECT 'conversations' AS form, conv_id, n_messages, roles, contents_md5 FROM f1),
+f3 AS (SELECT 'prompt_response' AS form, conv_id * 100000 + turn AS conv_id, 2 AS n_messages, 'user,assistant' AS roles,
+              md5(text || chr(10) || next_text) AS contents_md5 FROM conv WHERE role = 'user' AND next_role = 'assistant')
 SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3""")
 def h1_normalise_forms(spark, sf):
+    """All three forms with their contents; form 3 has a record for every user turn that is answered."""
+    from pyspark.sql import Window
+
     conv = conversations(spark, sf)
     f1 = Hc.turns_to_messages(conv)
     back = {"user": "human", "assistant": "gpt"}
+    # every other conversation has its text under "content" in place of "value"
     f2 = f1.select("conv_id", F.transform("messages", lambda m: F.struct(
         F.when(m["role"] == "user", F.lit(back["user"])).when(m["role"] == "assistant", F.lit(back["assistant"]))
-        .otherwise(m["role"]).alias("from"), m["content"].alias("value"))).alias("conversations"))
-    first = lambda role: (conv.filter(F.col("role") == role).groupBy("conv_id")
-                          .agg(F.min_by("text", "turn").alias("prompt" if role == "user" else "response")))
-    f3 = first("user").join(first("assistant"), "conv_id")
+        .otherwise(m["role"]).alias("from"), F.when(F.col("conv_id") % 2 == 0, m["content"]).alias("value"),
+        F.when(F.col("conv_id") % 2 == 1, m["content"]).alias("content"))).alias("conversations"))
+    w = Window.partitionBy("conv_id").orderBy("turn")  # one conversation
+    f3 = (conv.withColumn("_r", F.lead("role").over(w)).withColumn("response", F.lead("text").over(w))
+          .filter("role = 'user' and _r = 'assistant'")
+          .select((F.col("conv_id") * 100000 + F.col("turn")).alias("conv_id"), F.col("text").alias("prompt"), "response"))
     out = None
     for name, df in (("messages", f1), ("conversations", f2), ("prompt_response", f3)):
         n = Hc.normalise_chat(df).select(F.lit(name).alias("form"), "conv_id", F.size("messages").alias("n_messages"),
-                                         F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"))
+                                         F.array_join(F.col("messages.role"), ",").alias("roles"),
+                                         F.md5(F.array_join(F.col("messages.content"), "\n")).alias("contents_md5"))
         out = n if out is None else out.unionByName(n)
     return out
 
@@ -103,8 +108,8 @@ starts AS (SELECT k, n, sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING
 stream AS (SELECT ids2.k, ids2.token_id, starts.st + ids2.i - 1 AS gpos FROM ids2 JOIN starts USING (k))""" + C.sql_chunks(CHUNK_LEN))
 def h4_chat_chunks(spark, sf):
     r = Hc.render(Hc.normalise_chat(Hc.turns_to_messages(conversations(spark, sf))))
-    tok = tokenize.encode(r, tokenize.build_vocab(r, "text", C.VOCAB_SIZE), append_eos=True)
-    off = pack.token_offsets(tok, "conv_id", keys=read_table(spark, sf, "conversations").select("conv_id").distinct())
+    tok = tokenize.encode(r, tokenize.build_vocab(r, "text"), append_eos=True)
+    off = pack.token_offsets(tok, "conv_id")
     ch = pack.pack_chunks(off, CHUNK_LEN)
     return ch.select("chunk_id", F.size("input_ids").alias("n_tokens"), C.ids_md5().alias("ids_md5"))
 

@@ -11,13 +11,13 @@ from ..session import scratch_path
 from ..sources import corpus, sinks
 from .registry import register
 
-VOCAB_SIZE = 32000
 CHUNK_LEN = 512
 STAGE_LENGTHS = [512, 4096]
 TRUNCATE_AT = 64
 HEAD_ROWS = 50
 
 PAT = WORD_TOKEN_PATTERN
+WORD_LIST_SIZE = 32_000  # of the task generators: their word list has a stated size, like a vocabulary's
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,12 +25,12 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vocab_df(spark, sf):
-    return tokenize.build_vocab(docs(spark, sf), "text", VOCAB_SIZE)
+    return tokenize.build_vocab(docs(spark, sf), "text")
 
 
 def encoded(spark, sf, **kw) -> DataFrame:
     d = docs(spark, sf)
-    return tokenize.encode(d, tokenize.build_vocab(d, "text", VOCAB_SIZE), "text", **kw)
+    return tokenize.encode(d, tokenize.build_vocab(d, "text"), "text", **kw)
 
 
 def ids_md5(col: str = "input_ids"):
@@ -39,13 +39,13 @@ def ids_md5(col: str = "input_ids"):
 
 # ---- DuckDB building blocks ------------------------------------------------
 
-def sql_vocab(table: str = "documents", size: int = VOCAB_SIZE) -> str:
+def sql_vocab(table: str = "documents", size: int | None = None) -> str:
     return f"""
 tok AS (SELECT unnest(regexp_extract_all(text, '{PAT}')) AS token FROM {table}),
 cnt AS (SELECT token, count(*) AS cnt FROM tok GROUP BY token),
 vocab AS (
   SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, token) + 1 AS INTEGER) AS token_id, cnt
-  FROM cnt QUALIFY row_number() OVER (ORDER BY cnt DESC, token) <= {size})"""
+  FROM cnt {f"QUALIFY row_number() OVER (ORDER BY cnt DESC, token) <= {size}" if size else ""})"""
 
 
 def sql_token_rows(table="documents", key="doc_id") -> str:
@@ -58,7 +58,7 @@ ids AS (SELECT p.k, p.i, coalesce(v.token_id, 0) AS token_id FROM pos p LEFT JOI
 
 def sql_stream(table="documents", key="doc_id") -> str:
     return sql_vocab(table) + "," + sql_token_rows(table, key) + """,
-lens AS (SELECT k, count(*) AS n FROM ids GROUP BY k),
+lens AS (SELECT k, len(toks) AS n FROM toks),
 starts AS (SELECT k, n, sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS st FROM lens),
 stream AS (SELECT ids.k, ids.token_id, starts.st + ids.i - 1 AS gpos FROM ids JOIN starts USING (k))"""
 
@@ -90,15 +90,15 @@ SELECT d.doc_id, d.lang, d.source, CAST(coalesce(l.n, 0) AS INTEGER) AS n_tokens
 FROM documents d LEFT JOIN (SELECT k, count(*) AS n FROM ids GROUP BY k) l ON l.k = d.doc_id""")
 def s3_keep_columns(spark, sf):
     d = corpus.read_corpus(spark, f"{sf}/documents.parquet", keep=["lang", "source"])
-    enc = tokenize.encode(d, tokenize.build_vocab(d, "text", VOCAB_SIZE), keep_columns=True)
+    enc = tokenize.encode(d, tokenize.build_vocab(d, "text"), keep_columns=True)
     return enc.select("doc_id", "lang", "source", F.size("input_ids").alias("n_tokens"))
 
 
-@register("s4_chunk_sink")
+@register("s4_chunk_sink", sql="WITH " + sql_stream() + sql_chunks(CHUNK_LEN))
 def s4_chunk_sink(spark, sf):
     """Writes chunks under ``chunked_context{C}`` and reads them back."""
     tok = encoded(spark, sf)
-    off = pack.token_offsets(tok, keys=docs(spark, sf).select("doc_id"))
+    off = pack.token_offsets(tok)
     root = scratch_path(spark, "chunks")
     path = sinks.write_chunks(pack.pack_chunks(off, CHUNK_LEN), root, CHUNK_LEN)
     back = spark.read.parquet(path)
@@ -143,7 +143,7 @@ def t4_append_eos(spark, sf):
 @register("t5_id_range", sql="WITH " + sql_vocab() + "," + sql_token_rows() + """
 SELECT k AS doc_id, max(token_id) AS max_id FROM ids GROUP BY k""")
 def t5_id_range(spark, sf):
-    checked = tokenize.assert_id_range(encoded(spark, sf), "uint16")
+    checked = tokenize.assert_id_range(encoded(spark, sf), "uint32")
     return checked.filter(F.size("input_ids") > 0).select("doc_id", F.array_max("input_ids").alias("max_id"))
 
 
@@ -158,13 +158,13 @@ def t6_eligible_words(spark, sf):
 @register("c1_token_offsets", sql="WITH " + sql_stream() + """
 SELECT k AS doc_id, n AS n_tokens, st AS start FROM starts""")
 def c1_token_offsets(spark, sf):
-    off = pack.token_offsets(encoded(spark, sf), keys=docs(spark, sf).select("doc_id"))
+    off = pack.token_offsets(encoded(spark, sf))
     return off.select("doc_id", "n_tokens", "start")
 
 
 @register("c2_pack_chunks", sql="WITH " + sql_stream() + sql_chunks(CHUNK_LEN))
 def c2_pack_chunks(spark, sf):
-    off = pack.token_offsets(encoded(spark, sf), keys=docs(spark, sf).select("doc_id"))
+    off = pack.token_offsets(encoded(spark, sf))
     ch = pack.pack_chunks(off, CHUNK_LEN)
     return ch.select("chunk_id", F.size("input_ids").alias("n_tokens"), ids_md5().alias("ids_md5"))
 
@@ -181,20 +181,23 @@ def c3_packing_stats(spark, sf):
 @register("c4_multi_length", sql="WITH " + sql_stream() + " " + " UNION ALL ".join(
     f"SELECT {C} AS chunk_len, * FROM ({sql_chunks(C)})" for C in STAGE_LENGTHS))
 def c4_multi_length(spark, sf):
-    off = pack.token_offsets(encoded(spark, sf), keys=docs(spark, sf).select("doc_id"))
+    off = pack.token_offsets(encoded(spark, sf))
     ch = pack.pack_many(off, STAGE_LENGTHS)
     return ch.select("chunk_len", "chunk_id", F.size("input_ids").alias("n_tokens"), ids_md5().alias("ids_md5"))
 
 
-@register("c5_cached_offsets", sql="WITH " + sql_stream("benchmark", "item_id") + """
-SELECT k AS item_id, n AS n_tokens, st AS start FROM starts""")
+@register("c5_cached_offsets", sql="WITH " + sql_stream("benchmark", "item_id") + """,
+cat AS (SELECT k, md5(coalesce(string_agg(CAST(token_id AS VARCHAR), ',' ORDER BY gpos), '')) AS ids_md5 FROM stream GROUP BY k)
+SELECT starts.k AS item_id, n AS n_tokens, st AS start, coalesce(cat.ids_md5, md5('')) AS ids_md5, true AS reused FROM starts LEFT JOIN cat USING (k)""")
 def c5_cached_offsets(spark, sf):
-    """Offsets of a second corpus (``benchmark``, its own vocabulary) materialised
-    under a fingerprinted path: a different corpus never reuses another's cache."""
+    """Tokens and offsets of a second corpus (``benchmark``, its own vocabulary), asked for twice:
+    the second time they come from the cache, and nothing is tokenised."""
     b = corpus.read_corpus(spark, f"{sf}/benchmark.parquet", "text", "item_id")
-    tok = tokenize.encode(b, tokenize.build_vocab(b, "text", VOCAB_SIZE))
-    fp = pack.corpus_fingerprint(tok, "item_id").first()
-    off = pack.token_offsets(tok, "item_id", keys=b.select("item_id"))
-    cached = pack.materialise_offsets(off.select("item_id", "n_tokens", "start"),
-                                      scratch_path(spark, "offsets"), (fp["n_docs"], fp["checksum"] or 0))
-    return cached
+    root = scratch_path(spark, "offsets")
+
+    def make():
+        return pack.token_offsets(tokenize.encode(b, tokenize.build_vocab(b, "text")), "item_id")
+
+    for _ in range(2):
+        cached, hit = pack.cached_offsets(spark, root, tuple(pack.corpus_fingerprint(b, "item_id").first()), make)
+    return cached.select("item_id", "n_tokens", "start", ids_md5().alias("ids_md5"), F.lit(hit).alias("reused"))

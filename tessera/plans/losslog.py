@@ -24,7 +24,9 @@ def _packed(spark, sf):
 
 
 def _points(spark, sf):
-    return R.clean_points(R.parse_layer(R.unpack_runs(_packed(spark, sf))).filter("parse_ok"), CLEAN_EVERY)
+    """The sampled rows of the picked runs; packing them into arrays and out again changes nothing here."""
+    rows = R.sample_history(inputs.metrics(spark, sf), EVERY).join(R.pick_runs(inputs.runs(spark, sf)).select("run_id", "run_name"), "run_id")
+    return R.clean_points(R.parse_layer(rows).filter("parse_ok"), CLEAN_EVERY)
 
 
 def _ranked(spark, sf):
@@ -130,6 +132,20 @@ def r9_consolidate(spark, sf):
     return c.select("layer", F.round("score", 6).alias("score"), "final_rank")
 
 
+@register("r9_consolidate_last", sql="WITH " + SQL_CHAIN + """,
+l AS (SELECT layer, CAST(rank AS DOUBLE) AS score FROM ranked WHERE step = (SELECT max(step) FROM ranked))
+SELECT layer, score, CAST(row_number() OVER (ORDER BY score, layer) AS INTEGER) AS final_rank FROM l""")
+def r9_consolidate_last(spark, sf):
+    return R.consolidate(_ranked(spark, sf), "last")
+
+
+@register("r9_consolidate_mean_loss", sql="WITH " + SQL_CHAIN + """,
+l AS (SELECT layer, avg(loss) AS score FROM ranked GROUP BY layer)
+SELECT layer, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score, layer) AS INTEGER) AS final_rank FROM l""")
+def r9_consolidate_mean_loss(spark, sf):
+    return R.consolidate(_ranked(spark, sf), "mean_loss").withColumn("score", F.round("score", 6))
+
+
 @register("r10_top_k_layers", sql="WITH " + SQL_CHAIN + f"""
 SELECT {TOP_K} AS k, string_agg(CAST(layer AS VARCHAR), ',' ORDER BY final_rank) AS ranked,
        string_agg(CAST(layer AS VARCHAR), ',' ORDER BY layer) AS keep_layers
@@ -156,16 +172,19 @@ def r11_uniform_layers(spark, sf):
 
 @register("s5_loss_log_scan", sql="WITH " + SQL_CHAIN + " SELECT run_name, run_pos, step, loss FROM unpacked")
 def s5_loss_log_scan(spark, sf):
-    """S6 (reference single-object format) then S5 back: equals R6."""
-    path = losslog.write_loss_log(_packed(spark, sf), scratch_path(spark, "losslog"), single_object=True)
-    back = losslog.read_loss_log(spark, path)
-    return R.unpack_runs(back).select("run_name", "run_pos", "step", "loss")
+    """S6 as JSON Lines, then S5 back: equals R6."""
+    path = losslog.write_loss_log(_packed(spark, sf), scratch_path(spark, "losslog"))
+    return R.unpack_runs(losslog.read_loss_log(spark, path)).select("run_name", "run_pos", "step", "loss")
 
 
 @register("s6_loss_log_sink", sql="WITH " + SQL_CHAIN + """
-SELECT run_name, CAST(count(*) AS INTEGER) AS n_points FROM unpacked GROUP BY run_name""")
+SELECT run_name, CAST(count(*) AS INTEGER) AS n_points,
+       md5(string_agg(CAST(CAST(step AS BIGINT) AS VARCHAR), ',' ORDER BY step)) AS steps_md5, round(sum(loss), 6) AS loss_sum
+FROM unpacked GROUP BY run_name""")
 def s6_loss_log_sink(spark, sf):
-    """S6 as JSON Lines (parallel writer), read back with S5."""
-    path = losslog.write_loss_log(_packed(spark, sf), scratch_path(spark, "losslog-lines"), single_object=False)
-    back = losslog.read_loss_log(spark, path, lines=True)
-    return back.select("run_name", F.size("steps").alias("n_points"))
+    """What was written, content and all: read back with S5."""
+    path = losslog.write_loss_log(_packed(spark, sf), scratch_path(spark, "losslog-lines"))
+    back = losslog.read_loss_log(spark, path)
+    return back.select("run_name", F.size("steps").alias("n_points"),
+                       F.md5(_csv(F.transform("steps", lambda s: s.cast("bigint")))).alias("steps_md5"),
+                       F.round(F.aggregate("losses", F.lit(0.0), lambda a, x: a + x), 6).alias("loss_sum"))

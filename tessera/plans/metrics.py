@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import prefix
 from ..operators import metrics as D
 from ..sources.corpus import read_table
 from .registry import register
 
 W_LABEL = 0          # D7: rows with this label form the projection matrix
-BLOCK_ROWS = 16      # D7: W rows per broadcast block
+BLOCK_ROWS = 16      # D7: W rows per block
 
 
 def pairs(spark, sf):
@@ -36,11 +37,13 @@ kl AS (SELECT *, list_sum(list_transform(list_zip(lp_t, lp_s), lambda z: exp(z[1
 
 
 @register("d1_log_softmax", sql=SQL_PAIRS + """
-SELECT pos, round(lse_t, 6) AS lse, round(lp_t[1], 6) AS logp_first FROM lp""")
+SELECT pos, round(lse_t, 6) AS lse, round(list_sum(lp_t), 6) AS logp_sum,
+       round(list_sum(list_transform(list_zip(lp_t, range(len(lp_t))), lambda z: z[1] * (z[2] + 1))), 4) AS logp_weighted FROM lp""")
 def d1_log_softmax(spark, sf):
-    p = pairs(spark, sf)
-    return p.select("pos", F.round(D.logsumexp(F.col("teacher")), 6).alias("lse"),
-                    F.round(F.element_at(D.log_softmax(F.col("teacher")), 1), 6).alias("logp_first"))
+    """Every element counts, each with its place."""
+    p = pairs(spark, sf).select("pos", F.round(D.logsumexp(F.col("teacher")), 6).alias("lse"), D.log_softmax(F.col("teacher")).alias("lp"))
+    weighted = D._sum(F.transform("lp", lambda x, i: x * (i + 1)))
+    return p.select("pos", "lse", F.round(D._sum(F.col("lp")), 6).alias("logp_sum"), F.round(weighted, 4).alias("logp_weighted"))
 
 
 @register("d2_kl_divergence", sql=SQL_PAIRS + " SELECT pos, round(kl, 6) AS kl FROM kl")
@@ -60,18 +63,19 @@ g AS (SELECT pos, list_transform(list_zip(lp_s, lp_t), lambda z: (exp(z[1]) - ex
 SELECT pos, round(list_sum(list_transform(grad, lambda x: abs(x))), 6) AS grad_l1, round(list_max(list_transform(grad, lambda x: abs(x))), 6) AS grad_max FROM g""")
 def d3_kl_gradient(spark, sf):
     p = pairs(spark, sf)
-    n = p.count()
-    g = D.kl_grad(F.col("teacher"), F.col("student"), n)
-    return p.select("pos", F.round(D._sum(F.transform(g, F.abs)), 6).alias("grad_l1"),
-                    F.round(F.array_max(F.transform(g, F.abs)), 6).alias("grad_max"))
+    n = p.agg(F.count(F.lit(1)).alias("n"))
+    g = p.join(F.broadcast(n)).select("pos", D.kl_grad(F.col("teacher"), F.col("student"), F.col("n")).alias("g"))  # one row
+    return g.select("pos", F.round(D._sum(F.transform("g", F.abs)), 6).alias("grad_l1"),
+                    F.round(F.array_max(F.transform("g", F.abs)), 6).alias("grad_max"))
 
 
-@register("d4_cross_entropy", sql=SQL_PAIRS + """
-SELECT layer, count(*) AS n, round(avg(-lp_s[layer + 1]), 6) AS ce_loss, round(exp(avg(-lp_s[layer + 1])), 6) AS perplexity
-FROM kl GROUP BY layer""")
+@register("d4_cross_entropy", sql=SQL_PAIRS + """,
+nx AS (SELECT a.layer, a.lp_s, b.layer AS target FROM kl a JOIN kl b ON b.pos = a.pos + 1)
+SELECT layer, count(*) AS n, round(avg(-lp_s[target + 1]), 6) AS ce_loss, round(exp(avg(-lp_s[target + 1])), 6) AS perplexity
+FROM nx GROUP BY layer""")
 def d4_cross_entropy(spark, sf):
-    """Target token = the row's label; CE and perplexity per label group."""
-    p = pairs(spark, sf).withColumn("target", F.col("layer"))
+    """The token of a position is the row's label and its target the next position's; CE and perplexity per label."""
+    p = D.next_targets(pairs(spark, sf), token="layer")
     c = D.cross_entropy(p, "student", "target", ["layer"])
     return c.select("layer", "n", F.round("ce_loss", 6).alias("ce_loss"), F.round("perplexity", 6).alias("perplexity"))
 
@@ -96,19 +100,20 @@ def d6_layer_mean(spark, sf):
 @register("d7_projected_kl", sql="""
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 n AS (SELECT count(*) AS n FROM e),
-w AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vi, v AS w FROM e WHERE label = """ + str(W_LABEL) + """),
+wt AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vi, v AS w FROM e WHERE label = """ + str(W_LABEL) + """),
+ws AS (SELECT vi, list_transform(list_zip(w, list_reverse(w)), lambda z: 0.5 * (z[1] + z[2])) AS w FROM wt),
 pairs AS (SELECT t.vec_id AS pos, t.v AS teacher, s.v AS student
           FROM e t JOIN e s ON t.vec_id = (s.vec_id - 1 + (SELECT n FROM n)) % (SELECT n FROM n)),
-lg AS (SELECT p.pos, w.vi, list_dot_product(p.teacher, w.w) AS lt, list_dot_product(p.student, w.w) AS ls FROM pairs p, w),
+lg AS (SELECT p.pos, wt.vi, list_dot_product(p.teacher, wt.w) AS lt, list_dot_product(p.student, ws.w) AS ls FROM pairs p, wt JOIN ws USING (vi)),
 m AS (SELECT pos, max(lt) AS mt, max(ls) AS ms FROM lg GROUP BY pos),
 agg AS (SELECT lg.pos, m.mt, m.ms, sum(exp(lt - m.mt)) AS zt, sum(exp(lt - m.mt) * (lt - ls)) AS a_t, sum(exp(ls - m.ms)) AS zs
         FROM lg JOIN m USING (pos) GROUP BY lg.pos, m.mt, m.ms)
 SELECT pos, round(a_t / zt - (mt + ln(zt)) + (ms + ln(zs)), 6) AS kl FROM agg""")
 def d7_projected_kl(spark, sf):
-    e = read_table(spark, sf, "embeddings")
-    from pyspark.sql import Window
-    w = (e.filter(F.col("label") == W_LABEL)
-         .select((F.row_number().over(Window.orderBy("vec_id")) - 1).alias("v"),
-                 F.transform("embedding", lambda x: x.cast("double")).alias("w")))
+    """Teacher and student have a projection matrix each."""
+    e = read_table(spark, sf, "embeddings").filter(F.col("label") == W_LABEL)
+    order = prefix.dense_index(e.select("vec_id"), "vec_id", "v")
+    w = e.join(order, "vec_id").select("v", F.transform("embedding", lambda x: x.cast("double")).alias("teacher"))
+    w = w.withColumn("student", F.zip_with("teacher", F.reverse("teacher"), lambda a, b: F.lit(0.5) * (a + b)))
     kl = D.projected_kl(pairs(spark, sf), w, BLOCK_ROWS)
     return kl.select("pos", F.round("kl", 6).alias("kl"))

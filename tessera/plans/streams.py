@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.chat import PRESETS
 from ..session import scratch_path
 from ..streaming import chat_state, live_ranking
 from . import chat as Hp
@@ -17,10 +18,11 @@ N_FILES = 4
 @register("q1_live_ranking", sql="WITH " + Rp.SQL_CHAIN + " SELECT step, layer, loss, rank FROM ranked")
 def q1_live_ranking(spark, sf):
     root = scratch_path(spark, "q1")
-    pts = Rp._points(spark, sf).select("run_name", "layer", "step", "loss",
-                                        F.xxhash64("run_name", "step").alias("seq"))
-    # the metric log arrives as several files, split by step range
-    pts.repartitionByRange(N_FILES, "step").write.parquet(f"{root}/source")
+    pts = Rp._points(spark, sf).select("run_name", "layer", "step", "loss", F.lit(2).cast("long").alias("seq"))
+    # some points are reported twice; the first report has another loss. Files hold some runs each,
+    # so the points of a step come in several files, and a correction before or after what it corrects
+    first = pts.filter(F.xxhash64("run_name", "step") % 3 == 0).withColumn("loss", F.col("loss") + 1).withColumn("seq", F.lit(1).cast("long"))
+    pts.union(first).repartition(N_FILES, F.xxhash64("run_name", "seq")).write.parquet(f"{root}/source")
     q = live_ranking.start(spark, f"{root}/source", f"{root}/out", f"{root}/checkpoint", max_files_per_trigger=1)
     q.awaitTermination()
     return live_ranking.current_rankings(spark, f"{root}/out").select("step", "layer", "loss", "rank")
@@ -33,7 +35,9 @@ c2 AS (SELECT *, sum(bare) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN
 c3 AS (SELECT *, last_value(jump IGNORE NULLS) OVER w AS lastj,
                  last_value(CASE WHEN jump IS NOT NULL THEN cum END IGNORE NULLS) OVER w AS cum_at_j
        FROM c2 WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT conv_id, turn, kind, segment, CAST(((coalesce(lastj, 3) - 1 + cum - coalesce(cum_at_j, 0)) % 3) + 1 AS INTEGER) AS stage
+SELECT conv_id, turn, kind, segment, CAST(((coalesce(lastj, 3) - 1 + cum - coalesce(cum_at_j, 0)) % 3) + 1 AS INTEGER) AS stage,
+  nullif(last_value(CASE WHEN kind = 'mode' AND len(parts) >= 2 AND lower(parts[2]) IN ({", ".join("'" + p[0] + "'" for p in PRESETS)}, 'auto') THEN lower(parts[2]) END IGNORE NULLS)
+    OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'auto') AS locked
 FROM c3""")
 def q2_chat_session_state(spark, sf):
     root = scratch_path(spark, "q2")
@@ -46,4 +50,4 @@ def q2_chat_session_state(spark, sf):
         part.repartition(N_FILES, "conv_id").write.parquet(f"{root}/source/part{i:05d}")
     q = chat_state.start(spark, f"{root}/source/*", f"{root}/out", f"{root}/checkpoint")
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("conv_id", "turn", "kind", "segment", "stage")
+    return spark.read.parquet(f"{root}/out").select("conv_id", "turn", "kind", "segment", "stage", "locked")

@@ -40,16 +40,17 @@ def nl(s: str) -> str:
 
 
 def samples(spark, sf):
-    return read_table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"))
+    """One sample per document; the ids are dealt out by themselves (the file may be one split), which is
+    also the partitioning that the generators regroup on."""
+    return read_table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id")).repartition("sample_id")
 
 
 def words(spark, sf):
-    from pyspark.storagelevel import StorageLevel
+    vocab = tokenize.build_vocab(C.docs(spark, sf), "text", max_size=C.WORD_LIST_SIZE)
+    return tokenize.eligible_words(vocab)
 
-    return tokenize.eligible_words(C.vocab_df(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
 
-
-SQL_BASE = "WITH " + C.sql_vocab() + """,
+SQL_BASE = "WITH RECURSIVE " + C.sql_vocab(size=C.WORD_LIST_SIZE) + """,
 samples AS (SELECT doc_id AS sample_id FROM documents),
 words AS (SELECT DISTINCT token AS word FROM vocab WHERE regexp_full_match(token, '[a-zA-Z]{3,}')),
 widx AS (SELECT CAST(row_number() OVER (ORDER BY word) - 1 AS BIGINT) AS w_idx, word FROM words),
@@ -58,11 +59,9 @@ nw AS (SELECT count(*) AS n FROM words)"""
 
 def sql_kv(tag: str, vmax: int, n: int = NUM_PAIRS) -> str:
     return f""",
-{tag}_draws AS (SELECT s.sample_id, t.j, {H(S, tag, 's.sample_id', 't.j')} % (SELECT n FROM nw) AS w_idx
-               FROM samples s, range({2 * n}) t(j)),
-{tag}_first AS (SELECT sample_id, w_idx, min(j) AS j FROM {tag}_draws GROUP BY sample_id, w_idx),
-{tag}_slots AS (SELECT * FROM (SELECT sample_id, w_idx, row_number() OVER (PARTITION BY sample_id ORDER BY j) - 1 AS slot
-                FROM {tag}_first) WHERE slot < {n}),
+{tag}_slots AS (SELECT s.sample_id, row_number() OVER (PARTITION BY s.sample_id ORDER BY {H(S, tag + '-o', 's.sample_id', 't.j')}, t.j) - 1 AS slot,
+                 t.j * n // {n} + {H(S, tag, 's.sample_id', 't.j')} % ((t.j + 1) * n // {n} - t.j * n // {n}) AS w_idx
+               FROM samples s, nw, range({n}) t(j)),
 {tag}_kv AS (SELECT s.sample_id, s.slot, w.word, {RI(0, vmax, S, tag + '-v', 's.sample_id', 's.slot')} AS v
              FROM {tag}_slots s JOIN widx w USING (w_idx))"""
 
@@ -91,6 +90,44 @@ ar_out AS (
     CAST((SELECT sum(q.v) FROM ar_q q WHERE q.sample_id = k.sample_id) AS VARCHAR) AS answer
   FROM ar_kv k GROUP BY k.sample_id)"""
 
+SQL_G4 = sql_kv("mh", 9) + f""",
+mh_f AS (
+  SELECT sample_id, CAST(1 AS BIGINT) AS j, [{{'parent': -1, 'depth': 0, 'val': CAST({H(S, 'mh-v', 'sample_id', '0')} % 10 AS INTEGER)}}] AS st FROM samples
+  UNION ALL
+  SELECT sample_id, j + 1, list_append(st, CASE WHEN {U(S, 'mh-a', 'sample_id', 'j')} < 0.4
+      THEN {{'parent': CAST(p AS INTEGER), 'depth': CAST(st[p + 1].depth + 1 AS INTEGER), 'val': st[p + 1].val}}
+      ELSE {{'parent': -1, 'depth': 0, 'val': CAST({H(S, 'mh-v', 'sample_id', 'j')} % 10 AS INTEGER)}} END)
+  FROM (SELECT *, mem[1 + {H(S, 'mh-p', 'sample_id', 'j')} % len(mem)] AS p
+        FROM (SELECT *, list_filter(range(j), lambda i: st[i + 1].depth = c) AS mem
+              FROM (SELECT *, CAST(floor((sqrt(8 * ({H(S, 'mh-d', 'sample_id', 'j')} % ((m + 1) * (m + 2) // 2)) + 1) - 1) / 2) AS INTEGER) AS c
+                    FROM (SELECT *, least(list_max(list_transform(st, lambda y: y.depth)), {HOPS - 1}) AS m FROM mh_f WHERE j < {NUM_PAIRS}))))),
+mh_s AS (SELECT f.sample_id, i.i AS slot, st[i.i + 1].parent AS parent, st[i.i + 1].depth AS depth, st[i.i + 1].val AS val
+         FROM mh_f f, range({NUM_PAIRS}) i(i) WHERE f.j = {NUM_PAIRS}),
+mh_flat AS (SELECT sample_id FROM mh_s GROUP BY 1 HAVING max(depth) < 2),
+mh_ones AS (SELECT sample_id, slot, val, row_number() OVER (PARTITION BY sample_id ORDER BY {H(S, 'mh-r', 'sample_id', 'slot')}, slot) AS n
+            FROM mh_s JOIN mh_flat USING (sample_id) WHERE depth = 1),
+mh_chain AS (SELECT a.sample_id, a.slot AS mid, a.val AS val, b.slot AS top FROM mh_ones a JOIN mh_ones b ON a.sample_id = b.sample_id AND a.n = 1 AND b.n = 2),
+mh_state AS (SELECT s.sample_id, s.slot, CASE WHEN s.slot = c.top THEN c.mid ELSE s.parent END AS parent,
+               CASE WHEN s.slot = c.top THEN 2 ELSE s.depth END AS depth, CASE WHEN s.slot = c.top THEN c.val ELSE s.val END AS val
+             FROM mh_s s LEFT JOIN mh_chain c USING (sample_id)),
+mh_e AS (SELECT s.sample_id, s.slot, k.word AS key, s.depth, s.val, CASE WHEN s.parent >= 0 THEN t.word END AS target_key,
+           CASE WHEN s.parent < 0 THEN s.val END AS value
+         FROM mh_state s JOIN mh_kv k ON k.sample_id = s.sample_id AND k.slot = s.slot
+         LEFT JOIN mh_kv t ON t.sample_id = s.sample_id AND t.slot = s.parent),
+mh_p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY {H(S, 'mh-q', 'sample_id', 'slot')}, slot) AS qn FROM mh_e) WHERE qn <= 3),
+mh_swap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY {H(S, 'mh-qa', 'sample_id', 'slot')}, slot) AS an FROM mh_e
+              WHERE depth > 0 AND sample_id IN (SELECT sample_id FROM mh_p GROUP BY 1 HAVING max(depth) = 0)) WHERE an = 1),
+mh_q AS (SELECT p.sample_id, p.qn, CASE WHEN p.qn = 1 AND w.key IS NOT NULL THEN w.key ELSE p.key END AS key,
+           CASE WHEN p.qn = 1 AND w.key IS NOT NULL THEN w.val ELSE p.val END AS val
+         FROM mh_p p LEFT JOIN mh_swap w USING (sample_id)),
+mh_out AS (
+  SELECT '{G.AR_MULTIHOP}' AS task, e.sample_id,
+    {nl("Given the following key-value pairs:\n")} || string_agg(e.key || ': ' || coalesce(e.target_key, CAST(e.val AS VARCHAR)), chr(10) ORDER BY e.slot)
+      || {nl(chr(10) + "What is the value of ")} || (SELECT string_agg(q.key, ' + ' ORDER BY q.qn) FROM mh_q q WHERE q.sample_id = e.sample_id)
+      || '? Only return the final value.' AS prompt,
+    CAST((SELECT sum(q.val) FROM mh_q q WHERE q.sample_id = e.sample_id) AS VARCHAR) AS answer
+  FROM mh_e e GROUP BY e.sample_id)"""
+
 VT_CHAINS, VT_HOPS, VT_NOISE = 2, 2, 1.0
 _h1 = VT_HOPS + 1
 _nstat = VT_CHAINS * _h1
@@ -185,8 +222,8 @@ pb_out AS (
   FROM pb_n n LEFT JOIN pb_q q ON q.sample_id = n.sample_id AND q.slot = n.slot
   GROUP BY n.sample_id)"""
 
-ALL_G = SQL_G2 + SQL_G3 + SQL_G6 + SQL_G7 + SQL_G8 + SQL_G9
-TASK_OUT = ["ret_out", "ar_out", "vt_out", "cw_out", "fw_out", "pb_out"]
+ALL_G = SQL_G2 + SQL_G3 + SQL_G4 + SQL_G6 + SQL_G7 + SQL_G8 + SQL_G9
+TASK_OUT = ["ret_out", "ar_out", "mh_out", "vt_out", "cw_out", "fw_out", "pb_out"]
 
 
 def _md5_out(sql_block: str, out: str) -> str:
@@ -197,10 +234,11 @@ def _md5(df):
     return df.select("task", "sample_id", F.md5("prompt").alias("prompt_md5"), "answer")
 
 
-@register("g1_word_pool", sql=f"SELECT CAST(i AS BIGINT) AS w_idx, {pool_word_sql('i')} AS word FROM range((SELECT count(*) FROM documents)) t(i)")
+@register("g1_word_pool", sql=f"""
+SELECT doc_id, i AS w_idx, {pool_word_sql('i')} AS word FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)""")
 def g1_word_pool(spark, sf):
-    n = read_table(spark, sf, "documents").count()
-    return G.word_pool(spark, n)
+    """The pool word of each document's position."""
+    return G.word_pool(read_table(spark, sf, "documents"), "doc_id")
 
 
 @register("g2_retrieval", sql=_md5_out(SQL_G2, "ret_out"))
@@ -213,48 +251,21 @@ def g3_associative_recall(spark, sf):
     return _md5(G.associative_recall(samples(spark, sf), words(spark, sf), NUM_PAIRS))
 
 
-@register("g4_multihop_recall")
+@register("g4_multihop_recall", sql=_md5_out(SQL_G4, "mh_out"))
 def g4_multihop_recall(spark, sf):
     return _md5(G.multihop_recall(samples(spark, sf), words(spark, sf), NUM_PAIRS, HOPS))
 
 
-ALIAS_PROB = 40  # percent of slots (after the first) that alias an earlier slot
-G5_MAX_HOPS = NUM_PAIRS
-
-
-def alias_edges(spark, sf):
-    """G5 input derivable in SQL: G3's key/value slots where a hash-chosen
-    share of keys aliases an earlier slot (acyclic by construction)."""
-    from pyspark.sql import Window  # noqa: F401
-
-    kv = G._kv_rows(samples(spark, sf), words(spark, sf), NUM_PAIRS, S, "ar", 9)
-    from ..functions.hashing import hash32
-    sid, slot = F.col("sample_id"), F.col("slot")
-    is_alias = (slot > 0) & (hash32(S, "g5-a", sid, slot) % 100 < ALIAS_PROB)
-    tslot = hash32(S, "g5-t", sid, slot) % F.greatest(slot, F.lit(1))
-    e = kv.select("sample_id", "slot", "word", "v", is_alias.alias("ia"), tslot.alias("ts"))
-    tgt = kv.select("sample_id", F.col("slot").alias("ts"), F.col("word").alias("target_key"))
-    return (e.join(tgt, ["sample_id", "ts"], "left")
-            .select("sample_id", F.col("word").alias("key"),
-                    F.when(F.col("ia"), F.col("target_key")).alias("target_key"),
-                    F.when(~F.col("ia"), F.col("v")).cast("int").alias("value")))
-
-
-@register("g5_resolve_aliases", sql=SQL_BASE.replace("WITH ", "WITH RECURSIVE ", 1) + sql_kv("ar", 9) + f""",
-edges AS (SELECT k.sample_id, k.word AS key,
-            CASE WHEN k.slot > 0 AND {H(S, 'g5-a', 'k.sample_id', 'k.slot')} % 100 < {ALIAS_PROB} THEN t.word END AS target_key,
-            CASE WHEN NOT (k.slot > 0 AND {H(S, 'g5-a', 'k.sample_id', 'k.slot')} % 100 < {ALIAS_PROB}) THEN k.v END AS value
-          FROM ar_kv k LEFT JOIN ar_kv t ON t.sample_id = k.sample_id
-            AND t.slot = {H(S, 'g5-t', 'k.sample_id', 'k.slot')} % greatest(k.slot, 1)),
+@register("g5_resolve_aliases", sql=SQL_BASE + SQL_G4 + f""",
 walk AS (
-  SELECT sample_id, key AS start, key AS cur, target_key, value, 0 AS hops FROM edges
+  SELECT sample_id, key AS start, target_key, value, 0 AS hops FROM mh_e
   UNION ALL
-  SELECT w.sample_id, w.start, e.key, e.target_key, e.value, w.hops + 1
-  FROM walk w JOIN edges e ON e.sample_id = w.sample_id AND e.key = w.target_key
-  WHERE w.value IS NULL AND w.hops < {G5_MAX_HOPS})
+  SELECT w.sample_id, w.start, e.target_key, e.value, w.hops + 1
+  FROM walk w JOIN mh_e e ON e.sample_id = w.sample_id AND e.key = w.target_key
+  WHERE w.value IS NULL AND w.hops <= {HOPS})
 SELECT sample_id, start AS key, CAST(value AS INTEGER) AS value, CAST(hops AS INTEGER) AS hops FROM walk WHERE value IS NOT NULL""")
 def g5_resolve_aliases(spark, sf):
-    r = G.resolve_aliases(alias_edges(spark, sf), G5_MAX_HOPS)
+    r = G.resolve_aliases(G.multihop_edges(samples(spark, sf), words(spark, sf), NUM_PAIRS, HOPS), HOPS)
     return r.select("sample_id", "key", "value", F.col("hops").cast("int").alias("hops"))
 
 
@@ -275,7 +286,7 @@ def g8_frequent_words(spark, sf):
 
 @register("g9_phone_book", sql=_md5_out(SQL_G9, "pb_out"))
 def g9_phone_book(spark, sf):
-    names = G.name_pool(spark, words(spark, sf))
+    names = G.name_pool(words(spark, sf))
     return _md5(G.phone_book(samples(spark, sf), names))
 
 
@@ -289,6 +300,7 @@ def _p_correct(l):
 def _text(task, ans, ok):
     """Synthetic model output: correct-shaped when ``ok``, else a wrong shape."""
     return (F.when(task == G.RETRIEVAL, F.when(ok, F.concat(F.lit("The value is "), ans, F.lit("."))).otherwise(F.lit("I am not sure.")))
+            .when(task == G.AR_MULTIHOP, F.when(ok, F.concat(F.lit("It adds up to "), ans, F.lit("."))).otherwise(F.lit("I cannot resolve it")))
             .when(task == G.AR, F.when(ok, F.concat(F.lit("The answer is "), ans)).otherwise(F.lit("unknown")))
             .when(task == G.VT, F.when(ok, F.concat(F.lit("Answer: "), ans)).otherwise(F.lit("X1")))
             .when(task == G.CWE, F.when(ok, F.concat(ans, F.lit("\nExplanation: these repeat"))).otherwise(F.lit("none")))
@@ -298,14 +310,16 @@ def _text(task, ans, ok):
 
 
 def task_tables(spark, sf, which=None):
-    s, w = samples(spark, sf), words(spark, sf)
+    s = samples(spark, sf)
+    w = words(spark, sf) if which is None or {G.RETRIEVAL, G.AR, G.AR_MULTIHOP, G.PHONE_BOOK} & set(which) else None
     build = {
         G.RETRIEVAL: lambda: G.retrieval(s, w, NUM_PAIRS),
         G.AR: lambda: G.associative_recall(s, w, NUM_PAIRS),
+        G.AR_MULTIHOP: lambda: G.multihop_recall(s, w, NUM_PAIRS, HOPS),
         G.VT: lambda: G.variable_tracking(s, VT_CHAINS, VT_HOPS, VT_NOISE),
         G.CWE: lambda: G.common_words(s, CW, UCW, FCW, FUCW),
         G.FWE: lambda: G.frequent_words(s, FW_ALPHA, FW_V, FW_N),
-        G.PHONE_BOOK: lambda: G.phone_book(s, G.name_pool(spark, w)),
+        G.PHONE_BOOK: lambda: G.phone_book(s, G.name_pool(w)),
     }
     out = None
     for name in which or list(build):
@@ -315,10 +329,10 @@ def task_tables(spark, sf, which=None):
 
 
 def generations(spark, sf, which=None):
-    t = task_tables(spark, sf, which)
+    t = E.with_references(task_tables(spark, sf, which)).drop("prompt")
     g = t.select("*", F.explode(F.sequence(F.lit(-1), F.lit(NUM_LAYERS - 1))).alias("l"))
     ok = uniform(S, "gen", F.col("task"), F.col("sample_id"), F.col("l")) < _p_correct(F.col("l"))
-    return g.select(F.lit(RUN).alias("run"), "task", "sample_id", "prompt", "answer",
+    return g.select(F.lit(RUN).alias("run"), "task", "sample_id", "answer", "allowed", "gold_words",
                     F.when(F.col("l") >= 0, F.col("l")).cast("int").alias("layer_index"),
                     _text(F.col("task"), F.col("answer"), ok).alias("text"))
 
@@ -329,6 +343,7 @@ def _sql_gens(tasks_out: list[str]) -> str:
     ok = f"({U(S, 'gen', 't.task', 't.sample_id', 'l.l')} < {p})"
     text = f"""CASE t.task
       WHEN '{G.RETRIEVAL}' THEN CASE WHEN {ok} THEN 'The value is ' || t.answer || '.' ELSE 'I am not sure.' END
+      WHEN '{G.AR_MULTIHOP}' THEN CASE WHEN {ok} THEN 'It adds up to ' || t.answer || '.' ELSE 'I cannot resolve it' END
       WHEN '{G.AR}' THEN CASE WHEN {ok} THEN 'The answer is ' || t.answer ELSE 'unknown' END
       WHEN '{G.VT}' THEN CASE WHEN {ok} THEN 'Answer: ' || t.answer ELSE 'X1' END
       WHEN '{G.CWE}' THEN CASE WHEN {ok} THEN t.answer || chr(10) || 'Explanation: these repeat' ELSE 'none' END
@@ -385,9 +400,9 @@ def e1_first_int(spark, sf):
     return s.select("sample_id", "layer_index", E.first_int(F.col("text")).alias("parsed"), "correct")
 
 
-@register("e2_substring_match", sql=_e_sql(SQL_G3, ["ar_out"], "SELECT sample_id, layer_index, correct FROM scored"))
+@register("e2_substring_match", sql=_e_sql(SQL_G3 + SQL_G4, ["ar_out", "mh_out"], "SELECT task, sample_id, layer_index, correct FROM scored"))
 def e2_substring_match(spark, sf):
-    return _scored(spark, sf, [G.AR]).select("sample_id", "layer_index", "correct")
+    return _scored(spark, sf, [G.AR, G.AR_MULTIHOP]).select("task", "sample_id", "layer_index", "correct")
 
 
 @register("e3_variable_set", sql=_e_sql(SQL_G6, ["vt_out"],
@@ -410,7 +425,7 @@ def e4_prompt_words(spark, sf):
           "SELECT sample_id, layer_index, array_to_string(dtoks[1:3], ' ') AS parsed FROM scored"))
 def e5_topk_parse(spark, sf):
     g = generations(spark, sf, [G.FWE])
-    parsed = E.top_k_tokens(F.col("text"), E.prompt_words(F.col("prompt")), 3)
+    parsed = E.top_k_tokens(F.col("text"), F.col("allowed"), 3)
     return g.select("sample_id", "layer_index", F.array_join(parsed, " ").alias("parsed"))
 
 
@@ -456,17 +471,21 @@ def e11_importance_rank(spark, sf):
 
 
 @register("s7_result_sinks", sql=_e_sql(ALL_G, TASK_OUT, """
-SELECT task, layer_index, round(accuracy, 6) AS accuracy, round(performance_drop, 6) AS performance_drop FROM drops"""))
+SELECT task, layer_index, round(accuracy, 6) AS accuracy, round(performance_drop, 6) AS performance_drop FROM drops
+UNION ALL SELECT task, NULL, round(accuracy, 6), NULL FROM acc WHERE layer_index IS NULL"""))
 def s7_result_sinks(spark, sf):
-    """Baseline rows -> JSON, per-layer table -> CSV with header; read the CSV back."""
+    """Baseline rows -> JSON, per-layer table -> CSV with header; both read back. Scored once."""
     from ..session import scratch_path
     from ..sources import sinks
 
-    acc = E.accuracy(_scored(spark, sf, None))
+    path = scratch_path(spark, "accuracy")
+    E.accuracy(_scored(spark, sf, None)).write.parquet(path)
+    acc = spark.read.parquet(path)
     drops = E.ablation_drop(acc).select("task", "layer_index", "accuracy", "performance_drop")
     stem = sinks.result_name("student/model-0.5", "all_tasks", pairs=NUM_PAIRS)
     paths = sinks.write_results(acc.filter(F.col("layer_index").isNull()), drops, scratch_path(spark, "results"), stem)
-    back = spark.read.option("header", True).schema(
-        "task string, layer_index int, accuracy double, performance_drop double").csv(paths["layers"])
+    schema = "task string, layer_index int, accuracy double, performance_drop double"
+    back = spark.read.option("header", True).schema(schema).csv(paths["layers"])
+    back = back.unionByName(spark.read.schema(schema).json(paths["baseline"]))
     return back.select("task", "layer_index", F.round("accuracy", 6).alias("accuracy"),
                        F.round("performance_drop", 6).alias("performance_drop"))

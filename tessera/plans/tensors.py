@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import prefix
 from ..operators import tensors as W
 from ..sources.corpus import read_table
 from .registry import register
@@ -25,7 +26,7 @@ TENSOR_NAMES = [
 SPARSITY = 0.5
 KEEP_LAYERS = [1]
 GROUPS = 2
-TRUNC_ROWS, TRUNC_COLS = 100, 16
+TRUNC_ROWS, TRUNC_COLS = 20, 16
 PERTURBED_LABEL = 3
 
 _names_sql = "[" + ", ".join(f"'{n}'" for n in TENSOR_NAMES) + "]"
@@ -45,15 +46,21 @@ WITH t AS (SELECT {_names_sql}[label + 1] AS name, vec_id AS row_id, embedding A
 el AS (SELECT t.name, t.row_id, CAST(unnest(t.vals) AS DOUBLE) AS w FROM t)"""
 
 
-@register("w1_parameter_groups", sql=SQL_T + """,
-p AS (SELECT name, CAST(sum(len(vals)) AS BIGINT) AS numel, NOT contains(name, 'embed') AS requires_grad FROM t GROUP BY name)
-SELECT CASE WHEN contains(name, 'attn') THEN 'attn' ELSE 'other' END AS "group", sum(numel) AS n_params,
-       sum(CASE WHEN requires_grad THEN numel ELSE 0 END) AS n_trainable,
-       round(sum(CASE WHEN requires_grad THEN numel ELSE 0 END) / sum(numel), 6) AS trainable_share
-FROM p GROUP BY 1""")
+FROZEN = ["model.embed_tokens.weight"]
+ATTN_RATE, OTHER_RATE = 1e-3, 1e-4
+
+
+@register("w1_parameter_groups", sql=SQL_T + f""",
+p AS (SELECT name, CAST(sum(len(vals)) AS BIGINT) AS numel, name NOT IN ({", ".join(f"'{n}'" for n in FROZEN)}) AS requires_grad FROM t GROUP BY name),
+g AS (SELECT CASE WHEN contains(name, 'attn') THEN 'attn' ELSE 'other' END AS "group", sum(numel) AS n_params,
+       sum(CASE WHEN requires_grad THEN numel ELSE 0 END) AS n_trainable FROM p GROUP BY 1)
+SELECT "group", n_params, n_trainable, round(n_trainable / n_params, 6) AS trainable_share,
+       CASE WHEN n_trainable > 0 THEN CASE "group" WHEN 'attn' THEN {ATTN_RATE} ELSE {OTHER_RATE} END END::DOUBLE AS learning_rate,
+       CASE WHEN n_params >= 1048576 THEN printf('%.2fMi', n_params / 1048576.0) WHEN n_params >= 1024 THEN printf('%.2fKi', n_params / 1024.0)
+            ELSE CAST(n_params AS VARCHAR) END AS n_params_text FROM g""")
 def w1_parameter_groups(spark, sf):
-    g = W.parameter_groups(W.parameter_table(tensors(spark, sf)))
-    return g.select("group", "n_params", "n_trainable", F.round("trainable_share", 6).alias("trainable_share"))
+    g = W.parameter_groups(W.parameter_table(tensors(spark, sf), FROZEN), ATTN_RATE, OTHER_RATE)
+    return g.withColumn("trainable_share", F.round("trainable_share", 6))
 
 
 SQL_THR = f""",
@@ -110,20 +117,36 @@ def w4_clean_keys(spark, sf):
     return W.clean_keys(p, "key")
 
 
-@register("w5_hybrid_merge", sql=SQL_T + f"""
-SELECT name, row_id,
-  CASE WHEN contains(name, 'attn') AND TRY_CAST(regexp_extract(name, 'layers\\.(\\d+)\\.', 1) AS INTEGER) IN ({", ".join(map(str, KEEP_LAYERS))})
-       THEN 'teacher' ELSE 'student' END AS source,
-  round(list_sum(list_transform(vals, lambda x: CAST(x AS DOUBLE) * CASE WHEN contains(name, 'attn')
-        AND TRY_CAST(regexp_extract(name, 'layers\\.(\\d+)\\.', 1) AS INTEGER) IN ({", ".join(map(str, KEEP_LAYERS))}) THEN 1.0 ELSE 0.5 END)), 6) AS vsum
-FROM t""")
-def w5_hybrid_merge(spark, sf):
+STUDENT_NAME = "model.layers.1.self_attn.g_proj.weight"  # the student's own name for the tensor with label 5
+_kept_sql = f"contains(name, 'attn') AND coalesce(TRY_CAST(regexp_extract(name, '^model\\.layers\\.(\\d+)\\.', 1) AS INTEGER) IN ({', '.join(map(str, KEEP_LAYERS))}), false)"
+
+
+def _hybrid(spark, sf):
+    """A student with halved values, one attention tensor under a name of its own, and no ``lm_head``."""
     teacher = tensors(spark, sf)
-    student = teacher.withColumn("values", F.transform("values", lambda x: (x * 0.5).cast("float")))
+    student = (teacher.withColumn("values", F.transform("values", lambda x: (x * 0.5).cast("float")))
+               .withColumn("name", F.when(F.col("name") == TENSOR_NAMES[5], F.lit(STUDENT_NAME)).otherwise(F.col("name")))
+               .filter(F.col("name") != "lm_head.weight"))
     keep = spark.createDataFrame([(x,) for x in KEEP_LAYERS], "layer int")
-    m = W.hybrid_merge(teacher, student, keep)
-    return m.select("name", "row_id", "source",
-                    F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("vsum"))
+    return teacher, W.hybrid_merge(teacher, student, keep)
+
+
+SQL_HYBRID = SQL_T + f""",
+st AS (SELECT CASE WHEN name = '{TENSOR_NAMES[5]}' THEN '{STUDENT_NAME}' ELSE name END AS name, row_id, vals FROM t WHERE name <> 'lm_head.weight'),
+merged AS (SELECT name, row_id, 'teacher' AS source, vals, 1.0 AS f FROM t WHERE {_kept_sql}
+           UNION ALL SELECT name, row_id, 'student', vals, 0.5 FROM st WHERE NOT ({_kept_sql}))"""
+
+
+@register("w5_hybrid_merge", sql=SQL_HYBRID + """
+SELECT name, row_id, source, round(list_sum(list_transform(vals, lambda x: CAST(x AS DOUBLE) * f)), 6) AS vsum FROM merged""")
+def w5_hybrid_merge(spark, sf):
+    return _hybrid(spark, sf)[1].select("name", "row_id", "source", F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("vsum"))
+
+
+@register("w5_missing_keys", sql=SQL_HYBRID + " SELECT DISTINCT name FROM t WHERE name NOT IN (SELECT name FROM merged)")
+def w5_missing_keys(spark, sf):
+    teacher, merged = _hybrid(spark, sf)
+    return W.missing_keys(merged, teacher)
 
 
 @register("w6_repeat_rows", sql=SQL_T + f"""
@@ -132,12 +155,18 @@ def w6_repeat_rows(spark, sf):
     return W.repeat_rows(tensors(spark, sf), GROUPS).select("name", "row_id", "src_row")
 
 
-@register("w7_truncate", sql=SQL_T + f"""
+@register("w7_truncate", sql=SQL_T + f""",
+r AS (SELECT name, row_number() OVER (PARTITION BY name ORDER BY row_id) - 1 AS row_id, vals FROM t)
 SELECT name, row_id, CAST(len(vals[1:{TRUNC_COLS}]) AS INTEGER) AS n_cols,
        round(list_sum(list_transform(vals[1:{TRUNC_COLS}], lambda x: CAST(x AS DOUBLE))), 6) AS vsum
-FROM t WHERE row_id < {TRUNC_ROWS}""")
+FROM r WHERE row_id < {TRUNC_ROWS}""")
 def w7_truncate(spark, sf):
-    t = W.truncate_tensor(tensors(spark, sf), TRUNC_ROWS, TRUNC_COLS)
+    """Row ids count within each tensor."""
+    t = tensors(spark, sf)
+    order = prefix.dense_index(t.select("name", "row_id"), ["name", "row_id"], "_i")
+    order = order.join(order.groupBy("name").agg(F.min("_i").alias("_first")), "name")
+    t = t.join(order, ["name", "row_id"]).select("name", (F.col("_i") - F.col("_first")).alias("row_id"), "values")
+    t = W.truncate_tensor(t, TRUNC_ROWS, TRUNC_COLS)
     return t.select("name", "row_id", F.size("values").alias("n_cols"),
                     F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("vsum"))
 

@@ -41,9 +41,3 @@ def take_first(df: DataFrame, n: int | None, order_key) -> DataFrame:
     keys = order_key if isinstance(order_key, (list, tuple)) else [order_key]
     return df.orderBy(*keys).limit(int(n))
 
-
-def keep_or_drop(df: DataFrame, produced: list[str], originals: list[str], keep_columns: bool) -> DataFrame:
-    """S3: after a map, keep the original columns beside the new ones or drop them."""
-    if keep_columns:
-        return df
-    return df.select(*[c for c in df.columns if c in produced or c not in originals])

@@ -17,7 +17,7 @@ LOSS_KEY = "train/loss"
 _RUN_STRUCT = f"struct<`{STEP_KEY}`: array<double>, `{LOSS_KEY}`: array<double>>"
 
 
-def read_loss_log(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_loss_log(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     """-> ``run_name STRING, steps ARRAY<DOUBLE>, losses ARRAY<DOUBLE>``.
 
     A malformed file fails the job (FAILFAST) instead of yielding nulls.
@@ -34,13 +34,12 @@ def read_loss_log(spark: SparkSession, path: str, lines: bool = False) -> DataFr
                      F.coalesce(F.col("r").getField(LOSS_KEY), F.array().cast("array<double>")).alias("losses"))
 
 
-def write_loss_log(packed: DataFrame, path: str, single_object: bool = True) -> str:
+def write_loss_log(packed: DataFrame, path: str, single_object: bool = False) -> str:
     """Inverse of S5 for ``run_name, steps, losses`` rows (R3 output).
 
-    ``single_object`` reproduces the reference file: one row holding the map of
-    all runs (runs x sampled points, small by construction: the history is
-    sampled every few hundred steps).  ``single_object=False`` writes JSON Lines
-    in parallel for large run sets.
+    JSON Lines, written and read in parallel, one run a line.  ``single_object`` asks for the
+    one-file format of other tools: one row then holds the map of all runs, which suits
+    an export of a few sampled runs only.
     """
     if not single_object:
         (packed.select("run_name", F.col("steps").alias(STEP_KEY), F.col("losses").alias(LOSS_KEY))

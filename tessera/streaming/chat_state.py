@@ -1,80 +1,81 @@
 """Q2: live chat session state per conversation.
 
-``applyInPandasWithState`` keyed by ``conv_id`` carries (segment, locked
-mode, stage, ended) across micro-batches and emits one row per processed turn
-with the same meaning as the batch operators H6/H8/H9.  Turns of one
-conversation must arrive in turn order across batches (as a live chat does).
+What a turn does (its kind, whether it opens a segment, the mode it sets, the stage it names) are
+columns made by the batch operators (H6, H8, H9) before the turns are grouped. The state of a
+conversation is what those columns add up to so far: segment, stage, lock, and whether it has ended.
+Turns of one conversation must arrive in turn order across batches, as a live chat's do.
+
+After ``quit`` only a mark stays, so that late turns are ignored; it goes after ``forget_after``. So does the
+state of a conversation that nobody has continued for that long.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.chat import NUM_STAGES, PRESETS, START_STAGE
+from ..operators.chat import NUM_STAGES, START_STAGE, mode_value, stage_jump, turn_kind
 
 TURN_SCHEMA = "conv_id long, turn long, role string, text string"
 OUT_SCHEMA = "conv_id long, turn long, kind string, segment long, stage int, locked string"
 STATE_SCHEMA = "segment long, stage int, locked string, ended boolean"
-_LABELS = {p[0] for p in PRESETS}
-
-
-def _kind(role: str, text: str) -> str:
-    if role != "user":
-        return "message"
-    s = (text or "").strip()
-    low = s.lower()
-    if not s:
-        return "blank"
-    if low in ("quit", "exit"):
-        return "quit"
-    if low == "clear":
-        return "clear"
-    if low.startswith("mode"):
-        return "mode"
-    if low.startswith("switch"):
-        return "switch"
-    return "message"
-
-
-def _advance(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    conv_id = int(key[0])
-    if state.exists:
-        segment, stage, locked, ended = state.get
-    else:
-        segment, stage, locked, ended = 0, START_STAGE, None, False
-    rows = pd.concat(list(pdfs)).sort_values("turn")
-    out = []
-    for r in rows.itertuples(index=False):
-        if ended:
-            break
-        kind = _kind(r.role, r.text)
-        if kind == "quit":
-            ended = True
-            break
-        parts = (r.text or "").split()
-        if kind in ("clear", "switch"):
-            segment += 1
-        if kind == "switch":
-            stage = int(parts[1]) if len(parts) == 2 and parts[1] in ("1", "2", "3") else stage % NUM_STAGES + 1
-        out.append((conv_id, int(r.turn), kind, segment, stage, locked))
-        if kind == "mode" and len(parts) >= 2:
-            arg = parts[1].lower()
-            if arg == "auto":
-                locked = None
-            elif arg in _LABELS:
-                locked = arg
-    state.update((segment, stage, locked, ended))
-    yield pd.DataFrame(out, columns=["conv_id", "turn", "kind", "segment", "stage", "locked"])
-
-
-def session_states(turns: DataFrame) -> DataFrame:
-    """Streaming (or batch) turns -> per-turn session state."""
-    return turns.groupBy("conv_id").applyInPandasWithState(
-        _advance, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+FORGET_AFTER = "24 hours"
+
+
+def turn_effects(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, kind, breaks, sets, jumps, cycles): what each turn does to the session."""
+    t = turns.withColumn("kind", turn_kind(F.col("role"), F.col("text")))
+    jump = stage_jump(F.col("kind"), F.col("text"))
+    return t.select("conv_id", "turn", "kind", F.col("kind").isin("clear", "switch").cast("int").alias("breaks"),
+                    mode_value(F.col("kind"), F.col("text")).alias("sets"), jump.cast("double").alias("jumps"),
+                    ((F.col("kind") == "switch") & jump.isNull()).cast("int").alias("cycles"))
+
+
+def _continued(rows: pd.DataFrame, segment: int, stage: int, locked: str | None) -> pd.DataFrame:
+    """The session at each of the turns, given where it stood before them (columns as turn_effects makes them)."""
+    jumps = rows["jumps"]
+    since = rows["cycles"].groupby(jumps.notna().cumsum()).cumsum()
+    before = rows["sets"].shift(1)
+    before.iloc[0] = locked
+    return rows.assign(
+        segment=segment + rows["breaks"].cumsum(),
+        stage=((jumps.ffill().fillna(stage) - 1 + since) % NUM_STAGES + 1).astype("int32"),
+        locked=before.ffill(),
+    )
+
+
+def _session(key, parts: Iterator[pd.DataFrame], state, forget_ms: int) -> Iterator[pd.DataFrame]:
+    columns = ["conv_id", "turn", "kind", "segment", "stage", "locked"]
+    if state.hasTimedOut:
+        state.remove()
+        return
+    segment, stage, locked, ended = state.get if state.exists else (0, START_STAGE, None, False)
+    rows = pd.concat(list(parts)).sort_values("turn")
+    open_rows = rows[(rows["kind"] == "quit").cumsum() == 0]
+    if not ended and len(open_rows):
+        out = _continued(open_rows, segment, stage, locked)
+        last = out.iloc[-1]
+        segment, stage = int(last["segment"]), int(last["stage"])
+        locked = last["sets"] if isinstance(last["sets"], str) else last["locked"] if isinstance(last["locked"], str) else None
+        yield out.assign(locked=out["locked"].where(out["locked"].notna() & (out["locked"] != "auto"), None))[columns]
+    ended = ended or len(open_rows) < len(rows)
+    state.update((None, None, None, True) if ended else (segment, stage, locked, False))
+    state.setTimeoutDuration(forget_ms)
+
+
+def session_states(turns: DataFrame, forget_after: str = FORGET_AFTER) -> DataFrame:
+    """Streaming turns -> per-turn session state."""
+    forget_ms = int(pd.Timedelta(forget_after).total_seconds() * 1000)
+
+    def advance(key, parts, state):
+        return _session(key, parts, state, forget_ms)
+
+    return turn_effects(turns).groupBy("conv_id").applyInPandasWithState(
+        advance, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def start(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, max_files_per_trigger: int = 1):

@@ -1,20 +1,21 @@
 """Q1: per-step layer ranking over an append-only metric stream.
 
-``readStream`` of metric files -> ``foreachBatch``: each micro-batch is
-written under its own ``epoch=`` folder (overwrite, so a retried batch is
-idempotent), the steps it touched are re-ranked from all points of those
-steps (latest loss per run and step), and the rankings are written under the
-same epoch.  Readers take, per step, the rankings of the newest epoch.
+``readStream`` of metric files -> ``foreachBatch``: each micro-batch is written under its own
+``epoch=`` folder (overwrite, so a retried batch is idempotent), by blocks of ``STEP_BLOCK``
+steps. The blocks it touched are ranked anew from all their points (per run and step the one with the
+highest sequence number), reading no other block, and written under the same epoch.
+Readers take, per block, the rankings of the newest epoch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import rank_layers
 
 POINT_SCHEMA = "run_name string, layer int, step double, loss double, seq long"
+STEP_BLOCK = 5000
 
 
 def start(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, available_now: bool = True,
@@ -26,11 +27,16 @@ def start(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, a
     points_dir, rank_dir = f"{out_dir}/points", f"{out_dir}/rankings"
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{points_dir}/epoch={epoch_id}")
-        touched = batch.select("step").distinct()
-        pts = batch.sparkSession.read.parquet(points_dir).join(touched, "step", "left_semi")
-        latest = pts.groupBy("run_name", "layer", "step").agg(F.max_by("loss", F.struct("epoch", "seq")).alias("loss"))
-        rank_layers(latest).write.mode("overwrite").parquet(f"{rank_dir}/epoch={epoch_id}")
+        session = batch.sparkSession
+        block = F.floor(F.col("step") / STEP_BLOCK).cast("long")
+        batch.withColumn("block", block).write.mode("overwrite").partitionBy("block").parquet(f"{points_dir}/epoch={epoch_id}")
+        new = session.read.schema(f"{POINT_SCHEMA}, block long").option("basePath", f"{points_dir}/epoch={epoch_id}").parquet(f"{points_dir}/epoch={epoch_id}")
+        touched = [r.block for r in new.select("block").distinct().collect()]  # of one batch
+        stored = session.read.schema(f"{POINT_SCHEMA}, epoch long, block long").parquet(points_dir)
+        points = stored.filter(F.col("block").isin(touched) & (F.col("epoch") <= epoch_id))  # prunes folders
+        latest = points.groupBy("block", "run_name", "layer", "step").agg(F.max_by("loss", F.struct("seq", "epoch")).alias("loss"))
+        ranked = rank_layers(latest).withColumn("block", block)
+        ranked.write.mode("overwrite").partitionBy("block").parquet(f"{rank_dir}/epoch={epoch_id}")
 
     w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -38,7 +44,7 @@ def start(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, a
 
 
 def current_rankings(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Rankings of the newest epoch per step (the window is per step: bounded by runs)."""
-    r = spark.read.parquet(f"{out_dir}/rankings")
-    newest = F.max("epoch").over(Window.partitionBy("step"))
-    return r.withColumn("_newest", newest).filter(F.col("epoch") == F.col("_newest")).drop("_newest", "epoch")
+    """Rankings of the newest epoch per block of steps."""
+    r = spark.read.schema("step double, layer int, loss double, rank int, epoch long, block long").parquet(f"{out_dir}/rankings")
+    newest = r.groupBy("block").agg(F.max("epoch").alias("epoch"))
+    return r.join(newest, ["block", "epoch"]).drop("block", "epoch")

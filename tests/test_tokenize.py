@@ -32,3 +32,16 @@ def test_id_range_raises(spark):
 def test_eligible_words(spark):
     v = spark.createDataFrame([(" abc",), ("ab",), ("abc",), ("a1c",), ("Word",)], "token string")
     assert sorted(r.word for r in tokenize.eligible_words(v).collect()) == ["Word", "abc"]
+
+
+def test_no_token_is_lost_without_a_stated_size(spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (4, "c, d!")], "doc_id long, text string")
+    vocab = tokenize.build_vocab(df)
+    enc = {r.doc_id: r.input_ids for r in tokenize.encode(df, vocab).collect()}
+    assert enc[2] == enc[3] == [] and all(tokenize.UNK_ID not in x for x in enc.values())
+    back = {r.token_id: r.token for r in vocab.collect()}
+    assert sorted(back) == list(range(tokenize.RESERVED, tokenize.RESERVED + 6))
+    assert [back[i] for i in enc[1]] == ["a", "b", "a"] and [back[i] for i in enc[4]] == ["c", ",", "d", "!"]
+    in_memory = {t: i for i, t in back.items()}
+    same = {r.doc_id: r.input_ids for r in tokenize.encode(df.filter("text is not null"), in_memory).collect()}
+    assert same == {k: v for k, v in enc.items() if k != 2}
