@@ -5,8 +5,9 @@ columns made by the batch operators (H6, H8, H9) before the turns are grouped. T
 conversation is what those columns add up to so far: segment, stage, lock, and whether it has ended.
 Turns of one conversation must arrive in turn order across batches, as a live chat's do.
 
-After ``quit`` only a mark stays, so that late turns are ignored; it goes after ``forget_after``. So does the
-state of a conversation that nobody has continued for that long.
+After ``quit`` only a mark stays, so that late turns are ignored. A query that runs on drops it after
+``forget_after``, and so the state of a conversation that nobody has continued for that long. A query that
+ends when its input does (``availableNow``) has no clock to wait for and keeps the marks.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def _continued(rows: pd.DataFrame, segment: int, stage: int, locked: str | None)
     )
 
 
-def _session(key, parts: Iterator[pd.DataFrame], state, forget_ms: int) -> Iterator[pd.DataFrame]:
+def _session(key, parts: Iterator[pd.DataFrame], state, forget_ms: int | None) -> Iterator[pd.DataFrame]:
     columns = ["conv_id", "turn", "kind", "segment", "stage", "locked"]
     if state.hasTimedOut:
         state.remove()
@@ -64,23 +65,27 @@ def _session(key, parts: Iterator[pd.DataFrame], state, forget_ms: int) -> Itera
         yield out.assign(locked=out["locked"].where(out["locked"].notna() & (out["locked"] != "auto"), None))[columns]
     ended = ended or len(open_rows) < len(rows)
     state.update((None, None, None, True) if ended else (segment, stage, locked, False))
-    state.setTimeoutDuration(forget_ms)
+    if forget_ms is not None:
+        state.setTimeoutDuration(forget_ms)
 
 
-def session_states(turns: DataFrame, forget_after: str = FORGET_AFTER) -> DataFrame:
-    """Streaming turns -> per-turn session state."""
-    forget_ms = int(pd.Timedelta(forget_after).total_seconds() * 1000)
+def session_states(turns: DataFrame, forget_after: str | None = FORGET_AFTER) -> DataFrame:
+    """Streaming turns -> per-turn session state; ``forget_after`` None: keep every conversation's state."""
+    forget_ms = None if forget_after is None else int(pd.Timedelta(forget_after).total_seconds() * 1000)
 
     def advance(key, parts, state):
         return _session(key, parts, state, forget_ms)
 
-    return turn_effects(turns).groupBy("conv_id").applyInPandasWithState(
-        advance, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if forget_after is None else GroupStateTimeout.ProcessingTimeTimeout
+    return turn_effects(turns).groupBy("conv_id").applyInPandasWithState(advance, OUT_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
-def start(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, max_files_per_trigger: int = 1):
+def start(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, max_files_per_trigger: int = 1,
+          every: str | None = None, forget_after: str = FORGET_AFTER):
+    """Process what is there and end, or with ``every`` (a trigger interval) run on and forget."""
     stream = (spark.readStream.schema(TURN_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
-    return (session_states(stream).writeStream.format("parquet").option("path", out_dir)
-            .option("checkpointLocation", checkpoint).outputMode("append")
-            .trigger(availableNow=True).start())
+    out = session_states(stream, forget_after if every else None)
+    writer = (out.writeStream.format("parquet").option("path", out_dir)
+              .option("checkpointLocation", checkpoint).outputMode("append"))
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
