@@ -11,8 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 & ~0x7 | 0x5  # 5 mod 8: odd powers stay far apart
 _M64 = (1 << 64) - 1
@@ -41,6 +42,11 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return _tables["pow"], _tables["inv"]
 
 
+def batch_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches have at most so many rows: each is held by the JVM and by Python at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     h = h ^ (h >> _U(30))

@@ -221,6 +221,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, key
     from pyspark.sql.pandas.types import to_arrow_type
 
     item_type = to_arrow_type(benchmark.schema[item].dataType)
+    B.batch_rows(spark)
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     out = spark.createDataFrame([], schema)
     for block in benchmark_blocks(benchmark, item, item_text, block_bytes):
@@ -241,6 +242,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, t
                    similarity: float = 0.8, radius: int = RADIUS, block_bytes: int = 16 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, that match no item."""
     place = docs.columns.index(text)
+    B.batch_rows(spark)
 
     def clean(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

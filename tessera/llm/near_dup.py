@@ -155,6 +155,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
                     k: int = SKETCH) -> DataFrame:
     """Of each row: key, ``n_shingles``, ``component_id`` (smallest id reachable over links of at least
     ``percent`` per cent similarity, its own included), ``kept`` (it is that id)."""
+    B.batch_rows(spark)
     rows = written(spark, sketches(docs, key, text, words, k), "sketches")
     some = rows.where("n > 0 and id is not null")
     classes = written(spark, some.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "classes")

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessera.llm import bytewords as B
+
 ROUNDS = 10
 FIRST_DAY, DAYS = date(1900, 1, 1), 73_049  # to 2099-12-31
 
@@ -236,6 +238,7 @@ def reveal(text: str, key: bytes) -> str:
 def pseudonymised(docs: DataFrame, key: bytes, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with personal data of the text column replaced; on demand a column with the number of replacements."""
     place = docs.columns.index(text)
+    B.batch_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

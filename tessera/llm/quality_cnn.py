@@ -165,6 +165,7 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, key:
     shared = spark.sparkContext.broadcast((net.w, shift, fixed))  # weights of a fixed size
 
     columns = keep or [key]
+    B.batch_rows(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, shift, fixed = shared.value

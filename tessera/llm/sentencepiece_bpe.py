@@ -65,7 +65,7 @@ class Pieces:
             for c in texts[i]:
                 symbol.setdefault(c, len(symbol) + self.n)
         self.other = max(symbol.values()) + 1  # any character that no piece has
-        self.of_char = np.full(0x110000, self.other, dtype=np.int64)
+        self.of_char = np.full(0x110000, self.other, dtype=np.int32)
         for s, i in symbol.items():
             if len(s) == 1:
                 self.of_char[ord(s)] = i
@@ -77,16 +77,15 @@ class Pieces:
                 left, right = symbol.get(t[:c]), symbol.get(t[c:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = (i, rank[proto.pieces[i].score])
-        self._bits = max(8, (4 * len(pairs)).bit_length())
+        self._bits = max(8, (2 * len(pairs)).bit_length())
         self._keys = np.full((1 << self._bits) + 64, -1, dtype=np.int64)
-        self._to = np.zeros(len(self._keys), dtype=np.int64)
-        self._rank = np.full(len(self._keys), -1, dtype=np.int64)
+        self._to = np.zeros(len(self._keys), dtype=np.int32)
+        self._rank = np.full(len(self._keys), -1, dtype=np.int32)
         slots = self._slot(np.array(list(pairs), dtype=np.int64))
         for (key, (to, r)), slot in zip(pairs.items(), slots.tolist()):
             while self._keys[slot] != -1:
                 slot += 1
             self._keys[slot], self._to[slot], self._rank[slot] = key, to, r
-        self.pairs = pairs
 
         plain = [b"" if k == CONTROL else bytes([int(t[1:-1], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else t.replace(MARK, " ").encode()
                  for t, k in zip(texts, kinds)]
@@ -99,6 +98,14 @@ class Pieces:
         with np.errstate(over="ignore"):
             return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
 
+    def one_pair(self, left: int, right: int) -> tuple[int, int]:
+        """(result, rank) of one pair; rank -1: no merge."""
+        key = left << 32 | right
+        slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - self._bits)
+        while self._keys[slot] != key and self._keys[slot] != -1:
+            slot += 1
+        return int(self._to[slot]), int(self._rank[slot])
+
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Slots of pairs in the merge table; an empty slot has rank -1."""
         keys = left << 32 | right
@@ -116,7 +123,7 @@ class Pieces:
         """Ids of all segments in a row, and how many each has."""
         size = np.fromiter(map(len, segments), np.int64, len(segments))
         chars = np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-        symbol = self.of_char[chars]
+        symbol = self.of_char[chars].astype(np.int64)
         segment = np.repeat(np.arange(len(segments)), size)
         long = size > LONG
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # place, symbol, segment
@@ -188,21 +195,21 @@ class Pieces:
         """The agenda of one long segment as a heap: places and symbols that remain."""
         n = len(symbol)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda: list[tuple[int, int, int, int]] = []
+        agenda: list[tuple[int, int, int, int, int]] = []
 
         def push(i: int, j: int) -> None:
-            found = self.pairs.get(symbol[i] << 32 | symbol[j])
-            if found:
-                heapq.heappush(agenda, (-found[1], i, symbol[i], symbol[j]))
+            to, rank = self.one_pair(symbol[i], symbol[j])
+            if rank >= 0:
+                heapq.heappush(agenda, (-rank, i, symbol[i], symbol[j], to))
 
         for i in range(n - 1):
             push(i, i + 1)
         while agenda:
-            _, i, left, right = heapq.heappop(agenda)
+            _, i, left, right, to = heapq.heappop(agenda)
             j = after[i]
             if symbol[i] != left or j >= n or symbol[j] != right:
                 continue  # one of the two has merged meanwhile
-            symbol[i], symbol[j] = self.pairs[left << 32 | right][0], -1
+            symbol[i], symbol[j] = to, -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -238,7 +245,7 @@ class Pieces:
 class Encoder:
     """Encodes blocks of texts; keeps the ids of recent segments in a table of bounded size."""
 
-    def __init__(self, model: bytes, check: bool = True, keep_ids: int = 1 << 23):
+    def __init__(self, model: bytes, check: bool = True, keep_ids: int = 1 << 22):
         self.pieces, self.check, self.keep = Pieces(model), check, keep_ids
         self.cache = B.SpanCache()
         self.ids, self.used = np.zeros(keep_ids, dtype=np.int32), 0
@@ -325,6 +332,7 @@ def encode_decode(spark: SparkSession, docs: DataFrame, model: bytes, key: str =
     """Of each row: key, ``n_tokens`` (with begin and end), ``ids_sha256`` (of little-endian 32-bit ids),
     ``decoded_sha256`` (of the decoded UTF-8), ``n_corrected``; on demand ``ids`` and ``decoded`` too."""
     shared = spark.sparkContext.broadcast(model)  # one vocabulary file
+    B.batch_rows(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -118,6 +118,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, model: bytes, key: str =
                  long_text: int = LONG_TEXT) -> DataFrame:
     """Of each row: key, ``n_bytes`` (UTF-8) and ``n_tokens``. ``model``: the JSON file of a tokenizer."""
     shared = spark.sparkContext.broadcast(model)  # one vocabulary file
+    B.batch_rows(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
