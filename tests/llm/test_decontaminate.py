@@ -44,15 +44,15 @@ def test_equals_brute_force(spark):
     bench = [(i, " ".join(w)) for i, w in enumerate(items)] + [(98, None), (99, "")]
     of = D.Benchmark([b for b in bench if b[1] is not None], 5, D.RADIUS)
     want = {}
+    of_item = {place: Counter(_shingles(item, min(5, len(item)))) for place, item in enumerate(items) if item}
     for doc, t, _ in rows:
         w = words_of(t)
-        for place, item in enumerate(items):
-            k, n = min(5, len(item)), len(item)
-            if not n:
-                continue
+        of_doc = {k: _shingles(w, k) for k in {min(5, len(item)) for item in items if item} if len(w) >= k}
+        for place, other in of_item.items():
+            n, k = len(items[place]), min(5, len(items[place]))
             for a in range(len(w) - n + 1):
-                one, other = (Counter(int(h) for h in _shingles(x, k)) for x in (w[a:a + n], item))
-                if one.keys() & other.keys() and (s := of.similarity(one, other)) >= 0.8 and (doc, place) not in want or one.keys() & other.keys() and s > want.get((doc, place), (9,))[0]:
+                one = Counter(of_doc[k][a:a + n - k + 1])
+                if one.keys() & other.keys() and (s := of.similarity(one, other)) >= 0.8 and s > want.get((doc, place), (0,))[0]:
                     want[doc, place] = (s, a)
     d, b = spark.createDataFrame(rows, "doc_id long, text string, key int").repartition(3), spark.createDataFrame(bench, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.similarity, r.first_word, r.distance) for r in D.contaminated(spark, d, b).collect()}
