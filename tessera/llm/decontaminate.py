@@ -3,18 +3,21 @@
 Words are runs of ASCII letters and digits and of all other characters outside ASCII, A-Z in lower
 case. A benchmark item of ``w`` words is compared with every window of ``w`` words of every text:
 
-* Both have a 64-bit SimHash of their weighted ``words``-word shingles. A shingle weighs less the
-  more items of the benchmark have it; one that no item has weighs as much as one of a single item.
+* Both have a 64-bit SimHash of their ``words``-word shingles (with their counts).
 * An index of ``BLOCKS`` blocks of bits holds the items of each window size. Two fingerprints at
   most ``radius`` bits apart agree in some block up to ``radius // BLOCKS`` bits, and each item stands
   under all values that near its own, so the index finds every fingerprint within the radius.
 * The exact weighted Jaccard similarity of the shingles (with their counts) verifies each candidate.
+  A shingle of the item weighs ``1 / m`` where ``m`` different items of the whole benchmark have it;
+  a shingle that only the window has weighs as much as the item's do on average. So the similarity
+  hangs on the window, the item and those ``m`` alone, and repeating an item changes nothing.
 
-A window without any shingle of the benchmark has similarity 0 to all items; no fingerprint is taken
-of it. Items of fewer words than a shingle have their whole sequence as the only one.
+A window whose shingles of the item can't weigh enough for the similarity is not looked up; the
+bound is exact. Items of fewer words than a shingle have their whole sequence as the only one.
 
-The benchmark is taken in blocks of at most ``block_bytes`` of text (a longer single item is a block of its own); each block is
-sent to all tasks and the texts are scanned once for it. Nothing is shuffled.
+Items with the same words count once in ``m``, which Spark sums over the whole benchmark. The benchmark is then taken in
+blocks of at most ``block_bytes`` of text (a longer single item is a block of its own); each block is
+sent to all tasks with its shingles' ``m``, and the texts are scanned once for it. The texts are never shuffled.
 
 Null or empty texts and items, and such without words, match nothing. Repeated rows and items are
 reported each; an empty table on either side gives no match; other columns are not read.
@@ -22,6 +25,7 @@ reported each; an empty table on either side gives no match; other columns are n
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,10 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import bytewords as B
+from tessera.llm.shared import written
 
 BLOCKS = 8
 RADIUS = 15
-UNIT = 64  # weight of a shingle of one item
+UNIT = 1 << 32  # weight of a shingle of one item
 
 _PART = np.ones(256, dtype=bool)  # bytes that belong to no word
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -48,11 +53,11 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return B.span_hashes(low, starts, ends), at
 
 
-def signs(shingles: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def signs(shingles: np.ndarray) -> np.ndarray:
     """Running sums of what each shingle adds to each of the 64 bits; one row more than shingles."""
     bits = np.unpackbits(shingles.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
     total = np.zeros((len(shingles) + 1, 64), dtype=np.int64)
-    np.cumsum((2 * bits - 1) * weight[:, None], axis=0, out=total[1:])
+    np.cumsum(2 * bits - 1, axis=0, out=total[1:])
     return total
 
 
@@ -101,33 +106,47 @@ class HammingIndex:
         return q, i, np.bitwise_count(prints[q] ^ self.prints[i]).astype(np.int64)
 
 
+def item_shingles(texts: pa.Array, words: int) -> tuple[list[np.ndarray], np.ndarray, list[bytes]]:
+    """Of each item its shingles, its number of words, and a digest of its words."""
+    buf, offsets = B.text_bytes(texts)
+    hashes, at = word_hashes(buf, offsets)
+    size = np.diff(at)
+    sets = [B.shingles(hashes[at[r] : at[r + 1]], np.array([0, n]), min(words, n) or 1)[0] for r, n in enumerate(size.tolist())]
+    return sets, size, [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=8).digest() for a, b in zip(at[:-1], at[1:])]
+
+
 class Benchmark:
-    """One block of the benchmark: its shingles, their weights, and an index for each window size."""
+    """One block of the benchmark: its shingles, their weights, and an index for each window size.
 
-    def __init__(self, items: list[tuple[object, str]], words: int, radius: int):
+    ``shared``: sorted shingles that several items of the whole benchmark have, and how many; without it the block is the whole.
+    """
+
+    def __init__(self, items: list[tuple[object, str]], words: int, radius: int, shared: tuple[np.ndarray, np.ndarray] | None = None, least: float = 0.0):
         self.words = words
-        buf, offsets = B.text_bytes(pa.array([t for _, t in items], pa.string()))
-        hashes, at = word_hashes(buf, offsets)
+        sets, size, texts = item_shingles(pa.array([t for _, t in items], pa.string()), words)
         self.ids = [i for i, _ in items]
-        size = np.diff(at)
-        sets = []
-        for r in range(len(items)):
-            k = min(words, int(size[r])) or 1
-            sets.append(B.shingles(hashes[at[r] : at[r + 1]], np.array([0, size[r]]), k)[0])
-        held = Counter(h for s in sets for h in set(s.tolist()))
+        held = Counter(h for r in dict(zip(texts, range(len(texts)))).values() for h in set(sets[r].tolist()))
         self.known = np.array(sorted(held), dtype=np.uint64)
-        self.weights = np.array([max(1, UNIT // held[h]) for h in self.known.tolist()], dtype=np.int64)
+        many = np.array([held[h] for h in self.known.tolist()], dtype=np.int64)
+        if shared is not None:
+            many[:] = 1
+            many[np.searchsorted(self.known, shared[0])] = shared[1]
+        self.weights = np.maximum(1, UNIT // np.maximum(1, many))
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.rows = np.flatnonzero(size)
         self.sets = {r: Counter(sets[r].tolist()) for r in self.rows.tolist()}
         self.sizes, group = np.unique(size[self.rows], return_inverse=True)
-        prints = [fingerprints(signs(sets[r], self.weight(sets[r])[0]), np.array([0]), len(sets[r])) for r in self.rows.tolist()]
+        # what the known shingles of a window must weigh to match an item, and any item of its size
+        self.need = np.array([int(self.weight(sets[r])[0].sum()) for r in self.rows.tolist()], dtype=np.float64) * (least * (1 - 1e-9))
+        self.least_need = np.full(len(self.sizes), np.inf)
+        np.minimum.at(self.least_need, group, self.need)
+        prints = [fingerprints(signs(sets[r]), np.array([0]), len(sets[r])) for r in self.rows.tolist()]
         self.index = HammingIndex(np.concatenate([np.zeros(0, np.uint64), *prints]), group, len(self.sizes), radius)
 
     def weight(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of shingles, and whether the benchmark has them."""
-        weight, known = np.full(len(shingles), UNIT, dtype=np.int64), self.filter[(shingles & np.uint64((1 << 20) - 1)).astype(np.int64)]
+        """Weights of shingles (0 if the block has not got them), and whether the block has them."""
+        weight, known = np.zeros(len(shingles), dtype=np.int64), self.filter[(shingles & np.uint64((1 << 20) - 1)).astype(np.int64)]
         maybe = np.flatnonzero(known)
         if len(maybe):
             slot = np.minimum(np.searchsorted(self.known, shingles[maybe]), len(self.known) - 1)
@@ -137,10 +156,12 @@ class Benchmark:
         return weight, known
 
     def similarity(self, one: Counter, other: Counter) -> float:
-        keys = np.array(list(one.keys() | other.keys()), dtype=np.uint64)
-        a, b = (np.array([c[k] for k in keys.tolist()]) for c in (one, other))
-        weight = self.weight(keys)[0]
-        return float((np.minimum(a, b) * weight).sum() / (np.maximum(a, b) * weight).sum())
+        """Of a window's shingles and an item's: weights are the item's, and their mean for what only the window has."""
+        weight = dict(zip(other, self.weight(np.array(list(other), dtype=np.uint64))[0].tolist()))
+        both = sum(min(n, one[h]) * weight[h] for h, n in other.items())
+        whole, size = sum(n * weight[h] for h, n in other.items()), other.total()
+        more = sum(n - min(n, other[h]) for h, n in one.items())
+        return both * size / (whole * (size + more))
 
     def matches(self, hashes: np.ndarray, at: np.ndarray, least: float) -> list[tuple[int, int, int, int, float, int]]:
         """(row, item, first word, words, similarity, distance): of each row and item the best window."""
@@ -155,22 +176,27 @@ class Benchmark:
         return [(row, item, *x) for (row, item), x in sorted(best.items())]
 
     def _row(self, row: int, shingles: np.ndarray, weight: np.ndarray, known: np.ndarray, k: int, least: float, best: dict) -> None:
-        seen = np.concatenate(([0], np.cumsum(known)))
+        seen = np.concatenate(([0], np.cumsum(weight)))
         for a, b in self._stretches(known, k):
-            total = signs(shingles[a:b], weight[a:b])
-            places, prints, groups = [], [], []
+            total = signs(shingles[a:b])
+            places, prints, groups, held_by = [], [], [], []
             for g, w in enumerate(self.sizes.tolist()):
                 size = w - k + 1
                 if min(self.words, w) == k and size <= b - a:
                     starts = np.arange(b - a - size + 1)
-                    starts = starts[seen[a + starts + size] > seen[a + starts]]
+                    held = seen[a + starts + size] - seen[a + starts]
+                    enough = (held > 0) & (held >= self.least_need[g])
+                    starts = starts[enough]
+                    held_by.append(held[enough])
                     places.append(a + starts)
                     prints.append(fingerprints(total, starts, size))
                     groups.append(np.full(len(starts), g))
             if not places:
                 continue
-            place, group = np.concatenate(places), np.concatenate(groups)
+            place, group, held = np.concatenate(places), np.concatenate(groups), np.concatenate(held_by)
             q, i, d = self.index.search(np.concatenate(prints), group)
+            enough = held[q] >= self.need[i]
+            q, i, d = q[enough], i[enough], d[enough]
             for n in np.lexsort((q, d)).tolist():
                 first, w, item = int(place[q[n]]), int(self.sizes[group[q[n]]]), int(self.rows[i[n]])
                 s = self.similarity(Counter(shingles[first : first + w - k + 1].tolist()), self.sets[item])
@@ -189,16 +215,36 @@ class Benchmark:
                 yield max(0, s), min(len(known), s + step + reach)
 
 
-def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
-    """The benchmark in blocks of bounded size, one at a time at the driver."""
+def shared_shingles(some: DataFrame, words: int) -> DataFrame:
+    """(shingle, n) of the shingles that n > 1 items with different words have; ``some``: (i, t)."""
+    return _item_rows(some.select("t").distinct(), words).distinct().groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def _item_rows(texts: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sets, digest in zip(*item_shingles(batch.column(0), words)[::2]):
+                one = np.unique(sets).view(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(one), int.from_bytes(digest, "little", signed=True))), pa.array(one)], names=["words", "shingle"])
+
+    return texts.mapInArrow(run, "words long, shingle long")
+
+
+def benchmark_blocks(spark: SparkSession, benchmark: DataFrame, item: str, text: str, words: int, block_bytes: int) -> Iterator[tuple[list[tuple[object, str]], tuple[np.ndarray, np.ndarray]]]:
+    """The benchmark in blocks of bounded size, one at a time at the driver, each with its shared shingles."""
     some = benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).where("t is not null")
     size = some.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = 1 + 2 * size // block_bytes if size > block_bytes else 1
+    shared = shared_shingles(some, words) if parts == 1 else written(spark, shared_shingles(some, words), "shingles")
     for p in range(parts):
         rows = some if parts == 1 else some.where(F.pmod(F.xxhash64("t", "i"), F.lit(parts)) == p)
         found = [(r.i, r.t) for r in rows.collect()]
         if found:
-            yield sorted(found, key=lambda r: (str(r[0]), r[1]))
+            own = shared if parts == 1 else shared.join(_item_rows(rows.select("t").distinct(), words).select("shingle").distinct(), "shingle", "left_semi")
+            own = own.toArrow()
+            h, n = own.column("shingle").to_numpy().view(np.uint64), own.column("n").to_numpy()
+            order = np.argsort(h)
+            yield sorted(found, key=lambda r: (str(r[0]), r[1])), (h[order], n[order])
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -210,7 +256,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, key
 
     def scan(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of = Benchmark(shared.value, words, radius)
+            items, many = shared.value
+            of = Benchmark(items, words, radius, many, similarity)
             for batch in batches:
                 found = _found(of, batch.column(1), similarity)
                 rows = pa.array([f[0] for f in found], pa.int64())
@@ -224,7 +271,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, key
     B.batch_rows(spark)
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     out = spark.createDataFrame([], schema)
-    for block in benchmark_blocks(benchmark, item, item_text, block_bytes):
+    for block in benchmark_blocks(spark, benchmark, item, item_text, words, block_bytes):
         out = out.union(texts.mapInArrow(scan(spark.sparkContext.broadcast(block)), schema))
     return out.withColumnsRenamed({"key": key, "item": item})
 
@@ -246,13 +293,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, t
 
     def clean(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of = Benchmark(shared.value, words, radius)
+            items, many = shared.value
+            of = Benchmark(items, words, radius, many, similarity)
             for batch in batches:
                 keep = np.ones(len(batch), dtype=bool)
                 keep[[f[0] for f in _found(of, batch.column(place), similarity)]] = False
                 yield batch.filter(pa.array(keep))
         return run
 
-    for block in benchmark_blocks(benchmark, item, item_text, block_bytes):
+    for block in benchmark_blocks(spark, benchmark, item, item_text, words, block_bytes):
         docs = docs.mapInArrow(clean(spark.sparkContext.broadcast(block)), docs.schema)
     return docs
