@@ -39,7 +39,7 @@ from tessera.llm import bytewords as B
 from tessera.llm.shared import written
 
 BLOCKS = 8
-RADIUS = 15
+RADIUS = 23  # the most that two flips a block find all of
 UNIT = 1 << 32  # weight of a shingle of one item
 
 _PART = np.ones(256, dtype=bool)  # bytes that belong to no word
@@ -80,11 +80,10 @@ class HammingIndex:
     def __init__(self, prints: np.ndarray, group: np.ndarray, groups: int, radius: int):
         self.prints, self.radius = prints, radius
         self.start, self.items = [], []
-        near = [sorted(near_values(v, radius // BLOCKS)) for v in range(256)]
+        near = np.array([sorted(near_values(v, radius // BLOCKS)) for v in range(256)], dtype=np.int64)
         for block in range(BLOCKS):
-            value = self._value(prints, block).tolist()
-            keys = np.array([g << 8 | v for x, g in zip(value, group.tolist()) for v in near[x]], dtype=np.int64)
-            who = np.repeat(np.arange(len(prints)), [len(near[x]) for x in value])
+            keys = (group.astype(np.int64)[:, None] << 8 | near[self._value(prints, block)]).ravel()
+            who = np.repeat(np.arange(len(prints), dtype=np.int32), near.shape[1])
             order = np.argsort(keys, kind="stable")
             self.items.append(who[order])
             self.start.append(np.searchsorted(keys[order], np.arange((groups << 8) + 1)))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tessera.llm import decontaminate as D
 
 
@@ -14,7 +16,7 @@ def found(spark, docs, bench, **kw):
 def changed(rng, words, n=1):
     w = list(words)
     for i in rng.sample(range(5, len(w) - 5), n):
-        w[i] = f"new{rng.random()}"
+        w[i] = f"new{rng.randrange(10**9)}"
     return w
 
 
@@ -40,3 +42,22 @@ def test_repeating_an_item_changes_nothing(spark):
     for bench in ([" ".join(item)] * 2, [" ".join(item), ", ".join(item).upper()], [" ".join(item)] * 40):
         assert found(spark, [doc], bench) == {(0, i): once[0, 0] for i in range(len(bench))}
         assert found(spark, [doc], bench, block_bytes=300) == {(0, i): once[0, 0] for i in range(len(bench))}
+
+
+def test_radius_keeps_similar_windows():
+    rng = np.random.default_rng(6)
+    items, edited = [], []
+    for _ in range(6000):
+        h = rng.integers(0, 1 << 63, 55).astype(np.uint64)
+        items.append(D.fingerprints(D.signs(h[:45]), np.array([0]), 45)[0])  # 40 shingles stay, 5 go, 5 come: similarity 0.8
+        edited.append(D.fingerprints(D.signs(np.concatenate([h[:40], h[45:50]])), np.array([0]), 45)[0])
+    far = np.bitwise_count(np.array(items) ^ np.array(edited))
+    assert (far > 15).any() and (far > D.RADIUS).sum() == 0
+
+
+def test_all_similar_windows_are_found(spark):
+    rng = random.Random(7)
+    items = [[f"w{rng.randrange(3000)}" for _ in range(49)] for _ in range(40)]
+    docs = [" ".join(["before", *changed(rng, x), "after"]) for x in items for _ in range(50)]
+    got = found(spark, docs, [" ".join(x) for x in items])
+    assert {(i, i // 50) for i in range(len(docs))} <= got.keys()
