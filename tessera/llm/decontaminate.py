@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Words are runs of ASCII letters and digits and of all other characters outside ASCII, A-Z in lower
-case. A benchmark item of ``w`` words is compared with every window of ``w`` words of every text:
+case. A benchmark item of ``w`` words is compared with every window of ``w`` words of every text,
+and with the whole of a text that has fewer:
 
 * Both have a 64-bit SimHash of their ``words``-word shingles (with their counts).
 * An index of ``BLOCKS`` blocks of bits holds the items of each window size. Two fingerprints at
@@ -181,7 +182,8 @@ class Benchmark:
             places, prints, groups, held_by = [], [], [], []
             for g, w in enumerate(self.sizes.tolist()):
                 size = w - k + 1
-                if min(self.words, w) == k and size <= b - a:
+                if min(self.words, w) == k and (size <= b - a or a == 0 and len(shingles) < size):
+                    size = min(size, len(shingles))  # a shorter text is one window
                     starts = np.arange(b - a - size + 1)
                     held = seen[a + starts + size] - seen[a + starts]
                     enough = (held > 0) & (held >= self.least_need[g])
@@ -197,7 +199,8 @@ class Benchmark:
             enough = held[q] >= self.need[i]
             q, i, d = q[enough], i[enough], d[enough]
             for n in np.lexsort((q, d)).tolist():
-                first, w, item = int(place[q[n]]), int(self.sizes[group[q[n]]]), int(self.rows[i[n]])
+                first, item = int(place[q[n]]), int(self.rows[i[n]])
+                w = min(int(self.sizes[group[q[n]]]), len(shingles) + k - 1)
                 s = self.similarity(Counter(shingles[first : first + w - k + 1].tolist()), self.sets[item])
                 key, value = (row, item), (first, w, s, int(d[n]))
                 if s >= least and (key not in best or (-s, first) < (-best[key][2], best[key][0])):

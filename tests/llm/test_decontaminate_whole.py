@@ -61,3 +61,22 @@ def test_all_similar_windows_are_found(spark):
     docs = [" ".join(["before", *changed(rng, x), "after"]) for x in items for _ in range(50)]
     got = found(spark, docs, [" ".join(x) for x in items])
     assert {(i, i // 50) for i in range(len(docs))} <= got.keys()
+
+
+def test_texts_shorter_than_an_item(spark):
+    rng = random.Random(8)
+    items = [[f"w{rng.randrange(3000)}" for _ in range(n)] for n in (60, 60, 200, 6000, 20, 4)]
+    docs, want = [], {}
+    for i, x in enumerate(items):
+        for part in (x[:-1], x[1:], x[1:-1], x[: len(x) * 9 // 10], x[: len(x) // 2], x[: len(x) // 2] + x[len(x) // 2 + 1 :], x[:4]):
+            size, k = len(x) - min(5, len(x)) + 1, min(5, len(x))
+            known = {tuple(x[a : a + k]) for a in range(size)}
+            own = [tuple(part[a : a + k]) for a in range(len(part) - k + 1)]
+            both = sum(s in known for s in own)
+            if both and both / (size + len(own) - both) >= 0.8:
+                want[len(docs), i] = (both / (size + len(own) - both), 0, len(part))
+            docs.append(" ".join(part))
+    got = found(spark, docs, [" ".join(x) for x in items])
+    assert (0, 0) in want and (want[0, 0][0] - 55 / 56) < 1e-9
+    assert got.keys() == want.keys()
+    assert all(abs(got[p][0] - want[p][0]) < 1e-9 and got[p][1:3] == want[p][1:] for p in want)
