@@ -5,7 +5,8 @@ dates, octets for IPv4 addresses, issued areas for social security numbers, digi
 Each becomes a number in the space of its own format and goes through a ten-round Feistel network
 keyed by a secret; results outside the format walk on along the cycle. So a value keeps its length and
 its validity, equal values get equal pseudonyms in all documents (whatever their punctuation or case), and
-the holder of the key can undo it (``reveal``).
+the holder of the key can undo it (``reveal``). Where numbers stand beside a value so that its pseudonym
+would make a card of them, the pseudonym is the next one along its cycle; only there equal values may differ.
 
 | kind | permuted | kept |
 | --- | --- | --- |
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from math import prod
@@ -105,16 +107,61 @@ def classes(text: str, key: bytes, tag: str, undo: bool) -> str:
     return "".join(out)
 
 
-def _email(m: re.Match, key: bytes, undo: bool) -> str | None:
+def _email(m: re.Match, key: bytes, undo: bool, alone: Callable[[str], bool]) -> str | None:
     head, dot, top = m.group().rpartition(".")
     return classes(head, key, "email", undo) + dot + top
 
 
-def _card(m: re.Match, key: bytes, undo: bool) -> str | None:
+_CHAIN = re.compile(r"(?<![\w.-])\d(?:[ -]?\d)*(?![\w-])", re.A)
+_GROUPINGS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
+
+
+def _is_card(d: list[int]) -> bool:
+    return any(d) and luhn(d[:-1]) == d[-1]
+
+
+def _stretches(text: str, taken: list[tuple]) -> list[tuple[bool, int, int, int]]:
+    """(unusual, start, -digits, end) of all stretches of whole digit groups, 13 to 19 digits, outside what is taken."""
+    out = []
+    for chain in _CHAIN.finditer(text):
+        if chain.end() - chain.start() < 13:
+            continue
+        groups = [g.span() for g in re.compile(r"\d+", re.A).finditer(text, *chain.span())]
+        other = [t for t in taken if t[0] < chain.end() and chain.start() < t[1]]
+        for i, (a, _) in enumerate(groups):
+            size = 0
+            for j in range(i, len(groups)):
+                b = groups[j][1]
+                size += b - groups[j][0]
+                if size > 19:
+                    break
+                if size >= 13 and not any(a < t[1] and t[0] < b for t in other):
+                    usual = i == j or tuple(y - x for x, y in groups[i : j + 1]) in _GROUPINGS
+                    out.append((not usual, a, -size, b))
+    return out
+
+
+def _cards(text: str, tries: list[tuple[bool, int, int, int]]) -> list[tuple[bool, int, int, int]]:
+    """The stretches that are cards: first single runs and the usual groupings, then others, each by start and longest first."""
+    full, found = set(), []
+    for t in sorted(tries):
+        if (t[1] not in full and t[3] - 1 not in full) and _is_card(_numbers(text[t[1] : t[3]])) and full.isdisjoint(range(t[1], t[3])):
+            full.update(range(t[1], t[3]))
+            found.append(t)
+    return found
+
+
+# characters of an IBAN by country, from its registry
+_IBAN_SIZES = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL "
+    "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE "
+    "31:MT,SC 32:LC 33:RU").split()) for c in cs.split(",")}
+_IBAN_SHAPES = {n: re.compile(rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + r"\b", re.A) for n in set(_IBAN_SIZES.values())}
+
+
+def _card(m: re.Match, key: bytes, undo: bool, alone: Callable[[str], bool]) -> str | None:
     digits = _numbers(m.group())
-    if not 13 <= len(digits) <= 19 or luhn(digits[:-1]) != digits[-1] or not any(digits):
-        return None
-    body = walk(digits[:-1], [10] * (len(digits) - 1), key, "card", undo, any)
+    body = walk(digits[:-1], [10] * (len(digits) - 1), key, "card", undo, lambda d: any(d) and alone(_fill(m.group(), [*d, luhn(d)])))
     return _fill(m.group(), [*body, luhn(body)])
 
 
@@ -122,7 +169,9 @@ def _iban_rest(country: str, account: str) -> int:
     return int("".join(str(int(c, 36)) for c in account + country + "00")) % 97
 
 
-def _iban(m: re.Match, key: bytes, undo: bool) -> str | None:
+def _iban(m: re.Match, key: bytes, undo: bool, alone: Callable[[str], bool]) -> str | None:
+    if m.group()[:2] in _IBAN_SIZES and len(m.group().replace(" ", "")) != _IBAN_SIZES[m.group()[:2]]:
+        return None
     plain = m.group().replace(" ", "")
     country, check, account = plain[:2], plain[2:4], plain[4:]
     if not 15 <= len(plain) <= 34 or 98 - _iban_rest(country, account) != int(check):
@@ -132,7 +181,7 @@ def _iban(m: re.Match, key: bytes, undo: bool) -> str | None:
     return "".join(" " if c == " " else next(new) for c in m.group())
 
 
-def _date(m: re.Match, key: bytes, undo: bool) -> str | None:
+def _date(m: re.Match, key: bytes, undo: bool, alone: Callable[[str], bool]) -> str | None:
     parts = re.split(r"[-/.]", m.group())
     year_first = len(parts[0]) == 4
     numbers = [int(p) for p in parts]
@@ -155,43 +204,49 @@ def _date(m: re.Match, key: bytes, undo: bool) -> str | None:
 
         # all forms with full fields have the same days, so they share one permutation
         tag = f"date{width[mo]}{width[d]}{month_first:d}"
-        a, b = walk([day // 271, day % 271], [270, 271], key, tag, undo, lambda x: x[0] * 271 + x[1] < DAYS and form(x[0] * 271 + x[1]) is not None)
+        a, b = walk([day // 271, day % 271], [270, 271], key, tag, undo, lambda x: x[0] * 271 + x[1] < DAYS and (new := form(x[0] * 271 + x[1])) is not None and alone(new))
         return form(a * 271 + b)
     return None
 
 
-def _ip(m: re.Match, key: bytes, undo: bool) -> str | None:
+def _ip(m: re.Match, key: bytes, undo: bool, alone: Callable[[str], bool]) -> str | None:
     octets = m.group().split(".")
     if any(int(o) > 255 or str(int(o)) != o for o in octets):
         return None
     low, size = {1: 0, 2: 10, 3: 100}, {1: 10, 2: 90, 3: 156}
-    out = permute([int(o) - low[len(o)] for o in octets], [size[len(o)] for o in octets], key, "ip", undo)
-    return ".".join(str(n + low[len(o)]) for n, o in zip(out, octets))
 
+    def form(numbers: list[int]) -> str:
+        return ".".join(str(n + low[len(o)]) for n, o in zip(numbers, octets))
 
-def _phone(m: re.Match, key: bytes, undo: bool) -> str | None:
+    return form(walk([int(o) - low[len(o)] for o in octets], [size[len(o)] for o in octets], key, "ip", undo, lambda d: alone(form(d))))
+
+
+def _phone(m: re.Match, key: bytes, undo: bool, alone: Callable[[str], bool]) -> str | None:
     code, rest = m.group("code") or "", m.group("rest") or m.group("plain")
     digits = _numbers(rest)
     if not 7 <= len(digits) <= 14:
         return None
     area = len(digits) == 10 and digits[0] >= 2  # an area code doesn't begin with 0 or 1
-    return code + _fill(rest, walk(digits, [10] * len(digits), key, "phone", undo, lambda d: (len(d) == 10 and d[0] >= 2) == area))
+    return code + _fill(rest, walk(digits, [10] * len(digits), key, "phone", undo, lambda d: (len(d) == 10 and d[0] >= 2) == area and alone(code + _fill(rest, d))))
 
 
-def _ssn(m: re.Match, key: bytes, undo: bool) -> str | None:
+def _ssn(m: re.Match, key: bytes, undo: bool, alone: Callable[[str], bool]) -> str | None:
     def valid(d: list[int]) -> bool:
         area = d[0] * 100 + d[1] * 10 + d[2]
         return 0 < area < 900 and area != 666 and d[3:5] != [0, 0] and d[5:] != [0] * 4
 
     digits = _numbers(m.group())
-    return _fill(m.group(), walk(digits, [10] * 9, key, "ssn", undo, valid)) if valid(digits) else None
+    return _fill(m.group(), walk(digits, [10] * 9, key, "ssn", undo, lambda d: valid(d) and alone(_fill(m.group(), d)))) if valid(digits) else None
 
 
-def _secret(m: re.Match, key: bytes, undo: bool) -> str | None:
+def _secret(m: re.Match, key: bytes, undo: bool, alone: Callable[[str], bool]) -> str | None:
     a, b = m.span("value")
     return m.group()[: a - m.start()] + classes(m.group("value"), key, "secret", undo) + m.group()[b - m.start() :]
 
 
+# country codes; none begins with another
+_CODES = r"[017]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-689]|3[578]|42|5[09]|6[7-9]|8[035789]|9[679])\d"
+
 # (kind, characters one of which a text must have, pattern, replacement); the earlier kind wins where two overlap
 FINDERS: list[tuple[str, str, re.Pattern, Callable]] = [
     ("email", "@", re.compile(r"(?<![\w.+-])[A-Za-z0-9_][\w.%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])", re.A), _email),
@@ -199,35 +254,67 @@ FINDERS: list[tuple[str, str, re.Pattern, Callable]] = [
     ("secret", "A", re.compile(r"\b(?:AKIA|ASIA)(?P<value>[A-Z0-9]{16})\b", re.A), _secret),
     ("secret", "_-", re.compile(r"\b(?:gh[pousr]_|github_pat_|glpat-|sk[-_](?:live_|test_)?|pk_(?:live_|test_)?|xox[abprs]-)(?P<value>[A-Za-z0-9_-]{16,})", re.A), _secret),
     ("iban", "0123456789", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", re.A), _iban),
-    ("card", "0123456789", re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", re.A), _card),
+    ("card", "0123456789", _CHAIN, _card),
     ("date", "0123456789", re.compile(r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w/-]|\.\d)", re.A), _date),
     ("ip", "0123456789", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", re.A), _ip),
     ("ssn", "0123456789", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A), _ssn),
-    ("phone", "0123456789", re.compile(r"(?<![\w.+])(?:(?P<code>\+\d{1,3}[ .-]?|1[ .-])(?P<rest>\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4})|(?P<plain>\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([ .-])\d{3}\4\d{4}))(?![\w-])", re.A), _phone),
+    ("phone", "0123456789", re.compile(r"(?<![\w.+])(?:(?P<code>\+(?:" + _CODES + r")[ .-]?|1[ .-])(?P<rest>\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4})|(?P<plain>\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([ .-])\d{3}\4\d{4}))(?![\w-])", re.A), _phone),
 ]
 
 
+def _ends(kind: str, pattern: re.Pattern, m: re.Match) -> Iterator[re.Match]:
+    """A match and, where its length is not given by its form, the shorter ones from the same start."""
+    if kind == "iban" and m.group()[:2] in _IBAN_SIZES:
+        m = _IBAN_SHAPES[_IBAN_SIZES[m.group()[:2]]].match(m.string, m.start())
+        if m:
+            yield m
+        return
+    yield m
+    if kind == "phone":
+        for e in range(m.end() - 1, m.start(), -1):
+            if m.string[e] in " ." and (short := pattern.match(m.string, m.start(), e)) and short.end() == e:
+                yield short
+
+
 def replace(text: str, key: bytes, undo: bool = False) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms (or, undoing, with the values), and how many of each kind."""
-    taken: list[tuple[int, int, str, str]] = []
+    # where values are, which hangs on nothing that a pseudonym changes
+    taken: list[tuple[int, int, str, re.Match, Callable]] = []
+    tries: list[tuple[bool, int, int, int]] = []
+    cards: list[tuple[bool, int, int, int]] = []
     for kind, some, pattern, change in FINDERS:
         if not any(c in text for c in some):
             continue
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if any(a < y and x < b for x, y, _, _ in taken):
-                continue
-            new = change(m, key, undo)
-            if new is not None:
-                taken.append((a, b, new, kind))
+        if kind == "card":
+            tries = _stretches(text, taken)
+            cards = _cards(text, tries)
+            taken += [(t[1], t[3], kind, re.compile(".*", re.S).match(text, t[1], t[3]), change) for t in cards]
+            tries.sort(key=lambda t: t[1])
+            continue
+        at = 0
+        while m := pattern.search(text, at):
+            at = m.start() + 1  # if it is no value, one may begin later inside
+            for m in _ends(kind, pattern, m):
+                a, b = m.span()
+                if not any(a < t[1] and t[0] < b for t in taken) and change(m, key, undo, lambda new: True) is not None:
+                    taken.append((a, b, kind, m, change))
+                    at = b
+                    break
     if not taken:
         return text, {}
-    out, at, found = [], 0, {}
-    for a, b, new, kind in sorted(taken):
-        out += [text[at:a], new]
-        at = b
+    starts, now, found = [t[1] for t in tries], list(text), {}
+    for a, b, kind, m, change in reversed(taken) if undo else taken:
+        # no stretch that is tried before those it overlaps may become a card
+        near = tries[bisect_left(starts, a - 40) : bisect_left(starts, b)] if kind not in ("email", "secret", "iban") else []
+        near = [t for t in near if t[3] > a and not any(c <= t for c in cards if c[1] < t[3] and t[1] < c[3])]
+
+        def alone(new: str) -> bool:
+            now[a:b] = new
+            return not any(_is_card(_numbers("".join(now[t[1] : t[3]]))) for t in near)
+
+        now[a:b] = change(m, key, undo, alone)
         found[kind] = found.get(kind, 0) + 1
-    return "".join(out) + text[at:], found
+    return "".join(now), found
 
 
 def reveal(text: str, key: bytes) -> str:
