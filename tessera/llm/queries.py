@@ -103,11 +103,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.conversation_repair import repaired_conversations
+
+    return repaired_conversations(spark, table(spark, sf_dir, "conversations"))
+
+
 def _oracles() -> None:
-    from tessera.llm import licenses, quality_rules
+    from tessera.llm import conversation_repair, licenses, quality_rules
 
     ORACLE["op2_licenses"] = licenses.oracle_sql()
     ORACLE["op9_quality_rules"] = quality_rules.oracle_sql()
+    ORACLE["op11_conversation_repair"] = conversation_repair.oracle_sql()
 
 
 _oracles()
