@@ -110,12 +110,20 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_conversations(spark, table(spark, sf_dir, "conversations"))
 
 
+@query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.centroids import clustered
+
+    return clustered(spark, table(spark, sf_dir, "embeddings"))
+
+
 def _oracles() -> None:
-    from tessera.llm import conversation_repair, licenses, quality_rules
+    from tessera.llm import centroids, conversation_repair, licenses, quality_rules
 
     ORACLE["op2_licenses"] = licenses.oracle_sql()
     ORACLE["op9_quality_rules"] = quality_rules.oracle_sql()
     ORACLE["op11_conversation_repair"] = conversation_repair.oracle_sql()
+    ORACLE["op13_centroids"] = centroids.oracle_sql()
 
 
 _oracles()
