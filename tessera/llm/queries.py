@@ -110,6 +110,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_conversations(spark, table(spark, sf_dir, "conversations"))
 
 
+@query
+def op12_vector_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.vector_dup import vector_duplicates
+
+    return vector_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.centroids import clustered
@@ -118,11 +125,12 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracles() -> None:
-    from tessera.llm import centroids, conversation_repair, licenses, quality_rules
+    from tessera.llm import centroids, conversation_repair, licenses, quality_rules, vector_dup
 
     ORACLE["op2_licenses"] = licenses.oracle_sql()
     ORACLE["op9_quality_rules"] = quality_rules.oracle_sql()
     ORACLE["op11_conversation_repair"] = conversation_repair.oracle_sql()
+    ORACLE["op12_vector_dup"] = vector_dup.oracle_sql()
     ORACLE["op13_centroids"] = centroids.oracle_sql()
 
 
