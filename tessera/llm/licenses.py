@@ -3,15 +3,16 @@
 Every rolling word pair of every text is hashed and joined to the places of that pair in the
 templates (a fixed table of a few hundred rows). A match votes for the diagonal ``place in the text
 - place in the template``; one diagonal is one way of laying the template over the text. Votes are
-summed by (text, template, diagonal), diagonals that lie at most ``slack`` apart (words put in or
+gathered by (text, template, diagonal) as the set of template places that voted, diagonals that lie at most ``slack`` apart (words put in or
 left out) are merged, and a merged span is verified: of the template's pairs at least
-``coverage`` must be there, inside a span not much longer than the template. On a single diagonal all votes
+``coverage`` must be there (a place that votes on several diagonals counts once), inside a span not much longer than the template. On a single diagonal all votes
 mean that all words stand there consecutively, as 64-bit hashes of pairs agree.
 
 A scan and two sums move counts only; texts are never shuffled. The sums are keyed by the row, so a
 phrase in a third of all texts makes no hot key, and a text that repeats one is summed before the shuffle.
 
-Null or empty text: no words, no labels (the empty string), score 0. Repeated rows are separate rows; an empty
+Null or empty text: no words, no labels (the empty string), score 0. Very long texts become many narrow rows, not a large one.
+Spans of one template that touch are merged into one. Repeated rows are separate rows; an empty
 table gives an empty result; other columns of the input are not read.
 """
 
@@ -57,6 +58,7 @@ def patterns() -> list[tuple[int, bool, str, list[str]]]:
 
 
 def template_pairs(spark: SparkSession) -> DataFrame:
+    """Pairs of the templates, fewer than 64 each, so that a set of their places is one long."""
     rows = [(i, base, label, len(w) - 1, at, w[at], w[at + 1]) for i, base, label, w in patterns() for at in range(len(w) - 1)]
     d = spark.createDataFrame(rows, "template int, base boolean, label string, pairs int, at int, first string, second string")
     return d.select("template", "base", "label", "pairs", "at", F.xxhash64("first", "second").alias("pair"))
@@ -77,14 +79,14 @@ def license_scan(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
     hits = hits.withColumn("diagonal", F.col("place") - F.col("at"))
     # rows of a text without a match all fall on the one null diagonal, already before the shuffle
     votes = hits.groupBy("row", "k", "n_words", "template", "base", "label", "pairs", "diagonal").agg(
-        F.count("at").alias("votes"), F.min(F.when(F.col("at").isNotNull(), F.col("place"))).alias("first"),
+        F.expr("bit_or(shiftleft(1L, at))").alias("places"), F.min(F.when(F.col("at").isNotNull(), F.col("place"))).alias("first"),
         F.max(F.when(F.col("at").isNotNull(), F.col("place") + 1)).alias("last"))
     by_diagonal = Window.partitionBy("row", "template").orderBy("diagonal")
     far = F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > slack
     votes = votes.withColumn("apart", F.when(F.col("base") | far, 1).otherwise(0))
     votes = votes.withColumn("band", F.sum("apart").over(by_diagonal))
     spans = votes.groupBy("row", "k", "n_words", "template", "base", "label", "pairs", "band").agg(
-        F.least(F.sum("votes"), F.col("pairs")).alias("found"), F.min("first").alias("first"), F.max("last").alias("last"))
+        F.bit_count(F.bit_or("places")).alias("found"), F.min("first").alias("first"), F.max("last").alias("last"))
     spans = spans.withColumn("part", F.col("found") / F.col("pairs"))
     verified = (F.when(F.col("base"), F.col("found") == F.col("pairs"))
                 .otherwise((F.col("part") >= coverage) & (F.col("last") - F.col("first") <= F.col("pairs") + F.greatest(F.lit(slack), (F.col("pairs") / 4).cast("int")))))
@@ -108,11 +110,11 @@ def oracle_sql(slack: int = 2, coverage: float = 0.8) -> str:
     d as (select row_number() over () as r, doc_id,
           list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SEPARATE}'), lambda x: x <> '') as words from documents),
     g as (select r, i - 1 as place, words[i] as a, words[i + 1] as b from (select r, words, unnest(range(1, len(words))) as i from d)),
-    v as (select r, template, base, label, pairs, place - pos as diagonal, count(*) as votes, min(place) as first, max(place) + 1 as last
+    v as (select r, template, base, label, pairs, place - pos as diagonal, bit_or(1::bigint << pos) as places, min(place) as first, max(place) + 1 as last
           from g join tp using (a, b) group by all),
     m as (select *, case when base or diagonal - lag(diagonal) over (partition by r, template order by diagonal) > {slack} then 1 else 0 end as apart from v),
     n as (select *, sum(apart) over (partition by r, template order by diagonal) as band from m),
-    s as (select r, template, base, label, pairs, band, least(sum(votes), pairs) as found, min(first) as first, max(last) as last from n group by r, template, base, label, pairs, band),
+    s as (select r, template, base, label, pairs, band, bit_count(bit_or(places)) as found, min(first) as first, max(last) as last from n group by r, template, base, label, pairs, band),
     o as (select *, found::double / pairs as part, case when base then found = pairs
           else found::double / pairs >= {coverage} and last - first <= pairs + greatest({slack}, pairs // 4) end as ok from s),
     x as (select r, count(*) filter (where base) as n_base, min(first) filter (where base) as first_word, max(first) filter (where base) as last_word,

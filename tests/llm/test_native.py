@@ -1,6 +1,7 @@
 """Licence scan, sharding and quality rules: hand-made rows and brute force."""
 
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -29,6 +30,25 @@ def test_licenses(spark):
     assert licenses.license_scan(spark, docs.limit(0)).count() == 0
 
 
+def test_a_template_place_counts_once(spark):
+    texts = ["all rights, all rights", "rights reserved rights reserved", "all rights reserved", "All rights; reserved? ALL RIGHTS RESERVED"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {r.doc_id: r for r in licenses.license_scan(spark, docs).collect()}
+    assert [by[i].labels for i in range(4)] == ["", "", "all-rights-reserved", "all-rights-reserved"]
+    assert by[0].score == by[1].score == 0.0 and by[2].score == 1.0
+
+
+def test_very_long_lines(spark):
+    """Time in proportion to the length: a line of one word, of words, of symbols, of capitals."""
+    lines = ["x" * 1_000_000, "word " * 200_000, "AB" * 500_000, "| " * 300_000, "A1 " * 300_000]
+    docs = spark.createDataFrame([(i, line + "\nA short line, it ends here.", 1, 2) for i, line in enumerate(lines)], "doc_id long, text string, n long, lines long")
+    began = time.time()
+    by = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    assert time.time() - began < 60
+    assert [by[i].n_words for i in range(5)] == [7, 200_006, 7, 300_006, 300_006]
+    assert [by[i].n_removed_lines for i in range(5)] == [0, 1, 0, 1, 1]
+
+
 def test_sharding_equals_one_key_at_a_time(spark):
     rows = [(i, f"text {i}" * (i % 7)) for i in range(3000)] + [(7, "again")] * 900 + [(None, None)] * 40
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
