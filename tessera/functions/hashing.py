@@ -37,6 +37,51 @@ def randint(lo, hi, seed, *parts) -> Column:
     return (lo_c + F.floor(uniform(seed, *parts) * (hi_c - lo_c + 1))).cast("bigint")
 
 
+ROUNDS, WALK = 6, 64
+
+
+def permuted(x: str, n: str, *tag: str) -> Column:
+    """The place of ``x`` (a long in [0, n)) in a keyed permutation of [0, n), computed in the row.
+
+    ``x``, ``n`` and the parts of the key are SQL texts. [0, n) lies in a grid of ``a = ceil(sqrt(n))`` by
+    ``b = ceil(n / a)`` cells. Each of six rounds shifts one coordinate by an md5 of the other, which can be undone, so a
+    pass permutes the grid; a cell beyond ``n`` is passed again until it lies inside (cycle walking). Fewer
+    than ``a`` cells lie beyond, which bounds the walk for small ``n``; for n > 4,096 it would take more than 64 passes
+    with a probability below 64 ** -64, and the row then fails rather than being placed twice.
+    """
+    a = f"cast(ceil(sqrt({n})) as bigint)"
+    b = f"(({n} + {a} - 1) div {a})"
+
+    def shift(i: str, v: str) -> str:
+        key = ", ".join(f"cast({p} as string)" for p in (*tag, i, v))
+        return f"cast(conv(substr(md5(concat_ws(':', {key})), 1, 15), 16, 10) as bigint)"
+
+    one = f"""aggregate(sequence(0, {ROUNDS - 1}), named_struct('l', y div {b}, 'r', y % {b}),
+        (s, i) -> if(i % 2 = 0, named_struct('l', (s.l + {shift('i', 's.r')}) % {a}, 'r', s.r), named_struct('l', s.l, 'r', (s.r + {shift('i', 's.l')}) % {b})),
+        s -> s.l * {b} + s.r)"""
+    # the first pass is always made, so the walk starts beyond n
+    walked = f"aggregate(sequence(0, {WALK}), {n} + cast({x} as bigint), (w, k) -> if(w < {n}, w, element_at(transform(array(if(k = 0, w - {n}, w)), y -> {one}), 1)))"
+    return F.expr(f"element_at(transform(array({walked}), w -> if(w < {n}, w, cast(raise_error('a walk did not end') as bigint))), 1)")
+
+
+def sql_permuted(table: str, keys: list[str], x: str, n: str, *tag: str, out: str = "pos") -> str:
+    """DuckDB text of CTEs ``walk`` and ``permuted`` (keys, ``out``) over ``table``; ``n`` may be a column of it."""
+    names = ", ".join(keys)
+    step = "SELECT *, y // b AS l0, y % b AS r0 FROM walk WHERE k = 0 OR y >= n"
+    for i in range(ROUNDS):
+        key = " || ':' || ".join([f"CAST({p} AS VARCHAR)" for p in tag] + [f"'{i}'"])
+        old, other = (f"l{i}", f"r{i}") if i % 2 == 0 else (f"r{i}", f"l{i}")
+        new = f"({old} + ('0x' || substr(md5({key} || ':' || {other}), 1, 15))::BIGINT) % {'a' if i % 2 == 0 else 'b'}"
+        pair = (new, other) if i % 2 == 0 else (other, new)
+        step = f"SELECT *, {pair[0]} AS l{i + 1}, {pair[1]} AS r{i + 1} FROM ({step})"
+    return f"""
+walk AS (
+  SELECT {names}, n, a, (n + a - 1) // a AS b, y, CAST(0 AS BIGINT) AS k FROM (SELECT *, {n} AS n, CAST(ceil(sqrt({n})) AS BIGINT) AS a, CAST({x} AS BIGINT) AS y FROM {table})
+  UNION ALL
+  SELECT {names}, n, a, b, l{ROUNDS} * b + r{ROUNDS}, k + 1 FROM ({step})),
+permuted AS (SELECT {names}, y AS {out} FROM walk WHERE k > 0 AND y < n)"""
+
+
 def sql_hash32(seed, *parts_sql: str) -> str:
     """DuckDB text of :func:`hash32` for oracle queries."""
     key = " || ':' || ".join([f"'{seed}'"] + [f"CAST({p} AS VARCHAR)" for p in parts_sql])

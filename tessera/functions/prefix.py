@@ -4,7 +4,8 @@ A running total over a huge table is computed in two levels: the narrow rows (or
 value, nothing else) are range-partitioned by their order, which gives each range a number that grows
 with the order; per-range totals are summed (partial aggregation, one row a range), a running sum over the
 *ranges* gives each its base, and a window inside each range finishes the job. The ranged rows are written
-to the shared folder, so both readings see the same ranges whatever happens to an executor.
+to the shared folder, so both readings see the same ranges whatever happens to an executor; so are the rows
+before that, so their number, the sample for the ranges and the exchange take one evaluation of the input.
 """
 
 from __future__ import annotations
@@ -24,10 +25,13 @@ def ranged(df: DataFrame, order: list, rows_per_range: int = ROWS_PER_RANGE) ->
 
     The number of ranges follows the row count, so a range keeps its size at any scale."""
     spark = df.sparkSession
-    n = df.count()
+    narrow = scratch_path(spark, "narrow")
+    df.write.parquet(narrow)  # ``df`` is evaluated here and nowhere else: count, sample and exchange read these rows
+    rows = spark.read.schema(df.schema).parquet(narrow)
+    n = rows.count()
     parts = max(1, math.ceil(n / rows_per_range), min(n, spark.sparkContext.defaultParallelism))
     path = scratch_path(spark, "ranges")
-    df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
     return spark.read.parquet(path)
 
 

@@ -3,27 +3,36 @@ next-token pairs over a chunk table ``(chunk_id, input_ids)``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prefix
+from ..functions.hashing import permuted
 
 IGNORE_INDEX = -100
 
 
-def shuffle_key(seed: int, epoch: int, key: str = "chunk_id") -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col(key).cast("string")))
+def _dense(chunks: DataFrame, key: str) -> tuple[DataFrame, int, str]:
+    """The table, its row count and a column that numbers its rows 0 .. n - 1: the key itself where it does
+    (as chunk ids do; one count shows it), else a new ``_index`` in key order."""
+    n, lo, hi, types = chunks.agg(F.count(F.lit(1)), F.min(key), F.max(key), F.count_distinct(key)).first()
+    if n == 0 or (lo == 0 and hi == n - 1 and types == n):
+        return chunks, n, key
+    return chunks.join(prefix.dense_index(chunks.select(key), key, "_index"), key), n, "_index"
 
 
-def epoch_order(chunks: DataFrame, seed: int, epoch: int, key: str = "chunk_id") -> DataFrame:
+def epoch_order(chunks: DataFrame, seed: int, epoch: int, key: str = "chunk_id", n: int | None = None) -> DataFrame:
     """L1: a seeded permutation per epoch as a dense 0-based ``pos``.
 
-    Only (key, md5 of ``seed:epoch:key``) are indexed, by ranges of the md5; the chunk's
-    other columns are joined back on the key.
+    ``pos`` is a keyed bijection of the row's own number, so an epoch needs no sort, exchange or join: any
+    task can tell where a chunk stands. Chunk ids are dense; another unique key is numbered once first. ``n``: the number
+    of rows, where the caller knows that ``key`` is dense.
     """
-    narrow = chunks.select(key, shuffle_key(seed, epoch, key).alias("_k"))
-    order = prefix.dense_index(narrow, ["_k", key], "pos").select(key, "pos")
-    return chunks.join(order, key).withColumn("epoch", F.lit(epoch))
+    index, drop = key, []
+    if n is None:
+        chunks, n, index = _dense(chunks, key)
+        drop = ["_index"] if index != key else []
+    return chunks.withColumn("pos", permuted(f"`{index}`", f"{n}L", str(int(seed)), str(int(epoch)))).drop(*drop).withColumn("epoch", F.lit(epoch))
 
 
 def collate(ordered: DataFrame, batch_size: int, ids_col: str = "input_ids") -> DataFrame:
@@ -48,6 +57,8 @@ def budget_plan(params: DataFrame) -> DataFrame:
 def assign_steps(chunk_ids: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """L4: (run, epoch, chunk_id) -> step, accumulation slot, rank and lane, for every step of every run.
 
+    Chunk ids of a length are dense (0 .. n - 1), as packing makes them; places come from L1's bijection in the row.
+
     ``chunk_ids``: (chunk_id, chunk_len); ``plan``: L3's rows with ``run, seq_len, micro_batch_size,
     world_size, accum_steps, effective_batch, total_steps`` (one row per run).  A run reads chunks of its
     own length, epoch after epoch in L1's order, until its steps are filled: the number of epochs
@@ -60,10 +71,8 @@ def assign_steps(chunk_ids: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     # one narrow row for each epoch and chunk that some run reads; positions count on across epochs
     narrow = (chunk_ids.join(F.broadcast(epochs), "chunk_len")  # one row per chunk length
               .select("chunk_len", "chunk_id", F.explode(F.sequence(F.lit(0), F.col("_epochs").cast("int") - 1)).alias("epoch")))
-    narrow = narrow.withColumn("_k", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("chunk_id").cast("string"))))
-    order = prefix.dense_index(narrow, ["chunk_len", "epoch", "_k", "chunk_id"], "_g")
-    first = order.groupBy("chunk_len").agg(F.min("_g").alias("_first"))
-    placed = order.join(F.broadcast(first), "chunk_len").withColumn("_g", F.col("_g") - F.col("_first"))
+    placed = narrow.join(F.broadcast(have), "chunk_len")  # one row per chunk length
+    placed = placed.withColumn("_g", F.col("epoch") * F.col("n_chunks") + permuted("chunk_id", "n_chunks", str(int(seed)), "epoch")).drop("n_chunks")
     runs = plan.drop("n_chunks")
     return (placed.join(F.broadcast(runs), "chunk_len").filter("_g < _rows")  # one row per run
             .select("run", "epoch", "chunk_id", F.expr("_g div effective_batch").alias("step"),

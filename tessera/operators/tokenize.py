@@ -2,28 +2,37 @@
 
 The tokenizer slot has two implementations:
   * the built-in word tokenizer (``WORD_TOKEN_PATTERN``) whose vocabulary is
-    counted by a Spark job (T1) and joined to the tokens (T2);
+    counted by a Spark job (T1); T2 looks each block's distinct tokens up in it;
   * any Python object with ``encode_batch`` (for instance a ``tokenizers``
     tokenizer loaded from a file shipped to executors), also via ``mapInArrow``.
 """
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import prefix
 from ..functions.text import WORD_TOKEN_PATTERN, py_strip
+from ..session import scratch_path
 
 # Reserved ids of the built-in vocabulary.
 UNK_ID = 0
 EOS_ID = 1
 RESERVED = 2
 
+BROADCAST_TOKENS, BROADCAST_BYTES = 500_000, 16 << 20
+BLOCK_TOKENS = 4_000_000
+
 DTYPE_MAX = {"uint16": 65535, "uint32": 4294967295, "int32": 2147483647}
 
 
@@ -39,6 +48,7 @@ def build_vocab(df: DataFrame, text_col: str = "text", max_size: int | None = No
     ``explode`` + ``groupBy.count`` aggregates partially on the map side (a hot
     token costs one row per partition).  Ids are dense after the reserved ones
     in the order (count desc, token), by a two-level index; no task sorts them all.
+    The corpus is read once and the table written to the shared folder, so later steps read it from there.
     Output: ``token STRING, token_id INT, cnt LONG``.
     """
     counts = (df.select(F.explode(word_tokens(text_col)).alias("token"))
@@ -47,7 +57,9 @@ def build_vocab(df: DataFrame, text_col: str = "text", max_size: int | None = No
     ids = prefix.dense_index(counts, [F.col("cnt").desc(), F.col("token")], "_pos")
     if max_size is not None:
         ids = ids.filter(F.col("_pos") < max_size)
-    return ids.select("token", (F.col("_pos") + RESERVED).cast("int").alias("token_id"), "cnt")
+    path = scratch_path(df.sparkSession, "vocab")
+    ids.select("token", (F.col("_pos") + RESERVED).cast("int").alias("token_id"), "cnt").write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _word_encoder(vocab: dict, unk: int):
@@ -70,12 +82,16 @@ def encode(df: DataFrame, vocab: dict | DataFrame, text_col: str = "text",
            max_length: int | None = None, append_eos: bool = False) -> DataFrame:
     """T2 (+T3, T4): text -> ``ARRAY<INT>`` with the built-in word tokenizer.
 
-    A vocabulary table of any size is joined (:func:`encode_by_join`); a ``dict``
-    that the caller holds anyway goes to the executors as a broadcast variable,
-    row-local over Arrow batches.
+    Rows stay rows, whatever their ids; a null or empty text gives an empty array. Texts are split by
+    the same JVM pattern that counted the vocabulary. A vocabulary table of at most ``BROADCAST_TOKENS`` tokens and
+    ``BROADCAST_BYTES`` goes to the tasks (:func:`encode_by_table`: no exchange at all); a larger one is joined to
+    the distinct tokens of blocks of rows (:func:`encode_by_join`). A ``dict`` that the caller
+    holds anyway goes to the executors as a broadcast variable, row-local over Arrow batches.
     """
     if isinstance(vocab, DataFrame):
-        out = encode_by_join(df, vocab, text_col, out_col, keep_columns)
+        n, size = vocab.agg(F.count("token"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
+        by = encode_by_table if n <= BROADCAST_TOKENS and size <= BROADCAST_BYTES else encode_by_join
+        out = by(df, vocab, text_col, out_col, keep_columns)
     else:
         bvocab = df.sparkSession.sparkContext.broadcast(vocab)
         factory = lambda: _word_encoder(bvocab.value, UNK_ID)
@@ -110,21 +126,103 @@ def encode_with(df: DataFrame, encoder_factory: Callable[[], Callable[[list], li
     return src.mapInArrow(run, schema)
 
 
-def encode_by_join(df: DataFrame, vocab: DataFrame, text_col: str = "text",
-                   out_col: str = "input_ids", keep_columns: bool = False) -> DataFrame:
-    """T2 for a vocabulary of any size: the tokens (JVM regex) are joined to it
-    and regrouped per document in position order.
+def _tokenised(df: DataFrame, text_col: str, keep_columns: bool) -> tuple[DataFrame, list]:
+    """The kept columns and, last, the tokens of each text; and the kept fields."""
+    keep = [f for f in df.schema.fields if f.name != text_col and (keep_columns or f.name in KEYS)]
+    tokens = F.coalesce(word_tokens(text_col), F.array().cast("array<string>"))
+    return df.select(*[F.col(f.name) for f in keep], tokens.alias("_tokens")), keep
+
+
+def _distinct(tokens: pa.ListArray) -> tuple[list, np.ndarray, np.ndarray]:
+    """Distinct tokens of a column, the place of each token among them, and where each row begins."""
+    flat = tokens.flatten().dictionary_encode()
+    sizes = pc.list_value_length(tokens).to_numpy()
+    return flat.dictionary.to_pylist(), flat.indices.to_numpy(), np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+
+
+_maps: dict = {}  # of the worker process: vocabularies by broadcast
 
-    A frequent token makes a skewed join key, which AQE splits; a group holds the
-    tokens of one document.  The kept columns must tell the documents apart; an
-    empty or null text gives an empty array.
+
+def encode_by_table(df: DataFrame, vocab: DataFrame, text_col: str = "text", out_col: str = "input_ids",
+                    keep_columns: bool = False) -> DataFrame:
+    """T2 with a vocabulary of proven size, row-local: a batch's distinct tokens are looked up once each."""
+    src, keep = _tokenised(df, text_col, keep_columns)
+    table = vocab.select("token", "token_id").toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    shared = df.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())  # checked by the caller
+    name = uuid.uuid4().hex
+    names = [f.name for f in keep] + [out_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _maps:
+            _maps.clear()
+            rows = pa.ipc.open_stream(shared.value).read_all()
+            _maps[name] = dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
+        get = _maps[name].get
+        for b in batches:
+            tokens, place, at = _distinct(b.column(len(keep)))
+            ids = np.array([get(t, UNK_ID) for t in tokens], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(ids[place] if len(place) else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], lists], names=names)
+
+    return src.mapInArrow(run, T.StructType(keep + [T.StructField(out_col, T.ArrayType(T.IntegerType()), True)]))
+
+
+def encode_by_join(df: DataFrame, vocab: DataFrame, text_col: str = "text", out_col: str = "input_ids",
+                   keep_columns: bool = False, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """T2 for a vocabulary of any size: only the distinct tokens of a block of rows meet it.
+
+    A block (rows of one Arrow batch with at most ``block_tokens`` tokens, or one longer row) is written to the
+    shared folder once, with its tokens as places in its own list of distinct ones. Those lists are joined to the
+    vocabulary, so a token crosses the network once a block, and their ids return to their block. A frequent token
+    is a skewed join key, with a row for each block, which AQE splits.
     """
-    keep = [c for c in df.columns if c != text_col and (keep_columns or c in KEYS)]
-    toks = df.select(*keep, F.posexplode_outer(word_tokens(text_col)).alias("pos", "token"))
-    joined = toks.join(vocab.select("token", "token_id"), "token", "left")
-    part = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))
-    return (joined.groupBy(*keep).agg(F.array_sort(F.collect_list(part)).alias("_p"))
-            .select(*keep, F.col("_p.id").alias(out_col)))
+    spark = df.sparkSession
+    src, keep = _tokenised(df, text_col, keep_columns)
+    kept = [f.name for f in keep]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for b in batches:
+            ends = np.cumsum(pc.list_value_length(b.column(len(keep))).to_numpy())
+            i = 0
+            while i < len(b):
+                first = ends[i - 1] if i else 0
+                j = max(i + 1, int(np.searchsorted(ends, first + block_tokens, side="right")))
+                part = b.slice(i, j - i)
+                tokens, place, at = _distinct(part.column(len(keep)))
+                sink = pa.BufferOutputStream()
+                rows = pa.RecordBatch.from_arrays(part.columns[: len(keep)] + [pa.array(np.diff(at))], names=[*kept, "_size"])
+                with pa.ipc.new_stream(sink, rows.schema) as w:
+                    w.write_batch(rows)
+                block = TaskContext.get().partitionId() << 32 | n
+                n, i = n + 1, j
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([place.astype("<i4").tobytes()], pa.binary()),
+                     pa.array([tokens], pa.list_(pa.string()))], names=["block", "rows", "places", "tokens"])
+
+    path = scratch_path(spark, "blocks")
+    src.mapInArrow(pack, "block long, rows binary, places binary, tokens array<string>").write.parquet(path)
+    blocks = spark.read.parquet(path)
+    words = blocks.select(F.col("block").alias("of"), F.posexplode("tokens").alias("i", "token"))
+    ids = words.join(vocab.select("token", "token_id"), "token").select("of", "i", "token_id")
+    schema = T.StructType(keep + [T.StructField(out_col, T.ArrayType(T.IntegerType()), True)])
+
+    def unpack(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for r in left.to_pylist():
+            rows = pa.ipc.open_stream(r["rows"]).read_all()
+            place = np.frombuffer(r["places"], "<i4")
+            known = np.full(int(place.max(initial=-1)) + 1, UNK_ID, dtype=np.int32)
+            known[right.column("i").to_numpy()] = right.column("token_id").to_numpy()
+            at = np.concatenate(([0], np.cumsum(rows.column("_size").to_numpy()))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(known[place]))
+            out.append(pa.table([*rows.columns[: len(keep)], lists], names=[*kept, out_col]))
+        return pa.concat_tables(out) if out else to_arrow_schema(schema).empty_table()
+
+    return blocks.select("block", "rows", "places").groupBy("block").cogroup(ids.groupBy("of")).applyInArrow(unpack, schema)
 
 
 def truncate(df: DataFrame, max_length: int, col: str = "input_ids") -> DataFrame:

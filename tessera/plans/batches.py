@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.hashing import sql_permuted
 from ..operators import batching as L
 from ..operators import pack
 from ..session import scratch_path
@@ -19,10 +20,9 @@ def chunks(spark, sf):
     return pack.pack_chunks(off, C.CHUNK_LEN)
 
 
-SQL_CH = "WITH " + C.sql_stream() + f""",
-chunks AS ({C.sql_chunks(C.CHUNK_LEN)}),
-ord AS (SELECT chunk_id, ids_md5, CAST(row_number() OVER (ORDER BY md5('{SEED}:{EPOCH}:' || chunk_id), chunk_id) - 1 AS BIGINT) AS pos
-        FROM chunks)"""
+SQL_CH = "WITH RECURSIVE " + C.sql_stream() + f""",
+chunks AS ({C.sql_chunks(C.CHUNK_LEN)}),""" + sql_permuted("chunks", ["chunk_id", "ids_md5"], "chunk_id", "(SELECT count(*) FROM chunks)", str(SEED), str(EPOCH)) + """,
+ord AS (SELECT * FROM permuted)"""
 
 
 @register("l1_epoch_shuffle", sql=SQL_CH + " SELECT chunk_id, pos FROM ord")
@@ -79,7 +79,8 @@ def l3_budget_plan(spark, sf):
                     .alias("epochs_needed"))
 
 
-@register("l4_assign_steps", sql=SQL_CH + f""",
+SQL_L4 = "WITH RECURSIVE " + C.sql_stream() + f""",
+chunks AS ({C.sql_chunks(C.CHUNK_LEN)}),
 n AS (SELECT count(*) AS n FROM chunks),
 g0 AS (SELECT o_orderpriority AS run, count(*) AS c FROM orders GROUP BY 1),
 p AS (SELECT run, n, n * {C.CHUNK_LEN} * (1 + c % 5) // 2 AS target_tokens, 8 * (1 + c % 12) AS batch, 1 + c % 4 AS micro, 1 + c % 2 AS world FROM g0, n),
@@ -87,11 +88,14 @@ a AS (SELECT *, greatest(1, CAST(ceil(batch / (micro * world)) AS BIGINT)) AS ac
 e AS (SELECT *, micro * world * accum AS eff FROM a),
 s AS (SELECT *, greatest(1, target_tokens // (eff * {C.CHUNK_LEN})) * eff AS rows_ FROM e WHERE n > 0),
 ep AS (SELECT unnest(range((SELECT max((rows_ + n - 1) // n) FROM s))) AS epoch),
-o AS (SELECT epoch, chunk_id, epoch * (SELECT n FROM n) + row_number() OVER (PARTITION BY epoch ORDER BY md5('{SEED}:' || epoch || ':' || chunk_id), chunk_id) - 1 AS g
-      FROM chunks, ep)
+each AS (SELECT epoch, chunk_id FROM chunks, ep),""" + sql_permuted("each", ["epoch", "chunk_id"], "chunk_id", "(SELECT n FROM n)", str(SEED), "epoch") + f""",
+o AS (SELECT epoch, chunk_id, epoch * (SELECT n FROM n) + pos AS g FROM permuted)
 SELECT run, CAST(epoch AS INTEGER) AS epoch, chunk_id, CAST(g // eff AS BIGINT) AS step, CAST((g % eff) // (micro * world) AS BIGINT) AS accum_slot,
        CAST(((g % eff) % (micro * world)) // micro AS BIGINT) AS rank, CAST(((g % eff) % (micro * world)) % micro AS BIGINT) AS lane
-FROM o, s WHERE g < rows_""")
+FROM o, s WHERE g < rows_"""
+
+
+@register("l4_assign_steps", sql=SQL_L4)
 def l4_assign_steps(spark, sf):
     """One run per order priority, each with a token budget of half an epoch to two and a half."""
     ch = chunks(spark, sf).select("chunk_id", F.lit(C.CHUNK_LEN).alias("chunk_len"))

@@ -17,7 +17,6 @@ TRUNCATE_AT = 64
 HEAD_ROWS = 50
 
 PAT = WORD_TOKEN_PATTERN
-WORD_LIST_SIZE = 32_000  # of the task generators: their word list has a stated size, like a vocabulary's
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,13 +38,13 @@ def ids_md5(col: str = "input_ids"):
 
 # ---- DuckDB building blocks ------------------------------------------------
 
-def sql_vocab(table: str = "documents", size: int | None = None) -> str:
+def sql_vocab(table: str = "documents") -> str:
     return f"""
 tok AS (SELECT unnest(regexp_extract_all(text, '{PAT}')) AS token FROM {table}),
 cnt AS (SELECT token, count(*) AS cnt FROM tok GROUP BY token),
 vocab AS (
   SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, token) + 1 AS INTEGER) AS token_id, cnt
-  FROM cnt {f"QUALIFY row_number() OVER (ORDER BY cnt DESC, token) <= {size}" if size else ""})"""
+  FROM cnt)"""
 
 
 def sql_token_rows(table="documents", key="doc_id") -> str:

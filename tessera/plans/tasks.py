@@ -46,11 +46,11 @@ def samples(spark, sf):
 
 
 def words(spark, sf):
-    vocab = tokenize.build_vocab(C.docs(spark, sf), "text", max_size=C.WORD_LIST_SIZE)
-    return tokenize.eligible_words(vocab)
+    """All eligible words of the corpus."""
+    return tokenize.eligible_words(tokenize.build_vocab(C.docs(spark, sf), "text"))
 
 
-SQL_BASE = "WITH RECURSIVE " + C.sql_vocab(size=C.WORD_LIST_SIZE) + """,
+SQL_BASE = "WITH RECURSIVE " + C.sql_vocab() + """,
 samples AS (SELECT doc_id AS sample_id FROM documents),
 words AS (SELECT DISTINCT token AS word FROM vocab WHERE regexp_full_match(token, '[a-zA-Z]{3,}')),
 widx AS (SELECT CAST(row_number() OVER (ORDER BY word) - 1 AS BIGINT) AS w_idx, word FROM words),

@@ -45,3 +45,38 @@ def test_no_token_is_lost_without_a_stated_size(spark):
     in_memory = {t: i for i, t in back.items()}
     same = {r.doc_id: r.input_ids for r in tokenize.encode(df.filter("text is not null"), in_memory).collect()}
     assert same == {k: v for k, v in enc.items() if k != 2}
+
+
+def _both_ways(spark, rows, schema, **kw):
+    df = spark.createDataFrame(rows, schema)
+    vocab = tokenize.build_vocab(df.select("text"))
+    out = [sorted((tuple(r) for r in way(df, vocab, **kw).collect()), key=repr) for way in (tokenize.encode_by_table, tokenize.encode_by_join)]
+    assert out[0] == out[1]
+    return out[0], {r.token: r.token_id for r in vocab.collect()}
+
+
+def test_rows_that_share_an_id_or_have_none_stay_apart(spark):
+    rows = [(1, "a b c"), (1, "d e"), (None, "a"), (None, "b c"), (2, ""), (3, None), (1, "d e")]
+    out, ids = _both_ways(spark, rows, "doc_id long, text string")
+    assert out == sorted(((i, [ids[t] for t in (x or "").split()]) for i, x in rows), key=repr)
+
+
+def test_the_long_way_in_many_blocks(spark):
+    rows = [(i, " ".join(f"w{(i * j) % 37}" for j in range(i % 23)), i % 3, "kept") for i in range(300)] + [(999, "long " * 5000, 1, None)]
+    out, _ = _both_ways(spark, rows, "doc_id long, text string, block long, tokens string", keep_columns=True)
+    df = spark.createDataFrame(rows, "doc_id long, text string, block long, tokens string")
+    vocab = tokenize.build_vocab(df)
+    small = sorted((tuple(r) for r in tokenize.encode_by_join(df, vocab, keep_columns=True, block_tokens=50).collect()), key=repr)
+    assert small == out and all(tokenize.UNK_ID not in r[-1] for r in out)
+    assert tokenize.encode_by_join(df.limit(0), vocab).count() == 0
+
+
+def test_a_vocabulary_over_the_bound_is_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id long, text string")
+    vocab = tokenize.build_vocab(df)
+    here = lambda: tokenize.encode(df, vocab)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in here()
+    want = sorted(tuple(r) for r in tokenize.encode(df, vocab).collect())
+    monkeypatch.setattr(tokenize, "BROADCAST_TOKENS", 2)
+    assert "Exchange" in here()
+    assert sorted(tuple(r) for r in tokenize.encode(df, vocab).collect()) == want
