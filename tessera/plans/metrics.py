@@ -11,6 +11,7 @@ from .registry import register
 
 W_LABEL = 0          # D7: rows with this label form the projection matrix
 BLOCK_ROWS = 16      # D7: W rows per block
+WIDTH, TILE, GROUPS = 24, 256, 2  # D7: columns of a slice, positions of a tile, tasks a tile
 
 
 def pairs(spark, sf):
@@ -46,6 +47,26 @@ def d1_log_softmax(spark, sf):
     return p.select("pos", "lse", F.round(D._sum(F.col("lp")), 6).alias("logp_sum"), F.round(weighted, 4).alias("logp_weighted"))
 
 
+def long_pairs(spark, sf):
+    """(pos, vocab_id, teacher, student), dealt by position and entry, so no task has a whole position."""
+    p = pairs(spark, sf).select("pos", F.posexplode(F.arrays_zip("teacher", "student")).alias("vocab_id", "x"))
+    return p.select("pos", "vocab_id", F.col("x.teacher").alias("teacher"), F.col("x.student").alias("student")).repartition("pos", "vocab_id")
+
+
+@register("d1_long_log_softmax", sql=SQL_PAIRS + """
+SELECT pos, round(lse_t, 6) AS lse, round(list_sum(lp_t), 6) AS logp_sum,
+       round(list_sum(list_transform(list_zip(lp_t, range(len(lp_t))), lambda z: z[1] * (z[2] + 1))), 4) AS logp_weighted FROM lp""")
+def d1_long_log_softmax(spark, sf):
+    lp = D.log_softmax_long(long_pairs(spark, sf), logit="teacher")
+    g = lp.groupBy("pos").agg(F.max(F.col("teacher") - F.col("logp")).alias("lse"), F.sum("logp").alias("s"), F.sum(F.col("logp") * (F.col("vocab_id") + 1)).alias("w"))
+    return g.select("pos", F.round("lse", 6).alias("lse"), F.round("s", 6).alias("logp_sum"), F.round("w", 4).alias("logp_weighted"))
+
+
+@register("d2_long_kl", sql=SQL_PAIRS + " SELECT pos, round(kl, 6) AS kl FROM kl")
+def d2_long_kl(spark, sf):
+    return D.kl_long(long_pairs(spark, sf)).select("pos", F.round("kl", 6).alias("kl"))
+
+
 @register("d2_kl_divergence", sql=SQL_PAIRS + " SELECT pos, round(kl, 6) AS kl FROM kl")
 def d2_kl_divergence(spark, sf):
     return pairs(spark, sf).select("pos", F.round(D.kl_row(F.col("teacher"), F.col("student")), 6).alias("kl"))
@@ -115,5 +136,5 @@ def d7_projected_kl(spark, sf):
     order = prefix.dense_index(e.select("vec_id"), "vec_id", "v")
     w = e.join(order, "vec_id").select("v", F.transform("embedding", lambda x: x.cast("double")).alias("teacher"))
     w = w.withColumn("student", F.zip_with("teacher", F.reverse("teacher"), lambda a, b: F.lit(0.5) * (a + b)))
-    kl = D.projected_kl(pairs(spark, sf), w, BLOCK_ROWS)
+    kl = D.projected_kl(pairs(spark, sf), w, BLOCK_ROWS, TILE, WIDTH, GROUPS)
     return kl.select("pos", F.round("kl", 6).alias("kl"))
