@@ -3,12 +3,14 @@
 The tokenizer slot has two implementations:
   * the built-in word tokenizer (``WORD_TOKEN_PATTERN``) whose vocabulary is
     counted by a Spark job (T1); T2 looks each block's distinct tokens up in it;
-  * any Python object with ``encode_batch`` (for instance a ``tokenizers``
-    tokenizer loaded from a file shipped to executors), also via ``mapInArrow``.
+  * a subword vocabulary file of the ``tokenizers`` library (``encode_subwords``), or any Python
+    encoder (``encode_with``), row-local via ``mapInArrow``.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 import uuid
 from typing import Callable, Iterator
 
@@ -126,6 +128,89 @@ def encode_with(df: DataFrame, encoder_factory: Callable[[], Callable[[list], li
     return src.mapInArrow(run, schema)
 
 
+# ---- subwords: a vocabulary file of the ``tokenizers`` library in the slot -------------
+
+ENCODE_ROWS, ENCODE_BYTES = 1024, 4 << 20  # of one call of the library
+
+
+def read_vocabulary(path: str) -> bytes:
+    """A tokenizer file; its size doesn't depend on the corpus."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+_tokenizers: dict = {}  # of the process: tokenizers by the digest of their file
+
+
+def _subwords(model: bytes):
+    name = hashlib.sha256(model).hexdigest()
+    if name not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_str(model.decode())
+        tok.no_truncation()
+        tok.no_padding()
+        tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        _tokenizers[name] = tok
+    return _tokenizers[name]
+
+
+def _calls(texts: list) -> Iterator[list]:
+    """Runs of texts for one call each, by rows and bytes."""
+    part, size = [], 0
+    for t in texts:
+        if part and (len(part) >= ENCODE_ROWS or size + len(t) > ENCODE_BYTES):
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
+def encode_subwords(df: DataFrame, model: bytes, text_col: str = "text", out_col: str = "input_ids", keep_columns: bool = False,
+                    keep_text: bool = False, max_length: int | None = None, eos_id: int | None = None) -> DataFrame:
+    """T2 (+T3, T4) with a subword vocabulary file, row-local: no special tokens are added but ``eos_id`` where one
+    is given. A null or empty text gives an empty array (and the end, if asked for)."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # one vocabulary file
+
+    def factory():
+        tok = _subwords(shared.value)
+        return lambda texts: [e.ids for part in _calls([t or "" for t in texts]) for e in tok.encode_batch_fast(part, add_special_tokens=False)]
+
+    src = df.withColumn("_source", F.col(text_col)) if keep_text else df
+    keep = keep_columns or keep_text
+    out = encode_with(src.select(*[c for c in src.columns if keep_columns or c in (*KEYS, text_col, "_source")]), factory, text_col, out_col, keep)
+    if keep_text:
+        out = out.withColumnRenamed("_source", text_col)
+    if max_length:
+        out = truncate(out, max_length, out_col)
+    return out if eos_id is None else add_eos(out, eos_id, out_col)
+
+
+def decode_subwords(df: DataFrame, model: bytes, ids_col: str = "input_ids", out_col: str = "decoded") -> DataFrame:
+    """The text of each row's ids, special tokens left out."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # one vocabulary file
+    names = [*df.columns, out_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = _subwords(shared.value)
+        for b in batches:
+            lists = [x or [] for x in b.column(ids_col).to_pylist()]
+            texts = [t for i in range(0, len(lists), ENCODE_ROWS) for t in tok.decode_batch(lists[i : i + ENCODE_ROWS], skip_special_tokens=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=names)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))
+
+
+def subword_vocabulary(spark, model: bytes) -> DataFrame:
+    """T1 for a vocabulary file: (token, token_id), each entry decoded to the text it stands for (T6 reads it)."""
+    tok = _subwords(model)
+    ids = sorted(tok.get_vocab().values())
+    return spark.createDataFrame(list(zip(tok.decode_batch([[i] for i in ids], skip_special_tokens=False), ids)), "token string, token_id int")
+
+
 def _tokenised(df: DataFrame, text_col: str, keep_columns: bool) -> tuple[DataFrame, list]:
     """The kept columns and, last, the tokens of each text; and the kept fields."""
     keep = [f for f in df.schema.fields if f.name != text_col and (keep_columns or f.name in KEYS)]

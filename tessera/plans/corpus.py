@@ -9,6 +9,7 @@ from ..functions.text import WORD_TOKEN_PATTERN
 from ..operators import pack, tokenize
 from ..session import scratch_path
 from ..sources import corpus, sinks
+from ..sources.token_store import TokenStore
 from .registry import register
 
 CHUNK_LEN = 512
@@ -200,3 +201,57 @@ def c5_cached_offsets(spark, sf):
     for _ in range(2):
         cached, hit = pack.cached_offsets(spark, root, tuple(pack.corpus_fingerprint(b, "item_id").first()), make)
     return cached.select("item_id", "n_tokens", "start", ids_md5().alias("ids_md5"), F.lit(hit).alias("reused"))
+
+
+def _grown(spark, sf):
+    """A store that first saw the documents up to the middle id, and then all of them; and its version before."""
+    d = docs(spark, sf)
+    vocab = tokenize.build_vocab(d, "text")
+    store = TokenStore(spark, scratch_path(spark, "store"), lambda part: tokenize.encode(part, vocab))
+    cut = d.agg(F.max("doc_id")).first()[0] // 2
+    first = store.sync(d.filter(F.col("doc_id") <= cut))
+    store.sync(d)
+    return store, first["version"], cut
+
+
+@register("c5_growing_corpus", sql="WITH " + sql_stream() + """,
+cat AS (SELECT k, md5(coalesce(string_agg(CAST(token_id AS VARCHAR), ',' ORDER BY gpos), '')) AS ids_md5 FROM stream GROUP BY k)
+SELECT starts.k AS doc_id, n AS n_tokens, st AS start, coalesce(cat.ids_md5, md5('')) AS ids_md5, starts.k > (SELECT max(doc_id) // 2 FROM documents) AS appended
+FROM starts LEFT JOIN cat USING (k)""")
+def c5_growing_corpus(spark, sf):
+    """The second half of the corpus is appended: it alone is tokenised, and its offsets go on from the stored ones."""
+    store, _, cut = _grown(spark, sf)
+    return store.read().select("doc_id", "n_tokens", "start", ids_md5().alias("ids_md5"), (F.col("doc_id") > cut).alias("appended"))
+
+
+@register("c5_new_chunks", sql="WITH " + sql_stream() + f""",
+c AS ({sql_chunks(CHUNK_LEN)})
+SELECT * FROM c WHERE chunk_id >= (SELECT sum(n) FROM starts WHERE k <= (SELECT max(doc_id) // 2 FROM documents)) // {CHUNK_LEN}""")
+def c5_new_chunks(spark, sf):
+    """The chunks that the appended half completes or adds."""
+    store, before, _ = _grown(spark, sf)
+    return store.new_chunks(CHUNK_LEN, before).select("chunk_id", F.size("input_ids").alias("n_tokens"), ids_md5().alias("ids_md5"))
+
+
+# ---- subwords: the tokenizer slot with a public vocabulary file ----------------------
+
+def subword_file(name: str = "byte_bpe_50k.json") -> bytes:
+    """A public vocabulary file of the installed package; any other file of the kind can be passed in its place."""
+    import public_tokenizers
+
+    return tokenize.read_vocabulary(public_tokenizers.path(name))
+
+
+@register("t2_subword_encode")
+def t2_subword_encode(spark, sf):
+    """Subword ids of every document, and whether they decode to its text."""
+    model = subword_file()
+    enc = tokenize.encode_subwords(docs(spark, sf), model, keep_text=True)
+    back = tokenize.decode_subwords(enc, model)
+    return back.select("doc_id", F.size("input_ids").alias("n_tokens"), ids_md5().alias("ids_md5"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
+@register("c2_subword_chunks")
+def c2_subword_chunks(spark, sf):
+    off = pack.token_offsets(tokenize.encode_subwords(docs(spark, sf), subword_file()))
+    return pack.pack_chunks(off, CHUNK_LEN).select("chunk_id", F.size("input_ids").alias("n_tokens"), ids_md5().alias("ids_md5"))
