@@ -9,8 +9,11 @@ too much of its text is rejected. A line fails if
   four words in capitals on end;
 * boilerplate: one of the phrases below, in a line of at most ``boilerplate_words`` words.
 
+A line's words are counted by splitting it once, so a line or text of any length (one word of megabytes
+included) takes time in proportion to its length.
+
 Base figures of the whole text: words, their characters, symbols, repeated lines, and words in
-3-word windows that the text has twice or more. Windows are compared by a 64-bit hash.
+3-word windows that the text has twice or more. Words are hashed once (64 bits); windows are compared by a hash of three hashes.
 
 Null text: as the empty text, with zero counts, ``base_failed`` and not kept. Repeated rows give
 repeated results, an empty table an empty result; other columns of the input are not read. All work
@@ -38,18 +41,17 @@ MENU = r"([\x20\x09-\x0D][|»›·•][\x20\x09-\x0D][^\n]*){3}"
 CAPITALS = r"(^|[^\p{L}])(\p{Lu}{2,}[^\p{L}]+){3}\p{Lu}{2,}"
 
 
-def removed_line(matches: str, raw: str, symbol_share: float, long_line: int, boilerplate_words: int) -> str:
-    """SQL condition that line ``l`` goes. All patterns mean the same in Java and RE2; ``raw``: the
-    prefix of a string literal without escapes."""
+def removed_line(matches: str, raw: str, line: str, words: str, symbol_share: float, long_line: int, boilerplate_words: int) -> str:
+    """SQL condition that a line of so many words goes. All patterns mean the same in Java and RE2; ``raw``: the
+    prefix of a string literal without escapes. The cheap tests stand first; no pattern counts words."""
     def like(pattern: str) -> str:
-        return f"{matches}(l, {raw}'{pattern}')"
+        return f"{matches}({line}, {raw}'{pattern}')"
 
-    word, gap = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
-    symbols = f"length(l) - length(translate(l, '{SYMBOLS}', ''))"
-    return f"""({symbols} > {symbol_share} * length(l)
-        or ({like(f"({word}{gap}){{{long_line - 1}}}{word}")} and not {like(DIVIDES)})
-        or {like(MENU)} or {like(CAPITALS)}
-        or ({like(f"(?i)({'|'.join(BOILERPLATE)})")} and not {like(f"({word}{gap}){{{boilerplate_words}}}{word}")}))"""
+    symbols = f"length({line}) - length(translate({line}, '{SYMBOLS}', ''))"
+    return f"""({symbols} > {symbol_share} * length({line})
+        or ({words} >= {long_line} and not {like(DIVIDES)})
+        or ({words} <= {boilerplate_words} and {like(f"(?i)({'|'.join(BOILERPLATE)})")})
+        or {like(MENU)} or {like(CAPITALS)})"""
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", symbol_share: float = 0.1, long_line: int = 12,
@@ -57,7 +59,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", symb
                   with_text: bool = False) -> DataFrame:
     """Of each row: key, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``,
     ``base_failed``, ``kept``, ``n_lines``, ``n_removed_lines``, ``lost_share``; on demand the cleaned text."""
-    bad = removed_line("rlike", "r", symbol_share, long_line, boilerplate_words)
+    bad = removed_line("rlike", "r", "x.l", "x.n", symbol_share, long_line, boilerplate_words)
     d = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     d = d.select(
         "k", F.expr(f"filter(split(t, r'{SPLIT}'), w -> w <> '')").alias("words"),
@@ -67,9 +69,13 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", symb
     )
     d = d.selectExpr(
         "k", "size(words) as n_words", "word_chars", "n_symbols", "lines", "size(lines) - size(array_distinct(lines)) as n_dup_lines",
-        f"filter(lines, l -> not {bad}) as good",
-        # words[i] is read three times, so the optimiser doesn't put the split into the lambda
-        "case when size(words) < 4 then array() else transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])) end as windows",
+        f"transform(filter(transform(lines, l -> struct(l as l, size(split(btrim(l, '{SEPARATORS}'), r'{SPLIT}')) as n)), x -> not {bad}), x -> x.l) as good",
+        "transform(words, w -> xxhash64(w)) as hashes",
+    )
+    d = d.selectExpr(
+        "*",
+        # hashes is read three times, so the optimiser doesn't put the words into the lambda
+        "case when size(hashes) < 4 then array() else transform(sequence(0, size(hashes) - 3), i -> xxhash64(hashes[i], hashes[i + 1], hashes[i + 2])) end as windows",
     )
     d = d.selectExpr(
         "*", "case when size(array_distinct(windows)) = size(windows) then array() else array_sort(transform(windows, (h, i) -> struct(h as h, i as i))) end as ordered",
@@ -94,7 +100,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", symb
 
 def oracle_sql(symbol_share: float = 0.1, long_line: int = 12, boilerplate_words: int = 15, most_lost: float = 0.5) -> str:
     """The same in DuckDB's SQL, with windows compared as texts."""
-    bad = removed_line("regexp_matches", "", symbol_share, long_line, boilerplate_words)
+    bad = removed_line("regexp_matches", "", "l", "n", symbol_share, long_line, boilerplate_words)
     return rf"""
     with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
     w as (select r, doc_id, t, list_filter(regexp_split_to_array(t, '{SPLIT}'), lambda x: x <> '') as words,
@@ -102,7 +108,7 @@ def oracle_sql(symbol_share: float = 0.1, long_line: int = 12, boilerplate_words
     grams as (select r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as g from (select r, words, unnest(range(1, len(words) - 1)) as i from w)),
     again as (select r, i, count(*) over (partition by r, g) as n from grams),
     covered as (select r, count(distinct p) as n from (select r, unnest([i, i + 1, i + 2]) as p from again where n > 1) group by r),
-    ln as (select r, unnest(lines) as l from w),
+    ln as (select r, l, len(regexp_split_to_array(trim(l, '{SEPARATORS}'), '{SPLIT}')) as n from (select r, unnest(lines) as l from w)),
     good as (select r, count(*) as n_lines, count(*) filter (where {bad}) as n_removed_lines, sum(length(l)) as chars,
              coalesce(sum(length(l)) filter (where not {bad}), 0) as good_chars from ln group by r),
     f as (select w.r, doc_id, len(words) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
