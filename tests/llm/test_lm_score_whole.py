@@ -11,7 +11,7 @@ def test_all_training_rows_move_the_weights(spark, monkeypatch):
     model = vocabulary("piece_bpe_32k.model")
     rows = [(7, "a b c d")] * 2500 + [(100 + i, f"one{i % 7} two three") for i in range(1500)] + [(None, "zebra quartz " * 400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    start = L.Attention(len(SP._encoder(model, False).pieces.kinds), L.SINGLE + L.BINS).w["embed"]
+    start = L.Attention(len(SP._encoder(model, False).pieces.kinds)).w["embed"]
     nets, fitted = [], L.fitted
     monkeypatch.setattr(L, "fitted", lambda *a, **k: nets.append(fitted(*a, **k)) or nets[-1])
     two = [sorted((r.doc_id or 0, r.score) for r in L.lm_scores(spark, docs, model, epochs=1, fold=0, fold_of=10**6).collect()) for _ in range(2)]
