@@ -6,9 +6,15 @@ merges and copy audits expressed as joins and aggregates over tensor rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 # Renaming from the source layout to the target layout (W8),
 # applied in this order.
 NAME_MAP = [
@@ -56,34 +62,81 @@ def elements(tensors: DataFrame) -> DataFrame:
         .withColumn("w", F.col("w").cast("double"))
 
 
-def magnitude_threshold(tensors: DataFrame, sparsity: float, per_octave: int = 64, cells: int = 4096) -> DataFrame:
+DIGIT = 11  # bits of a radix digit: a histogram has 2,048 cells
+NAMES = 1000  # tensors whose histograms a task holds at once
+
+
+def _digit_counts(rows: DataFrame, bits: int, done: int, width: int) -> DataFrame:
+    """(name, digit, c): of each tensor the counts of the next ``width`` bits of |w| among the elements whose first
+    ``done`` bits are the tensor's ``prefix``. A task sends one histogram a tensor, whatever it read."""
+    kind, shift, cells = (np.uint32 if bits == 32 else np.uint64), bits - done - width, 1 << width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            some = [(n, np.flatnonzero(h), h) for n, h in total.items()]
+            names = pa.array([n for n, at, _ in some for _ in at], pa.string())
+            digits = np.concatenate([at for _, at, _ in some] or [np.zeros(0, np.int64)])
+            return pa.RecordBatch.from_arrays([names, pa.array(digits, pa.int64()), pa.array(np.concatenate([h[at] for _, at, h in some] or [np.zeros(0, np.int64)]), pa.int64())],
+                                              names=["name", "digit", "c"])
+
+        for b in batches:
+            names = b.column(0).dictionary_encode()
+            place = names.indices.to_numpy(zero_copy_only=False)
+            for i, name in enumerate(names.dictionary.to_pylist()):
+                part = b.take(pa.array(np.flatnonzero(place == i)))
+                u = np.abs(part.column(1).flatten().drop_null().to_numpy()).view(kind)  # bits of |w| stand in its order, NaN last
+                if done:
+                    u = u[u >> kind(shift + width) == kind(part.column(2)[0].as_py())]
+                if name not in total and len(total) >= NAMES:
+                    yield out()
+                    total.clear()
+                h = np.bincount((u >> kind(shift) & kind(cells - 1)).astype(np.int64), minlength=cells)
+                total[name] = total.get(name, 0) + h
+        yield out()
+
+    return rows.mapInArrow(run, "name string, digit long, c long").groupBy("name", "digit").agg(F.sum("c").alias("c"))
+
+
+def magnitude_threshold(tensors: DataFrame, sparsity: float) -> DataFrame:
     """Per tensor ``k = floor(n * sparsity)`` and the exact k-th smallest |w|.
 
-    Rank k is located in two histograms (partial aggregates): ``per_octave`` bins per power of two, which an
-    outlier cannot widen, then ``cells`` equal cells of the bin that holds it. A 32-bit float has at most
-    2**23 / per_octave / cells values in such a cell (about 32), and only those are ranked.
+    Radix selection on the bits of |w|, which stand in the order of the values: a pass counts the next digit of
+    the elements that share the digits found so far (fixed-size histograms, one a task and tensor), and the digit that holds rank
+    k is kept. 32-bit floats take three passes over the rows, doubles six; elements never become rows and never move, so
+    ties, zeros, outliers and very long tensors cost the same. NaN counts as largest; null elements don't count.
     Output ``name, n, k, threshold`` (threshold null when k = 0: keep everything).
     """
-    el = elements(tensors).select("name", F.abs("w").alias("a"))
-    el = el.withColumn("bin", F.when(F.col("a") > 0, F.floor(F.log2("a") * per_octave)).otherwise(F.lit(-(1 << 40))).cast("long"))
-    stats = el.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    stats = stats.withColumn("k", F.floor(F.col("n") * F.lit(float(sparsity))).cast("long"))
-
-    def holding(hist: DataFrame, by: str, below) -> DataFrame:
-        """The bin with rank k, and how many elements lie before it."""
-        w = Window.partitionBy("name").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-        cum = hist.withColumn("cum", below + F.sum("c").over(w)).withColumn("before", F.col("cum") - F.col("c"))
-        return cum.filter((F.col("k") > F.col("before")) & (F.col("k") <= F.col("cum"))).drop("cum", "c")
-
-    bins = el.groupBy("name", "bin").agg(F.count(F.lit(1)).alias("c"), F.min("a").alias("lo"), F.max("a").alias("hi"))
-    first = holding(bins.join(stats, "name"), "bin", F.lit(0))
-    cell = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("a") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (cells - 1))).otherwise(0)
-    inner = el.join(first, ["name", "bin"]).withColumn("cell", cell.cast("int"))
-    fine = inner.groupBy("name", "k", "before", "cell").agg(F.count(F.lit(1)).alias("c"))
-    second = holding(fine.withColumnRenamed("before", "base"), "cell", F.col("base")).select("name", "k", "cell", "before")
-    values = inner.select("name", "cell", "a").join(second, ["name", "cell"]).groupBy("name", "k", "before", "a").agg(F.count(F.lit(1)).alias("c"))
-    thr = holding(values.withColumnRenamed("before", "base"), "a", F.col("base")).select("name", F.col("a").alias("threshold"))
-    return stats.join(thr, "name", "left").select("name", "n", "k", F.when(F.col("k") > 0, F.col("threshold")).alias("threshold"))
+    spark = tensors.sparkSession
+    rows = tensors.where("name is not null").select("name", "values")
+    bits = 32 if rows.schema["values"].dataType.elementType.typeName() == "float" else 64
+    if bits == 64:
+        rows = rows.withColumn("values", F.col("values").cast("array<double>"))
+    state, done = None, 0
+    while done < bits:
+        width = min(DIGIT, bits - done)
+        # one row a tensor is sent to the tasks
+        here = rows.withColumn("prefix", F.lit(0).cast("long")) if state is None else rows.join(F.broadcast(state.where("k > 0").select("name", "prefix")), "name")
+        counts = _digit_counts(here, bits, done, width)
+        by = Window.partitionBy("name").orderBy("digit")  # at most 2,048 rows a tensor
+        if state is None:
+            first = written(spark, counts, "digits")
+            state = first.groupBy("name").agg(F.sum("c").alias("n")).withColumn("k", F.floor(F.col("n") * F.lit(float(sparsity))).cast("long"))
+            state = state.withColumn("prefix", F.lit(0).cast("long")).withColumn("rank", F.col("k"))
+            counts = first
+        held = counts.join(state, "name").withColumn("upto", F.sum("c").over(by)).where("rank > upto - c and rank <= upto")
+        held = held.select("name", (F.col("prefix") * (1 << width) + F.col("digit")).alias("_prefix"), (F.col("rank") - F.col("upto") + F.col("c")).alias("_rank"))
+        state = written(spark, state.join(held, "name", "left").select("name", "n", "k", F.col("_prefix").alias("prefix"), F.col("_rank").alias("rank")), "ranks")
+        done += width
+
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u = b.column(3).fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint32 if bits == 32 else np.uint64)
+            v = u.view(np.float32 if bits == 32 else np.float64).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(v, mask=b.column(3).is_null().to_numpy(zero_copy_only=False))], names=["name", "n", "k", "threshold"])
+
+    return state.select("name", "n", "k", "prefix").mapInArrow(value, "name string, n long, k long, threshold double")
 
 
 def apply_mask(tensors: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -158,18 +211,38 @@ def map_name(c: F.Column) -> F.Column:
     return c
 
 
+FEW_ROWS = 1_000_000
+
+
 def parity_audit(source: DataFrame, target: DataFrame, rtol: float, atol: float) -> DataFrame:
     """Join source (renamed) and target rows; per tensor max |diff|, number
-    of elements outside ``atol + rtol*|target|``, missing and extra rows."""
-    s = source.select(map_name(F.col("name")).alias("name"), "row_id", F.col("values").alias("sv"))
-    t = target.select("name", "row_id", F.col("values").alias("tv"))
-    j = s.join(t, ["name", "row_id"], "full_outer")
-    both = F.col("sv").isNotNull() & F.col("tv").isNotNull()
-    diffs = F.zip_with("sv", "tv", lambda a, b: F.abs(a.cast("double") - b.cast("double")))
-    bad = F.zip_with("sv", "tv", lambda a, b: F.abs(a.cast("double") - b.cast("double"))
-                     > F.lit(atol) + F.lit(rtol) * F.abs(b.cast("double")))
-    return j.groupBy("name").agg(
-        F.max(F.when(both, F.array_max(diffs))).alias("max_abs_diff"),
-        F.sum(F.when(both, F.size(F.filter(bad, lambda x: x))).otherwise(0)).alias("n_mismatch"),
-        F.sum(F.when(F.col("tv").isNull(), 1).otherwise(0)).alias("missing_rows"),
-        F.sum(F.when(F.col("sv").isNull(), 1).otherwise(0)).alias("extra_rows"))
+    of elements outside ``atol + rtol*|target|``, missing and extra rows.
+
+    Digests (128 bits) of the rows are joined first; rows of equal digests differ by nothing and their values stay where they
+    are. Values are fetched only for the others, and for rows with a NaN, which equals nothing (equal infinities do). The
+    list of those is sent to the scans while it has at most ``FEW_ROWS`` rows; a longer one is joined.
+    """
+    spark = source.sparkSession
+    s = source.select(map_name(F.col("name")).alias("name"), "row_id", F.col("values").alias("v"))
+    t = target.select("name", "row_id", F.col("values").alias("v"))
+
+    def digests(df: DataFrame, side: str) -> DataFrame:
+        odd = F.exists("v", lambda x: F.isnan(x.cast("double")))
+        return df.select("name", "row_id", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"), F.size("v").alias("n"), F.coalesce(odd, F.lit(True)).alias("odd")).alias(side))
+
+    path = written(spark, digests(s, "s").join(digests(t, "t"), ["name", "row_id"], "full_outer"), "digests")
+    unequal = path.where("s is not null and t is not null and (s <> t or s.odd)").select("name", "row_id")
+    if unequal.count() <= FEW_ROWS:
+        unequal = F.broadcast(unequal)  # counted
+    one, two = (df.join(unequal, ["name", "row_id"], "left_semi").withColumnRenamed("v", v) for df, v in ((s, "sv"), (t, "tv")))
+    nan = lambda a, b: F.isnan(a.cast("double")) | F.isnan(b.cast("double"))
+    apart = lambda a, b: F.when(~nan(a, b) & (a == b), 0.0).otherwise(F.abs(a.cast("double") - b.cast("double")))
+    diffs = F.zip_with("sv", "tv", apart)
+    bad = F.zip_with("sv", "tv", lambda a, b: nan(a, b) | (apart(a, b) > F.lit(atol) + F.lit(rtol) * F.abs(b.cast("double"))))
+    fetched = one.join(two, ["name", "row_id"]).select("name", F.array_max(diffs).alias("d"), F.size(F.filter(bad, lambda x: x)).alias("m"))
+    far = fetched.groupBy("name").agg(F.max("d").alias("d"), F.sum("m").alias("m"))
+    missing, extra = F.col("t").isNull(), F.col("s").isNull()
+    rows = path.groupBy("name").agg(F.max(F.when(~missing & ~extra & (F.col("s.n") > 0), 0.0)).alias("zero"), F.sum(F.when(missing, 1).otherwise(0)).alias("missing_rows"),
+                                    F.sum(F.when(extra, 1).otherwise(0)).alias("extra_rows"))
+    # nulls give way to numbers in greatest
+    return rows.join(far, "name", "left").select("name", F.greatest("zero", "d").alias("max_abs_diff"), F.coalesce("m", F.lit(0).cast("long")).alias("n_mismatch"), "missing_rows", "extra_rows")
