@@ -22,6 +22,8 @@
 Null ids are linked with nothing (component null, kept). Null or empty texts and texts without a
 word have no shingles and are linked with nothing. Rows that share an id are one document, linked
 where any of its texts is: they stay or go together. An empty table gives an empty result; other columns are not read.
+Ties of the most central class go to the larger id, which changes which links are tried first and no component. Very long texts have large sets, which
+travel as one row each; their sketches are as small as others.
 """
 
 from __future__ import annotations
