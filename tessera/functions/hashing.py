@@ -9,6 +9,10 @@ of re-execution after a lost executor, and lets a SQL engine repeat them
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +41,29 @@ def randint(lo, hi, seed, *parts) -> Column:
     return (lo_c + F.floor(uniform(seed, *parts) * (hi_c - lo_c + 1))).cast("bigint")
 
 
+def draws(seed, tag: str, key, tails) -> np.ndarray:
+    """:func:`hash32` of ``seed:tag:key:tail`` for each of ``tails``, for use inside an Arrow function.
+
+    ``key`` is a row's key as text; None is left out of the digest, as the column form leaves a null out."""
+    head = f"{seed}:{tag}:" if key is None else f"{seed}:{tag}:{key}:"
+    md5 = hashlib.md5
+    return np.frombuffer(b"".join([md5(f"{head}{t}".encode(), usedforsecurity=False).digest()[:4] for t in tails]), ">u4").astype(np.int64)
+
+
+def hash_array(seed, tag: str, key: Column, k: int) -> Column:
+    """``array(hash32(seed, tag, key, 0), ..., hash32(seed, tag, key, k - 1))``, drawn in Arrow batches.
+
+    The column form costs a chain of string expressions a draw, which inside a lambda is interpreted; from some ten draws
+    a row this is several times cheaper."""
+    @F.arrow_udf("array<bigint>")
+    def hashed(keys: pa.Array) -> pa.Array:
+        flat = [draws(seed, tag, x, range(k)) for x in keys.to_pylist()]
+        values = np.concatenate(flat) if flat else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * k), pa.array(values))
+
+    return hashed(key.cast("string"))
+
+
 ROUNDS, WALK = 6, 64
 
 

@@ -3,6 +3,8 @@ words from the trained vocabulary) and scoring of a generations table."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sql_hash32, sql_randint, sql_uniform, uniform
@@ -14,6 +16,7 @@ from . import corpus as C
 from .registry import register
 
 S = G.SEED
+SAMPLES_PER_TASK = 20_000
 
 
 def H(seed, tag, *cols):
@@ -40,9 +43,11 @@ def nl(s: str) -> str:
 
 
 def samples(spark, sf):
-    """One sample per document; the ids are dealt out by themselves (the file may be one split), which is
-    also the partitioning that the generators regroup on."""
-    return read_table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id")).repartition("sample_id")
+    """One sample per document. Ids are dealt out by themselves to a stated number of tasks, at least one a core: the file
+    may be one split, and ids weigh too little for the adaptive planner to keep them apart, but a sample is thousands of draws."""
+    ids = read_table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"))
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(ids.count() / SAMPLES_PER_TASK))
+    return ids.repartition(tasks, "sample_id")
 
 
 def words(spark, sf):
@@ -311,11 +316,14 @@ def _text(task, ans, ok):
 
 def task_tables(spark, sf, which=None):
     s = samples(spark, sf)
-    w = words(spark, sf) if which is None or {G.RETRIEVAL, G.AR, G.AR_MULTIHOP, G.PHONE_BOOK} & set(which) else None
+    asked = set(which or [G.RETRIEVAL, G.AR, G.AR_MULTIHOP, G.PHONE_BOOK])
+    paired, named = {G.RETRIEVAL, G.AR, G.AR_MULTIHOP} & asked, G.PHONE_BOOK in asked
+    w = words(spark, sf) if paired or named else None
+    index = G.index_words(w) if paired else None  # one for all
     build = {
-        G.RETRIEVAL: lambda: G.retrieval(s, w, NUM_PAIRS),
-        G.AR: lambda: G.associative_recall(s, w, NUM_PAIRS),
-        G.AR_MULTIHOP: lambda: G.multihop_recall(s, w, NUM_PAIRS, HOPS),
+        G.RETRIEVAL: lambda: G.retrieval(s, index, NUM_PAIRS),
+        G.AR: lambda: G.associative_recall(s, index, NUM_PAIRS),
+        G.AR_MULTIHOP: lambda: G.multihop_recall(s, index, NUM_PAIRS, HOPS),
         G.VT: lambda: G.variable_tracking(s, VT_CHAINS, VT_HOPS, VT_NOISE),
         G.CWE: lambda: G.common_words(s, CW, UCW, FCW, FUCW),
         G.FWE: lambda: G.frequent_words(s, FW_ALPHA, FW_V, FW_N),
