@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WORD_TOKEN_PATTERN
 from ..operators import pack, tokenize
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources import corpus, sinks
+from ..sources.chunk_store import ChunkStore
 from ..sources.token_store import TokenStore
 from .registry import register
 
@@ -105,6 +106,21 @@ def s4_chunk_sink(spark, sf):
     return back.select("chunk_id", F.size("input_ids").alias("n_tokens"), ids_md5().alias("ids_md5"))
 
 
+@register("s4_chunk_store", sql="WITH " + sql_stream() + sql_chunks(CHUNK_LEN))
+def s4_chunk_store(spark, sf):
+    """Chunks appended in two commits and read back as three ranges, one of them across the commits."""
+    chunks = pack.pack_chunks(pack.token_offsets(encoded(spark, sf)), CHUNK_LEN)
+    whole = written(spark, chunks, "chunks")
+    n = whole.count()
+    store = ChunkStore(spark, scratch_path(spark, "chunk-store"))
+    store.append(whole.where(F.col("chunk_id") < n // 2))
+    store.append(whole.where(F.col("chunk_id") >= n // 2))
+    rows = whole.limit(0)
+    for lo, hi in ((0, n // 3), (n // 3, 2 * n // 3), (2 * n // 3, None)) if n else ():
+        rows = rows.unionByName(store.read(lo, hi))
+    return rows.select("chunk_id", F.size("input_ids").alias("n_tokens"), ids_md5().alias("ids_md5"))
+
+
 # ---- T ---------------------------------------------------------------------
 
 @register("t1_vocab", sql="WITH " + sql_vocab() + " SELECT token, token_id, cnt FROM vocab")

@@ -2,13 +2,11 @@
 
 A store is a folder of segments (Parquet, one a sync) and numbered manifests. A manifest names the segments
 that count, the tokens and documents before each, and a checksum of all texts so far; it is the only thing
-that is committed, by creating the next number exclusively. Whatever a broken or beaten run wrote is named by no
-manifest and never read.
+that is committed (``sources.manifest``).
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pack
+from .manifest import Manifests
 
 EMPTY = {"version": 0, "segments": [], "docs": 0, "tokens": 0, "checksum": [0, 0], "last_key": None}
 
@@ -27,41 +26,15 @@ class TokenStore:
 
     def __init__(self, spark: SparkSession, root: str, encode: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text"):
         self.spark, self.root, self.encode, self.key, self.text = spark, root.rstrip("/"), encode, key, text
+        self.manifests = Manifests(spark, f"{self.root}/manifests", EMPTY)
 
     # ---- manifests ----
 
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _versions(self) -> list[int]:
-        fs, folder = self._fs(f"{self.root}/manifests")
-        if not fs.exists(folder):
-            return []
-        return sorted(int(s.getPath().getName().split(".")[0]) for s in fs.listStatus(folder))
-
-    def _load(self, version: int) -> dict | None:
-        """A manifest, or None where its writer was lost before it was whole."""
-        text = "\n".join(r.value for r in self.spark.read.text(f"{self.root}/manifests/{version:08d}.json").collect())
-        try:
-            return json.loads(text)
-        except ValueError:
-            return None
-
     def manifest(self, version: int | None = None) -> dict:
         """The state of a version, or the latest whole one."""
-        if version is not None:
-            return self._load(version) if version else dict(EMPTY)
-        for v in reversed(self._versions()):
-            if (found := self._load(v)) is not None:
-                return found
-        return dict(EMPTY)
-
-    def _commit(self, state: dict) -> None:
-        fs, path = self._fs(f"{self.root}/manifests/{state['version']:08d}.json")
-        out = fs.create(path, False)  # fails where another run was first
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
+        if version is None:
+            return self.manifests.latest()
+        return self.manifests.load(version) if version else dict(EMPTY)
 
     # ---- growth ----
 
@@ -92,11 +65,11 @@ class TokenStore:
         if not rows.n == n == rows["keys"]:
             raise ValueError(f"{self.key} is not unique")
         segment = {"path": path, "docs": state["docs"], "tokens": state["tokens"]}
-        now = {"version": (self._versions() or [0])[-1] + 1, "segments": [*state["segments"], segment], "docs": state["docs"] + n, "tokens": state["tokens"] + rows.t,
+        now = {"version": self.manifests.next_version(), "segments": [*state["segments"], segment], "docs": state["docs"] + n, "tokens": state["tokens"] + rows.t,
                "checksum": [state["checksum"][0] + int(a), state["checksum"][1] + int(b)], "last_key": rows["last"], "before": state["version"]}
         if self.manifest()["version"] != state["version"]:
             raise RuntimeError("another run has extended the store meanwhile")
-        self._commit(now)
+        self.manifests.commit(now)
         return now
 
     def read(self, version: int | None = None) -> DataFrame:

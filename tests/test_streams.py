@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tessera.operators import chat
 from tessera.operators.ranking import rank_layers
 from tessera.streaming import chat_state, live_ranking
+from tessera.streaming.state_table import StateTable
 
 
 def test_ranking_merges_points_of_a_step_from_several_files(spark, tmp_path):
@@ -33,3 +34,43 @@ def test_sessions_equal_the_batch_operators(spark, tmp_path):
     batch = chat.active_stage(chat.attach_modes(chat.segment_sessions(turns)))
     want = {tuple(r) for r in batch.select(*columns[:5], F.expr("nullif(locked, 'auto')").alias("locked")).collect()}
     assert got == want
+
+
+def _files(folder):
+    return sum(1 for p in folder.rglob("*.parquet"))
+
+
+def test_state_table_stays_small_and_keeps_the_newest(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "t"), "k long, v string, seq long, block long", ["block", "k"], "block", "seq", fan=3, retain=2)
+    want, most = {}, 0
+    for epoch in range(20):
+        rows = [(k, f"{epoch}-{k}", (epoch * 7 + k) % 5, k % 2) for k in range(epoch % 4, 12, 3)]
+        assert table.merge(spark.createDataFrame(rows, table.schema), epoch)
+        for k, v, seq, block in rows:
+            if k not in want or seq >= want[k][1]:
+                want[k] = (v, seq, block)
+        most = max(most, _files(tmp_path / "t"))
+        if epoch % 6 == 5:
+            assert {r.k: (r.v, r.seq, r.block) for r in table.read().collect()} == want
+    assert not table.merge(spark.createDataFrame(rows, table.schema), 19)  # again
+    assert {r.k: (r.v, r.seq, r.block) for r in table.read().collect()} == want
+    assert {r.k for r in table.read([1]).collect()} == {k for k in want if k % 2}
+    state = table.manifests.latest()
+    assert len(table.manifests.versions()) <= 2 and all(len(level) < 3 for level in state["levels"])
+    assert most <= 2 * (3 * 3 + 2 * 3 + 3) and state["version"] == 20  # two blocks, three levels, what waits to be dropped
+
+
+def test_only_changed_rankings_are_written_and_a_retry_changes_nothing(spark, tmp_path):
+    schema = live_ranking.POINT_SCHEMA
+    rows = [(f"r{k}", k, float(step), float((k * 3 + step) % 4), 1) for step in (10, 20, 6000) for k in range(4)]
+    batches = [rows, rows[:2], [("r9", 9, 20.0, -1.0, 1)], [("r9", 9, 20.0, float("nan"), 2)]]
+    for epoch, part in enumerate(batches):
+        live_ranking.update(spark.createDataFrame(part, schema), epoch, str(tmp_path / "o"))
+    counts = [spark.read.parquet(f"{tmp_path}/o/changes/epoch={e}").count() for e in range(4)]
+    assert counts == [12, 0, 5, 5]  # a repeated point changes no rank; a new best one moves all of its step
+    before, files = sorted(map(str, live_ranking.current_rankings(spark, str(tmp_path / "o")).collect())), _files(tmp_path / "o")
+    live_ranking.update(spark.createDataFrame(batches[3], schema), 3, str(tmp_path / "o"))
+    assert sorted(map(str, live_ranking.current_rankings(spark, str(tmp_path / "o")).collect())) == before and _files(tmp_path / "o") == files
+    last = {(r, l, s): (x, q) for part in batches for r, l, s, x, q in part}
+    want = rank_layers(spark.createDataFrame([(*k, *v) for k, v in last.items()], schema))
+    assert before == sorted(map(str, want.collect()))

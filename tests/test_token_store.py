@@ -60,7 +60,7 @@ def test_broken_runs_leave_the_old_state(spark, store):
     store.encode = lambda part: good(part).withColumn("input_ids", F.raise_error(F.lit("lost")).cast("array<int>"))
     with pytest.raises(Exception, match="lost"):
         store.sync(_docs(spark, 30))
-    fs, path = store._fs(f"{store.root}/manifests/00000002.json")  # a writer that was lost half-way
+    fs, path = store.manifests._fs(f"{store.root}/manifests/00000002.json")  # a writer that was lost half-way
     out = fs.create(path, False)
     out.write(bytearray(b'{"version": 2, "segm'))
     out.close()
@@ -72,7 +72,7 @@ def test_broken_runs_leave_the_old_state(spark, store):
 def test_only_one_of_two_runs_commits(spark, store):
     state = store.sync(_docs(spark, 20))
     with pytest.raises(Exception):
-        store._commit(state)
+        store.manifests.commit(state)
     assert store.manifest() == state
 
 
