@@ -16,7 +16,8 @@
    similarity and drops clear misses; the exact Jaccard on full sets verifies the others.
 6. Lists whose classes have not all met in one component stay open. Their classes are joined again
    on the rarest shingles of their full sets, across components only, under the bound that the
-   places of the common shingle leave on the overlap. This step is exact and needs no sketch.
+   places of the common shingle leave on the overlap. This step is exact and needs no sketch. Lists are cut by
+   size, and what no member of a fitting list allows goes before pairs are formed.
 7. Connected components of all verified links.
 
 Null ids are linked with nothing (component null, kept). Null or empty texts and texts without a
@@ -146,11 +147,24 @@ def _open_pairs(spark: SparkSession, open_sets: DataFrame, percent: int) -> Data
     prefix = written(spark, prefix.select("id", "n", "component", "h", (F.col("alone") + F.col("i")).alias("place")), "prefix")
     largest = prefix.groupBy("h", "component").agg(F.count("*").alias("c")).groupBy("h").agg(
         F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("components")).where("components > 1").select("h", "largest")
-    some = prefix.join(largest, "h")
-    x = some.where("component <> largest").select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("place").alias("pa"))
-    y = some.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("place").alias("pb"))
-    return x.join(y, "h").where(f"""ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)
-        and {100 + percent} * least(na - pa, nb - pb) >= {percent} * (na + nb)""").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # the places allow a pair where the size of each is within what the other's place leaves it ("cap"); lists are cut by
+    # size, and rows go that no row of the fitting lists allows, so a long list of texts that share too little forms no pairs
+    size = f"cast(floor(ln(n) / {math.log(100 / percent)}) as int)"
+    cap = f"cast({100 + percent} * (n - place) div {percent} - n as bigint)"
+    some = written(spark, prefix.join(largest, "h").withColumns({"cap": F.expr(cap), "g": F.expr(size)}), "open")
+    first, last = f"(({percent} * n + 99) div 100)", f"least(100 * n div {percent}, cap)"
+    reach = F.explode(F.expr(f"sequence({size.replace('ln(n)', f'ln({first})')}, {size.replace('ln(n)', f'ln({last})')})"))
+    x = some.where(f"component <> largest and {last} >= {first}").select("h", "id", "n", "component", "cap", reach.alias("g"))
+
+    def allowed(rows: DataFrame, by: DataFrame) -> DataFrame:
+        of = by.groupBy("h", "g").agg(F.min("n").alias("least"), F.max("cap").alias("most"))
+        return rows.join(of, ["h", "g"]).where("cap >= least and n <= most").drop("least", "most")
+
+    x = allowed(x, some)
+    y = allowed(some.select("h", "id", "n", "component", "cap", "g"), x)
+    x, y = (d.select("h", "g", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "component", "cap")]) for d, side in ((x, "a"), (y, "b")))
+    return x.join(y, ["h", "g"]).where(f"""component_a <> component_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and n_b <= cap_a and n_a <= cap_b
+        """).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80,

@@ -73,3 +73,15 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, k) for k in range(501, 600)] + [(599, 700), (800, 800)]
     got = {r.node: r.component for r in components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(500, 600), 500), 700: 500}
+
+
+def test_long_lists_of_texts_that_share_too_little_form_no_pairs(spark):
+    """12,000 texts with 200 of 220 shingles in common (similarity 0.83): all pairs of their lists would be 2 * 10 ** 9."""
+    from pyspark.sql import functions as F
+
+    shared = F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: i.cast("long"))
+    family = spark.range(12_000).select("id", F.lit(220).cast("long").alias("n"), F.col("id").alias("component"), shared.alias("shingles"))
+    near = spark.createDataFrame([(20_000, 203, 20_000), (20_001, 216, 20_001)], "id long, n long, component long").withColumn("shingles", shared)
+    got = near_dup._open_pairs(spark, family.union(near), 85).collect()
+    # 203 and 216 with 200 in common: 0.913; 203 and 220: 0.897; 216 and 220: 0.847, no link
+    assert sorted((r.a, r.b) for r in got) == sorted([(20_000, 20_001)] + [(i, 20_000) for i in range(12_000)])
