@@ -125,7 +125,8 @@ class Network:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int, sample_chunks: int, key: str, text: str, label: str, fold: int, fold_of: int):
-    """(share of label 1 among all training labels, chunks of each sampled row, their labels)."""
+    """(share of label 1 among all training labels, chunks of each sampled id, their labels). An id that repeats
+    gives the chunks of one of its rows (the smallest bytes), so ``2 * sample`` rows come to the driver at most."""
     held = F.crc32(F.col("id").cast("string").cast("binary")) % fold_of == fold
     known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     known = known.groupBy("id").agg(F.min("label").alias("label")).where(~held)
@@ -148,7 +149,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, sample_chunks
 
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id")  # 2 * sample rows at most
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("label", T.IntegerType()), T.StructField("chunks", T.BinaryType())])
-    rows = sorted(texts.select("id", "label", "text").mapInArrow(cut_rows, schema).collect(), key=lambda r: (r.id, bytes(r.chunks)))
+    cuts = texts.select("id", "label", "text").mapInArrow(cut_rows, schema)
+    rows = sorted(cuts.groupBy("id", "label").agg(F.min("chunks").alias("chunks")).collect(), key=lambda r: r.id)
     return share, [np.frombuffer(bytes(r.chunks), dtype=np.uint8).reshape(-1, CHUNK) for r in rows], np.array([r.label for r in rows], dtype=np.float32)
 
 

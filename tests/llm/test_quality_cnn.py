@@ -52,3 +52,12 @@ def test_edge_rows(spark):
     assert {r.score for r in Q.quality_scores(spark, docs, labels.limit(0)).collect()} == {1.0}
     assert {r.score for r in Q.quality_scores(spark, docs, labels.where("quality = 0")).collect()} == {0.0}
     assert Q.quality_scores(spark, docs.limit(0), labels, epochs=1).count() == 0
+
+
+def test_repeated_ids_keep_the_sample_bounded(spark):
+    docs = spark.range(3000).selectExpr("id % 10 as doc_id", "concat('text ', id) as text")
+    labels = spark.range(10).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    share, chunks, label = Q.training_rows(docs, labels, 3, 8, "doc_id", "text", "quality", 2, 4)
+    assert 0 < len(chunks) == len(label) <= 6
+    again = Q.training_rows(docs.repartition(7), labels, 3, 8, "doc_id", "text", "quality", 2, 4)
+    assert all((a == b).all() for a, b in zip(chunks, again[1])) and label.tolist() == again[2].tolist() and share == again[0]
