@@ -20,8 +20,8 @@ Items with the same words count once in ``m``, which Spark sums over the whole b
 blocks of at most ``block_bytes`` of text (a longer single item is a block of its own); each block is
 sent to all tasks with its shingles' ``m``, and the texts are scanned once for it. The texts are never shuffled.
 
-Null or empty texts and items, and such without words, match nothing. Repeated rows and items are
-reported each; an empty table on either side gives no match; other columns are not read.
+Null or empty texts and items, and such without words, match nothing. Repeated documents are reported
+each, and so are items of equal words; benchmark rows of equal id and text are one item. An empty table on either side gives no match; other columns are not read.
 """
 
 from __future__ import annotations
@@ -234,7 +234,7 @@ def _item_rows(texts: DataFrame, words: int) -> DataFrame:
 
 def benchmark_blocks(spark: SparkSession, benchmark: DataFrame, item: str, text: str, words: int, block_bytes: int) -> Iterator[tuple[list[tuple[object, str]], tuple[np.ndarray, np.ndarray]]]:
     """The benchmark in blocks of bounded size, one at a time at the driver, each with its shared shingles."""
-    some = benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).where("t is not null")
+    some = benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).where("t is not null").distinct()  # a repeated row is one item
     size = some.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = 1 + 2 * size // block_bytes if size > block_bytes else 1
     shared = shared_shingles(some, words) if parts == 1 else written(spark, shared_shingles(some, words), "shingles")

@@ -62,6 +62,9 @@ def test_equals_brute_force(spark):
     assert small == got.keys()  # blocks change nothing
     clean = D.decontaminated(spark, d, b)
     assert clean.columns == d.columns and Counter(r.doc_id for r in clean.collect()) == Counter(r[0] for r in rows if not any(p[0] == r[0] for p in got))
+    often = b.union(b.where("item_id = 1").crossJoin(spark.range(500).select()))
+    assert sorted(map(tuple, D.contaminated(spark, d, often).collect())) == sorted(map(tuple, D.contaminated(spark, d, b).collect()))
+    assert max(len(found) for found, _ in D.benchmark_blocks(spark, often, "item_id", "text", 5, 16 << 20)) <= len(bench)
     for x, y in ((d.limit(0), b), (d, b.limit(0))):
         assert D.contaminated(spark, x, y).count() == 0
     assert D.decontaminated(spark, d, b.limit(0)).count() == len(rows)
