@@ -177,6 +177,13 @@ def s5_loss_log_scan(spark, sf):
     return R.unpack_runs(losslog.read_loss_log(spark, path)).select("run_name", "run_pos", "step", "loss")
 
 
+@register("s5_object_scan", sql="WITH " + SQL_CHAIN + " SELECT run_name, run_pos, step, loss FROM unpacked")
+def s5_object_scan(spark, sf):
+    """S6 as one JSON object, read by the byte ranges of its file: equals R6."""
+    path = losslog.write_loss_log(_packed(spark, sf), scratch_path(spark, "losslog-object"), single_object=True)
+    return R.unpack_runs(losslog.read_loss_log(spark, path, lines=False)).select("run_name", "run_pos", "step", "loss")
+
+
 @register("s6_loss_log_sink", sql="WITH " + SQL_CHAIN + """
 SELECT run_name, CAST(count(*) AS INTEGER) AS n_points,
        md5(string_agg(CAST(CAST(step AS BIGINT) AS VARCHAR), ',' ORDER BY step)) AS steps_md5, round(sum(loss), 6) AS loss_sum
