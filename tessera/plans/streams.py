@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.chat import PRESETS
 from ..session import scratch_path
-from ..streaming import chat_state, live_ranking
+from ..streaming import chat_state, live_ranking, unordered_chat
 from . import chat as Hp
 from . import losslog as Rp
 from .registry import register
@@ -28,7 +28,7 @@ def q1_live_ranking(spark, sf):
     return live_ranking.current_rankings(spark, f"{root}/out").select("step", "layer", "loss", "rank")
 
 
-@register("q2_chat_session_state", sql="WITH " + Hp.SQL_CMDS + f""",
+SQL_SESSIONS = "WITH " + Hp.SQL_CMDS + f""",
 j AS (SELECT *, CASE WHEN kind = 'switch' AND len(parts) = 2 AND parts[2] IN ('1', '2', '3') THEN CAST(parts[2] AS INTEGER) END AS jump FROM seg),
 c AS (SELECT *, CASE WHEN kind = 'switch' AND jump IS NULL THEN 1 ELSE 0 END AS bare FROM j),
 c2 AS (SELECT *, sum(bare) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM c),
@@ -38,7 +38,10 @@ c3 AS (SELECT *, last_value(jump IGNORE NULLS) OVER w AS lastj,
 SELECT conv_id, turn, kind, segment, CAST(((coalesce(lastj, 3) - 1 + cum - coalesce(cum_at_j, 0)) % 3) + 1 AS INTEGER) AS stage,
   nullif(last_value(CASE WHEN kind = 'mode' AND len(parts) >= 2 AND lower(parts[2]) IN ({", ".join("'" + p[0] + "'" for p in PRESETS)}, 'auto') THEN lower(parts[2]) END IGNORE NULLS)
     OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'auto') AS locked
-FROM c3""")
+FROM c3"""
+
+
+@register("q2_chat_session_state", sql=SQL_SESSIONS)
 def q2_chat_session_state(spark, sf):
     root = scratch_path(spark, "q2")
     turns = Hp.with_commands(spark, sf)
@@ -51,3 +54,12 @@ def q2_chat_session_state(spark, sf):
     q = chat_state.start(spark, f"{root}/source/*", f"{root}/out", f"{root}/checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out").select("conv_id", "turn", "kind", "segment", "stage", "locked")
+
+
+@register("q2_unordered_sessions", sql=SQL_SESSIONS)
+def q2_unordered_sessions(spark, sf):
+    """The same sessions from turns dealt to files by hash, so that those of a conversation come in any order."""
+    root = scratch_path(spark, "q2-unordered")
+    Hp.with_commands(spark, sf).repartition(N_FILES, F.xxhash64("conv_id", "turn")).write.parquet(f"{root}/source")
+    unordered_chat.start(spark, f"{root}/source", f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return unordered_chat.current_turns(spark.read.parquet(f"{root}/out"))

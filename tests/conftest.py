@@ -16,6 +16,7 @@ def spark():
 
     s = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+         .config("spark.python.unix.domain.socket.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(s)
