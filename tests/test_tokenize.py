@@ -80,3 +80,13 @@ def test_a_vocabulary_over_the_bound_is_joined(spark, monkeypatch):
     monkeypatch.setattr(tokenize, "BROADCAST_TOKENS", 2)
     assert "Exchange" in here()
     assert sorted(tuple(r) for r in tokenize.encode(df, vocab).collect()) == want
+
+
+def test_an_encoder_gets_bounded_runs_of_texts(spark):
+    def sizes():
+        return lambda texts: [[len(texts), sum(len(t or "") for t in texts)] for _ in texts]
+
+    df = spark.range(0, 4000, 1, 1).selectExpr("id as doc_id", "case when id = 7 then repeat('x', 3000000) when id % 5 <> 0 then repeat('y', 1500) end as text")
+    rows = sorted(tokenize.encode_with(df, sizes).collect())
+    assert [r.doc_id for r in rows] == list(range(4000)) and rows[7].input_ids[1] >= 3_000_000
+    assert all(r.input_ids[0] <= tokenize.ENCODE_ROWS and (r.input_ids[1] <= tokenize.ENCODE_BYTES or r.input_ids[0] == 1) for r in rows)
