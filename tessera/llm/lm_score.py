@@ -9,7 +9,7 @@ included, is scored once. All windows of a block go through batched matrix produ
 Training rows are those whose ``crc32(id as text) mod fold_of`` is not ``fold``; counts of words and
 pieces cover all of them, and so do the network's weights: in each of ``epochs`` passes every task takes gradient steps on all
 of its rows from common weights. For training, windows stand side by side, so each piece is an input of one of them, and
-a window's last ``QUERIES`` inputs, which see the most context, predict what follows them. Spark adds up how far each
+every input predicts what follows it: each piece and each end is a target once. Spark adds up how far each
 task moved the weights, by the inputs it read (of a piece's embedding: by how often it read the piece), in two levels of groups. The sums are whole
 numbers of fixed size, so the order of tasks changes nothing; the way the rows are dealt to tasks does. On demand only the
 ``sample`` ids of smallest hash are fitted on.
@@ -210,9 +210,9 @@ def layout(ids: np.ndarray, at: np.ndarray, begin: int, end: int, stride: int =
     return np.where(there, full[where], np.int32(PAD)), np.where(there, full[where + there], np.int32(PAD)), there & (place >= scored[:, None]), row
 
 
-def last_places(counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each window the places of its last ``QUERIES`` inputs, and 1 for each that there is."""
-    at = counted.sum(axis=1)[:, None] - QUERIES + np.arange(QUERIES)
+def last_places(counted: np.ndarray, queries: int = QUERIES) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window the places of its last ``queries`` inputs, and 1 for each that there is."""
+    at = counted.sum(axis=1)[:, None] - queries + np.arange(queries)
     return np.maximum(at, 0), (at >= 0).astype(np.float32)
 
 
@@ -284,7 +284,7 @@ def fitted(texts: DataFrame, shared, counts: np.ndarray, epochs: int, sample: in
                 for i, j in B.blocks(offsets):
                     ids, at, _ = encoder.encode(_NORMAL[buf[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])
                     x, y, c, _ = layout(ids.astype(np.int64), at, encoder.pieces.bos, encoder.pieces.eos, WINDOW)
-                    places, weight = last_places(c)
+                    places, weight = last_places(c, WINDOW)  # all
                     yield x, places, np.take_along_axis(of[y], places, 1), weight
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -124,3 +124,12 @@ def test_training_helps_on_held_out_rows(spark):
     trained, untrained = held(L.lm_scores(spark, docs, model)), held(L.lm_scores(spark, docs, model, epochs=0))
     print("gain", trained / untrained)
     assert trained > 0.95 * untrained
+
+
+def test_every_input_is_a_target_of_training():
+    """The targets of training are all pieces and ends, not a few places of each window."""
+    size = np.array([1, L.WINDOW, 3 * L.WINDOW + 5])
+    *_, counted, _ = L.layout(np.arange(int(size.sum())), np.concatenate(([0], np.cumsum(size))), 1, 2, L.WINDOW)
+    at, weight = L.last_places(counted, L.WINDOW)
+    assert weight.sum() == counted.sum() == size.sum() + len(size)
+    assert all(sorted(a[w > 0]) == np.flatnonzero(c).tolist() for a, w, c in zip(at, weight, counted))
