@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,15 +56,25 @@ def _session(key, parts: Iterator[pd.DataFrame], state, forget_ms: int | None) -
         state.remove()
         return
     segment, stage, locked, ended = state.get if state.exists else (0, START_STAGE, None, False)
-    rows = pd.concat(list(parts)).sort_values("turn")
-    open_rows = rows[(rows["kind"] == "quit").cumsum() == 0]
-    if not ended and len(open_rows):
-        out = _continued(open_rows, segment, stage, locked)
-        last = out.iloc[-1]
-        segment, stage = int(last["segment"]), int(last["stage"])
-        locked = last["sets"] if isinstance(last["sets"], str) else last["locked"] if isinstance(last["locked"], str) else None
-        yield out.assign(locked=out["locked"].where(out["locked"].notna() & (out["locked"] != "auto"), None))[columns]
-    ended = ended or len(open_rows) < len(rows)
+    parts = list(parts)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+    order = np.argsort(rows["turn"].to_numpy(), kind="stable")
+    kinds, breaks, sets, jumps, cycles = (rows[c].to_numpy()[order].tolist() for c in ("kind", "breaks", "sets", "jumps", "cycles"))
+    n = kinds.index("quit") if "quit" in kinds else len(kinds)
+    if not ended and n:
+        # a chat has few turns a batch, for which a loop costs a tenth of column operations
+        segments, stages, locks = [], [], []
+        for opens, mode, jump, cycle in zip(breaks[:n], sets, jumps, cycles):
+            segment += opens
+            stage = (int(stage if jump is None or jump != jump else jump) - 1 + cycle) % NUM_STAGES + 1
+            segments.append(segment)
+            stages.append(stage)
+            locks.append(None if locked == "auto" else locked)
+            locked = mode if isinstance(mode, str) else locked
+        first = order[:n]
+        yield pd.DataFrame({"conv_id": rows["conv_id"].to_numpy()[first], "turn": rows["turn"].to_numpy()[first], "kind": kinds[:n], "segment": segments,
+                            "stage": np.array(stages, np.int32), "locked": pd.Series(locks, dtype=object)}, columns=columns)
+    ended = ended or n < len(kinds)
     state.update((None, None, None, True) if ended else (segment, stage, locked, False))
     if forget_ms is not None:
         state.setTimeoutDuration(forget_ms)

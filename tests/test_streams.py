@@ -74,3 +74,25 @@ def test_only_changed_rankings_are_written_and_a_retry_changes_nothing(spark, tm
     last = {(r, l, s): (x, q) for part in batches for r, l, s, x, q in part}
     want = rank_layers(spark.createDataFrame([(*k, *v) for k, v in last.items()], schema))
     assert before == sorted(map(str, want.collect()))
+
+
+def test_a_session_of_few_turns_takes_a_loop_not_column_operations(monkeypatch):
+    import pandas as pd
+
+    class State:
+        exists = hasTimedOut = False
+
+        def update(self, value):
+            self.kept = value
+
+    def refused(*args):
+        raise AssertionError("column operations for each conversation")
+
+    monkeypatch.setattr(chat_state, "_continued", refused)
+    nan = float("nan")
+    rows = pd.DataFrame({"conv_id": 5, "turn": [3, 0, 2, 1, 4], "kind": ["quit", "switch", "mode", "switch", "late"], "breaks": [0, 1, 0, 1, 0],
+                         "sets": [None, None, "precise", None, None], "jumps": [nan, 2.0, nan, nan, nan], "cycles": [0, 0, 0, 1, 0]})
+    state = State()
+    out, = chat_state._session((5,), iter([rows.iloc[:2], rows.iloc[2:]]), state, None)
+    assert out[["turn", "segment", "stage"]].values.tolist() == [[0, 1, 2], [1, 2, 3], [2, 2, 3]] and out["locked"].isna().all()
+    assert state.kept == (None, None, None, True)
