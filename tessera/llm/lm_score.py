@@ -14,10 +14,12 @@ task moved the weights, by the inputs it read (of a piece's embedding: by how of
 numbers of fixed size, so the order of tasks changes nothing; the way the rows are dealt to tasks does. On demand only the
 ``sample`` ids of smallest hash are fitted on.
 
-Base: the sum over the words of a text and its end of ``log10((c + 1) / (N + V + 1))``. Texts are taken in
-blocks of at most ``block_bytes``; each block keeps a table of its distinct words. Those tables,
+Texts are taken in blocks of at most ``block_bytes``, of training rows or of others. Each block is encoded once and written to the
+shared folder with its pieces, which counting, training and scoring read from there.
+
+Base: the sum over the words of a text and its end of ``log10((c + 1) / (N + V + 1))``. Each block keeps a table of its distinct words. Those tables,
 not the words of every text, are summed over the corpus and joined back, and only counts that the block cannot know
-itself return to it. The blocks are written to the shared folder once, so no text is read twice for it.
+itself return to it.
 
 Null or empty text: only the end. Very long texts are read in windows like all others, in a block of their own. Null ids belong to the training rows. Repeated rows are rows of their own; an empty
 table gives an empty result, a table without training rows has N = V = 0; other columns are not read.
@@ -78,28 +80,50 @@ class Attention:
         pair = x @ w["pair"]
         k, v = pair[..., :DIM], pair[..., DIM:]
         seen = np.arange(WINDOW) <= at[..., None]
-        ones = np.ones((*v.shape[:2], DIM + 1), v.dtype)  # the last column of the product sums the weights
-        ones[..., :DIM] = v
-        mask = seen.astype(v.dtype)
-        for shifted in (False, True):  # again, by each row's maximum, where exponentials leave the range of 32-bit numbers
-            a = q @ k.transpose(0, 2, 1)
-            if shifted:
-                a = np.where(seen, a, -np.inf)
-                a -= a.max(axis=2, keepdims=True)
-            with np.errstate(all="ignore"):
-                np.exp(a, out=a)
-                a *= mask
-                mixed = a @ ones
-            sums = mixed[..., DIM:]
-            if _in_range(sums):
-                break
-        return q, k, v, a, sums, mixed[..., :DIM] / sums
-
-    def _parts(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Logits of the groups and of the members of the target's group, their exponentials, and the sums of those."""
-        z, n, every = h @ self.w["out"], np.arange(len(target)), np.ones(self.groups, h.dtype)
-        z += self.w["bias"]
-        one, two = z[:, : self.groups], z[:, self.groups :].reshape(len(h), self.groups, self.groups)[n, target // self.groups]
+        ones = np.empty((*v.shape[:2], DIM + 1), v.dtype)  # the last column of the product sums the weights
+        ones[..., :DIM], ones[..., DIM] = v, 1
+        a = q @ k.transpose(0, 2, 1)
+        with np.errstate(all="ignore"):
+            np.exp(a, out=a)
+            a *= seen
+            mixed = a @ ones
+        sums = np.ascontiguousarray(mixed[..., DIM:])
+        if not _in_range(sums):  # again, by each row's maximum, the windows whose exponentials leave the range of 32-bit numbers
+            left = np.flatnonzero(~((sums > 1e-15) & (sums < 1e15)).all(axis=(1, 2)))
+            again = np.where(seen if seen.ndim == 2 else seen[left], q[left] @ k[left].transpose(0, 2, 1), -np.inf)
+            again -= again.max(axis=2, keepdims=True)
+            a[left] = np.exp(again)
+            mixed[left] = a[left] @ ones[left]
+            sums = np.ascontiguousarray(mixed[..., DIM:])
+        return q, k, ones, a, sums, mixed[..., :DIM] / sums
+
+    def _by_group(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """The order of the targets by their group, and (group, first, end) of the groups that occur."""
+        group = target // self.groups
+        if self.groups < 256:
+            group = group.astype(np.uint8)  # sorted by radix
+        ends = np.cumsum(np.bincount(group, minlength=self.groups)).tolist()
+        return np.argsort(group, kind="stable"), [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+
+    @staticmethod
+    def _joined(x: np.ndarray, mixed: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Of some inputs: themselves, what they have mixed in, and 1 for the bias."""
+        h = np.empty((len(some), 2 * DIM + 1), x.dtype)
+        h[:, :DIM], h[:, DIM : 2 * DIM], h[:, 2 * DIM] = x.reshape(-1, DIM).take(some, axis=0), mixed.reshape(-1, DIM).take(some, axis=0), 1
+        return h
+
+    def _members(self, group: int) -> slice:
+        """The columns of the members of a group."""
+        return slice(self.groups * (group + 1), self.groups * (group + 2))
+
+    def _parts(self, h: np.ndarray, parts: list[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
+        """Logits of the groups and of the members of the target's group, their exponentials, and the sums of those.
+
+        Rows stand by group, so each group's members are one product with the rows that need them."""
+        out, every = np.concatenate((self.w["out"], self.w["bias"][None])), np.ones(self.groups, h.dtype)
+        one, two = h @ out[:, : self.groups], np.empty((len(h), self.groups), h.dtype)
+        for group, a, b in parts:
+            np.matmul(h[a:b], out[:, self._members(group)], out=two[a:b])
         for shifted in (False, True):
             if shifted:
                 one, two = one - one.max(axis=1, keepdims=True), two - two.max(axis=1, keepdims=True)
@@ -116,66 +140,92 @@ class Attention:
         x += self.w["place"]
         mixed = self._mixed(x, x, np.arange(WINDOW))[-1]
         some = np.flatnonzero(counted)
-        target, n = target.ravel()[some], np.arange(len(some))
-        one, two, _, _, s, t = self._parts(np.concatenate((x.reshape(-1, DIM)[some], mixed.reshape(-1, DIM)[some]), axis=1), target)
-        return one[n, target // self.groups] + two[n, target % self.groups] - np.log(s * t)
-
-    def gradient(self, ids: np.ndarray, at: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-        """Mean loss of the targets at the places ``at`` of each window, its gradients (of the embedding: by input), and the inputs."""
+        target = target.ravel()[some]
+        order, parts = self._by_group(target)
+        some, target, n = some[order], target[order], np.arange(len(some))
+        one, two, _, _, s, t = self._parts(self._joined(x, mixed, some), parts)
+        out = np.empty(len(some), x.dtype)
+        out[order] = one[n, target // self.groups] + two[n, target % self.groups] - np.log(s * t)
+        return out
+
+    def gradient(self, ids: np.ndarray, at: np.ndarray | None, target: np.ndarray, weight: np.ndarray, with_loss: bool = True) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+        """Mean loss (on demand) of the targets at the places ``at`` of each window (none given: at all of its places), its gradients
+        (of the embedding: by input), and the inputs."""
         w, G = self.w, self.groups
-        x = w["embed"].take(ids, axis=0) + w["place"]
+        x = w["embed"].take(ids, axis=0)
+        x += w["place"]
         each = np.arange(len(ids))[:, None]
-        xq = x[each, at]
-        q, k, v, a, sums, mixed = self._mixed(x, xq, at)
-        a /= sums
-        h = np.concatenate((xq, mixed), axis=2).reshape(-1, 2 * DIM)
-        target, weight, n = target.ravel(), weight.ravel(), np.arange(target.size)
-        _, _, one, two, s, t = self._parts(h, target)
-        one /= s[:, None]
-        two /= t[:, None]
+        xq = x if at is None else x[each, at]
+        q, k, ones, a, sums, mixed = self._mixed(x, xq, np.arange(WINDOW) if at is None else at)
+        target, weight, rows = target.ravel(), weight.ravel(), target.size
+        some = np.flatnonzero(weight)  # what weighs nothing adds nothing
+        order, parts = self._by_group(target[some])
+        some = some[order]
+        target, weight, n = target[some], weight[some], np.arange(len(some))
+        h = self._joined(xq, mixed, some)
+        _, _, one, two, s, t = self._parts(h, parts)
         total = max(1.0, float(weight.sum()))
-        loss = float(-(np.log(one[n, target // G] * two[n, target % G]) * weight).sum() / total)
-        one[n, target // G] -= 1
-        two[n, target % G] -= 1
-        share = (weight / total)[:, None].astype(x.dtype)
-        dz = np.zeros((len(n), G + G * G), x.dtype)
-        dz[:, :G] = one * share
-        dz[:, G:].reshape(-1, G, G)[n, target // G] = two * share
-        g = {"out": h.T @ dz, "bias": dz.sum(0)}
-        dh = (dz @ w["out"].T).reshape(*at.shape, 2 * DIM)
-        dxq, dm = dh[..., :DIM].copy(), dh[..., DIM:]
-        da = a * (dm @ v.transpose(0, 2, 1) - (dm * mixed).sum(axis=2, keepdims=True))
-        dq = (da @ k) * np.asarray(DIM**-0.5, x.dtype)
-        dpair = np.concatenate((da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm), axis=2)
+        group, member, share = target // G, target % G, (weight / total).astype(x.dtype)
+        loss = float(-(np.log(one[n, group] / s * (two[n, member] / t)) * weight).sum() / total) if with_loss else 0.0
+        one *= (share / s)[:, None]
+        two *= (share / t)[:, None]
+        one[n, group] -= share
+        two[n, member] -= share
+        both = np.zeros((2 * DIM + 1, G + G * G), x.dtype)
+        both[:, :G] = h.T @ one
+        dh = np.zeros((len(some) + 1, 2 * DIM), x.dtype)  # the last row: of what weighs nothing
+        np.matmul(one, w["out"][:, :G].T, out=dh[:-1])
+        for group, first, end in parts:
+            columns = self._members(group)
+            dh[first:end] += two[first:end] @ w["out"][:, columns].T
+            both[:, columns] = h[first:end].T @ two[first:end]
+        g = {"out": both[:-1], "bias": both[-1]}
+        where = np.full(rows, len(some))
+        where[some] = n
+        dh = dh.take(where, axis=0).reshape(*xq.shape[:2], 2 * DIM)
+        dxq, dm = dh[..., :DIM].copy(), np.empty((*xq.shape[:2], DIM + 1), x.dtype)
+        np.divide(dh[..., DIM:], sums, out=dm[..., :DIM])  # the weights' own division
+        np.einsum("nid,nid->ni", dm[..., :DIM], -mixed, out=dm[..., DIM])
+        da = dm @ ones.transpose(0, 2, 1)
+        da *= a
+        dq = da @ k
+        dq *= np.asarray(DIM**-0.5, x.dtype)
+        dpair = np.concatenate((da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm[..., :DIM]), axis=2)
         g["query"] = xq.reshape(-1, DIM).T @ dq.reshape(-1, DIM)
         g["pair"] = x.reshape(-1, DIM).T @ dpair.reshape(-1, 2 * DIM)
         dxq += dq @ w["query"].T
         dx = dpair @ w["pair"].T
-        dx[each, at] += dxq  # places repeat only with weight 0, before the one that counts
+        if at is None:
+            dx += dxq
+        else:
+            dx[each, at] += dxq  # places repeat only with weight 0, before the one that counts
         g["place"] = dx.sum(0)
         return loss, g, dx.reshape(-1, DIM)
 
     def train(self, blocks: Iterator[tuple[np.ndarray, ...]], rate: float, batch: int = 512, seed: int = 5) -> tuple[np.ndarray, int]:
         """Steps over all windows of the blocks; how often each piece was an input, and the number of inputs."""
         r, m = np.random.default_rng(seed), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items() if k != "embed"}
+        narrow = np.uint16 if len(self.w["embed"]) <= 1 << 16 else np.int32  # 16 bits are sorted by radix
         step, read, squares = 0, np.zeros(len(self.w["embed"]), dtype=np.int64), np.zeros(len(self.w["embed"]), np.float32)
         for ids, at, target, weight in blocks:
             order = r.permutation(len(ids))
             for i in range(0, len(ids), batch):
                 pick, step = order[i : i + batch], step + 1
-                _, grads, dx = self.gradient(ids[pick], at[pick], target[pick], weight[pick])
+                now = ids.take(pick, axis=0)
+                _, grads, dx = self.gradient(now, None if at is None else at[pick], target.take(pick, axis=0), weight.take(pick, axis=0), False)
                 for name, g in grads.items():
                     one, two = m[name]
                     one += np.float32(0.1) * (g - one)
                     two += np.float32(0.01) * (g * g - two)
                     self.w[name] = self.w[name] - np.float32(rate / (1 - 0.9**step)) * one / (np.sqrt(two * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-8))
-                flat = ids[pick].ravel()  # the embeddings that were read, each by its own sum of squares
-                by = np.argsort(flat, kind="stable")
-                first = np.flatnonzero(np.concatenate(([True], flat[by][1:] != flat[by][:-1])))
-                some, g = flat[by][first], np.add.reduceat(dx[by], first, axis=0)
-                squares[some] += (g * g).mean(axis=1)
+                flat = now.ravel()  # the embeddings that were read, each by its own sum of squares
+                by = np.argsort(flat.astype(narrow), kind="stable")
+                flat = flat.take(by)
+                first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+                some, g = flat[first], np.add.reduceat(dx.take(by, axis=0), first, axis=0)
+                squares[some] += np.einsum("nd,nd->n", g, g) / np.float32(DIM)
                 self.w["embed"][some] -= np.float32(4 * rate) * g / (np.sqrt(squares[some]) + np.float32(1e-8))[:, None]
-            inputs = np.arange(WINDOW) <= at[:, -1:]
+            inputs = weight > 0 if at is None else np.arange(WINDOW) <= at[:, -1:]
             read += np.bincount(ids[inputs], minlength=len(read))
         return read, int(read.sum())
 
@@ -226,9 +276,13 @@ class Scorer:
         self.net.w = weights
 
     def score(self, buf: np.ndarray, offsets: np.ndarray, group: int = 512) -> np.ndarray:
-        p = self.encoder.pieces
         ids, at, _ = self.encoder.encode(_NORMAL[buf], offsets)
-        out = np.zeros(len(offsets) - 1)
+        return self.score_ids(ids, at, group)
+
+    def score_ids(self, ids: np.ndarray, at: np.ndarray, group: int = 512) -> np.ndarray:
+        """The same of texts whose pieces are at hand (``at``: where each text's begin, one more at the end)."""
+        p = self.encoder.pieces
+        out = np.zeros(len(at) - 1)
         inputs, targets, counted, row = layout(ids.astype(np.int64), at, p.bos, p.eos)
         for i in range(0, len(row), group):
             y, c = targets[i : i + group], counted[i : i + group]
@@ -241,18 +295,47 @@ def in_fold(key: str, fold: int, fold_of: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % fold_of == fold, F.lit(False))
 
 
+def piece_runs(batch: pa.RecordBatch, encoder: SP.Encoder) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, where each text's begin and one more) of the runs of texts of a batch, or of the blocks that hold them encoded."""
+    if "ids" in batch.schema.names:
+        for ids, sizes, ends in zip(*(batch.column(c).to_pylist() for c in ("ids", "n_ids", "runs"))):
+            at, ends = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, "<i8")))), np.frombuffer(ends, "<i8").tolist()
+            ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), _ids_kind(encoder.pieces.n))
+            for i, j in zip([0, *ends], ends):
+                yield ids[at[i] : at[j]].astype(np.int64), at[i : j + 1] - at[i]
+    else:
+        buf, offsets = B.text_bytes(batch.column("text"))
+        for i, j in B.blocks(offsets):
+            ids, at, _ = encoder.encode(_NORMAL[buf[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])
+            yield ids.astype(np.int64), at
+
+
+def _ids_kind(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def runs_of_blocks(offsets: np.ndarray, limit: int) -> Iterator[list[tuple[int, int]]]:
+    """Blocks of whole runs of rows, of at most ``limit`` bytes each, or of one longer run."""
+    block: list[tuple[int, int]] = []
+    for i, j in B.blocks(offsets, min(limit, B.BLOCK)):
+        if block and offsets[j] - offsets[block[0][0]] > limit:
+            yield block
+            block = []
+        block.append((i, j))
+    if block:
+        yield block
+
+
 def piece_counts(texts: DataFrame, shared, vocabulary: int) -> np.ndarray:
-    """How often each piece, and the end, occurs in all texts; the result is as long as the vocabulary."""
+    """How often each piece, and the end, occurs in all texts (or their blocks); the result is as long as the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, dtype=np.int64)
         encoder = SP._encoder(shared.value, False)
         for batch in batches:
-            buf, offsets = B.text_bytes(batch.column(0))
-            for i, j in B.blocks(offsets):
-                ids = encoder.encode(_NORMAL[buf[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])[0]
+            for ids, at in piece_runs(batch, encoder):
                 total += np.bincount(ids, minlength=vocabulary)
-            total[encoder.pieces.eos] += len(batch)
+                total[encoder.pieces.eos] += len(at) - 1
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
@@ -268,7 +351,7 @@ SHARES = 1024  # groups of tasks whose sums are added first
 
 
 def fitted(texts: DataFrame, shared, counts: np.ndarray, epochs: int, sample: int | None = None, rate: float = 0.01) -> Attention:
-    """The network, trained on all rows of ``texts`` (key, text), or on a sample of them."""
+    """The network, trained on all rows of ``texts`` (key, text; or blocks that hold them encoded), or on a sample of them (by key)."""
     spark, classes = texts.sparkSession, Classes(counts)
     net = Attention(len(classes.of))
     if sample is not None:
@@ -280,12 +363,9 @@ def fitted(texts: DataFrame, shared, counts: np.ndarray, epochs: int, sample: in
         def windows_of(batches: Iterator[pa.RecordBatch], of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             encoder = SP._encoder(shared.value, False)
             for batch in batches:
-                buf, offsets = B.text_bytes(batch.column(0))
-                for i, j in B.blocks(offsets):
-                    ids, at, _ = encoder.encode(_NORMAL[buf[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])
-                    x, y, c, _ = layout(ids.astype(np.int64), at, encoder.pieces.bos, encoder.pieces.eos, WINDOW)
-                    places, weight = last_places(c, WINDOW)  # all
-                    yield x, places, np.take_along_axis(of[y], places, 1), weight
+                for ids, at in piece_runs(batch, encoder):
+                    x, y, c, _ = layout(ids, at, encoder.pieces.bos, encoder.pieces.eos, WINDOW)
+                    yield x, None, of[y], c.astype(np.float32)  # at all places
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, of = now.value
@@ -309,7 +389,7 @@ def fitted(texts: DataFrame, shared, counts: np.ndarray, epochs: int, sample: in
     schema = "part long, share long, sums binary"
     for p in range(epochs):
         now = spark.sparkContext.broadcast((net.w, classes.of))  # as long as the vocabulary
-        sums = texts.select("text").mapInArrow(run(now, rate * (epochs - p) / epochs), schema)
+        sums = texts.drop("key").mapInArrow(run(now, rate * (epochs - p) / epochs), schema)
         sums = sums.groupBy("part", "share").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema).collect()
         w = {k: v.astype(np.float64) for k, v in net.w.items()}
         for r in sums:
@@ -345,38 +425,46 @@ def lm_scores(spark: SparkSession, docs: DataFrame, model: bytes, key: str = "do
     B.batch_rows(spark, 4000)  # a block of words is at most one batch
     vocabulary = len(SP._encoder(model, False).pieces.kinds)
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), in_fold(key, fold, fold_of).alias("held"))
-    counts = piece_counts(texts.where("not held").select("text"), shared, vocabulary)
-    net = fitted(texts.where("not held").select("key", "text"), shared, counts, epochs, sample)
-    weights = spark.sparkContext.broadcast((net.w, counts))  # as long as the vocabulary
 
     def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, n = Scorer(shared.value, *weights.value), 0
+        encoder, n = SP._encoder(shared.value, False), 0
         for batch in batches:
             buf, offsets = B.text_bytes(batch.column(1))
-            held = batch.column(2).to_numpy(zero_copy_only=False)
-            for i, j in B.blocks(offsets, block_bytes):
-                inner, at = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                score = np.concatenate([scorer.score(inner[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in B.blocks(at)])
-                words, first = [], [np.zeros(1, np.int64)]
-                for a, b in B.blocks(at):
-                    part = B.LOWER[inner[at[a] : at[b]]]
-                    starts, ends, of_row = B.word_spans(part, at[a : b + 1] - at[a])
+            held = bool(len(batch)) and batch.column(2)[0].as_py()  # one of the two parts of the table
+            for runs in runs_of_blocks(offsets, block_bytes):
+                i, j = runs[0][0], runs[-1][1]
+                words, first, ids, sizes = [], [np.zeros(1, np.int64)], [], []
+                for a, b in runs:
+                    part, at = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                    pieces, of_text, _ = encoder.encode(_NORMAL[part], at)
+                    ids.append(pieces.astype(_ids_kind(encoder.pieces.n)))
+                    sizes.append(np.diff(of_text))
+                    part = B.LOWER[part]
+                    starts, ends, of_row = B.word_spans(part, at)
                     words.append(B.span_hashes(part, starts, ends))
                     first.append(of_row[1:] + first[-1][-1])
                 words, first = np.concatenate(words), np.concatenate(first)
-                known, local = np.unique(words, return_inverse=True)
-                train = np.bincount(local, weights=np.repeat(~held[i:j], np.diff(first)), minlength=len(known))
+                table = pa.array(words).dictionary_encode()
+                known, local = table.dictionary.to_numpy(), table.indices.to_numpy()
+                train = np.zeros(len(known), np.int64) if held else np.bincount(local, minlength=len(known))
                 block = TaskContext.get().partitionId() << 32 | n
                 n += 1
-                one = [pa.array([block]), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i)),
-                       *[pa.array([x], pa.binary()) for x in (held[i:j].astype(np.uint8).tobytes(), np.diff(first).astype("<i8").tobytes(), score.astype("<f8").tobytes(),
-                                                             _packed(local, "<u4"), known.astype("<u8").tobytes(), _packed(train, "<u4"))]]
+                one = [pa.array([block]), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i)), pa.array([held]),
+                       *[pa.array([x], pa.binary()) for x in (np.diff(first).astype("<i8").tobytes(), _packed(local, "<u4"), known.astype("<u8").tobytes(), _packed(train, "<u4"),
+                                                             zstandard.ZstdCompressor(level=3).compress(np.concatenate(ids).tobytes()), np.concatenate(sizes).astype("<i8").tobytes(),
+                                                             (np.array([b for _, b in runs]) - i).astype("<i8").tobytes())]]
                 yield pa.record_batch(one, names=names)
 
-    names = ["block", "keys", "held", "n_words", "score", "words", "known", "train"]
+    names = ["block", "keys", "held", "n_words", "words", "known", "train", "ids", "n_ids", "runs"]
     key_type = docs.schema[key].dataType
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(key_type)), *[T.StructField(c, T.BinaryType()) for c in names[2:]]])
-    blocks = written(spark, texts.mapInArrow(block_rows, schema), "blocks")
+    head = [T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(key_type)), T.StructField("held", T.BooleanType())]
+    binary = lambda *of: [T.StructField(c, T.BinaryType()) for c in of]
+    parts = texts.where("not held").mapInArrow(block_rows, T.StructType(head + binary(*names[3:]))).union(texts.where("held").mapInArrow(block_rows, T.StructType(head + binary(*names[3:]))))
+    blocks = written(spark, parts, "blocks")  # the texts are encoded here and nowhere else
+    encoded = blocks.where("not held").select("ids", "n_ids", "runs")
+    counts = piece_counts(encoded, shared, vocabulary)
+    net = fitted(encoded if sample is None else texts.where("not held").select("key", "text"), shared, counts, epochs, sample)
+    weights = spark.sparkContext.broadcast((net.w, counts))  # as long as the vocabulary
 
     def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -391,6 +479,17 @@ def lm_scores(spark: SparkSession, docs: DataFrame, model: bytes, key: str = "do
     tokens, types = of_words[0] + trained, of_words[1] + (trained > 0)
     news = words.join(corpus, "h").where("c <> n").select("block", "i", "c")
 
+    def score_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value, *weights.value)
+        for batch in batches:
+            for k in range(len(batch)):
+                one = batch.slice(k, 1)
+                score = [scorer.score_ids(ids, at) for ids, at in piece_runs(one, scorer.encoder)]
+                yield pa.record_batch([*one.columns[:6], pa.array([np.concatenate(score).astype("<f8").tobytes()], pa.binary())], names=scored)
+
+    scored = ["block", "keys", "held", "n_words", "words", "train", "score"]
+    left = blocks.select(*scored[:6], "ids", "n_ids", "runs").mapInArrow(score_rows, T.StructType(head + binary(*scored[3:])))
+
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for r in left.to_pylist():
@@ -401,7 +500,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, model: bytes, key: str = "do
             log = np.log10((c + 1) / (tokens + types + 1))
             base = np.bincount(row, weights=log[local], minlength=len(size)) + math.log10((trained + 1) / (tokens + types + 1))
             seen = np.bincount(row, weights=(c > 0)[local], minlength=len(size)).astype(np.int64) + (trained > 0)
-            out.append(pa.table([pa.array(r["keys"], left.schema.field("keys").type.value_type), pa.array(np.frombuffer(r["held"], np.uint8).astype(bool)), pa.array(size + 1), pa.array(seen),
+            out.append(pa.table([pa.array(r["keys"], left.schema.field("keys").type.value_type), pa.array(np.full(len(size), r["held"])), pa.array(size + 1), pa.array(seen),
                                  pa.array(np.full(len(size), tokens)), pa.array(base), pa.array(np.frombuffer(r["score"], "<f8"))], names=result.names))
         return pa.concat_tables(out) if out else pa.schema([(f, t) for f, t in empty]).empty_table()
 
@@ -410,4 +509,4 @@ def lm_scores(spark: SparkSession, docs: DataFrame, model: bytes, key: str = "do
     from pyspark.sql.pandas.types import to_arrow_type
 
     empty = [(f.name, to_arrow_type(f.dataType)) for f in result.fields]
-    return blocks.groupBy("block").cogroup(news.groupBy("block")).applyInArrow(finish, result).withColumnRenamed("key", key)
+    return left.groupBy("block").cogroup(news.groupBy("block")).applyInArrow(finish, result).withColumnRenamed("key", key)

@@ -285,7 +285,7 @@ class Encoder:
         keys = B.span_hashes(buf, body, ends)
         found, hit = self.cache.find(keys)
         at = np.searchsorted(starts, offsets)
-        if self.used > self.keep // 2:
+        if self.used > self.keep * 7 // 8:
             self.cache.clear()
             self.used, hit = 0, np.zeros(len(keys), dtype=bool)
         value = np.where(hit, found, 0)

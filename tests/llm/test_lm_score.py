@@ -133,3 +133,52 @@ def test_every_input_is_a_target_of_training():
     at, weight = L.last_places(counted, L.WINDOW)
     assert weight.sum() == counted.sum() == size.sum() + len(size)
     assert all(sorted(a[w > 0]) == np.flatnonzero(c).tolist() for a, w, c in zip(at, weight, counted))
+
+
+def test_all_places_in_order_give_the_same_gradient():
+    r = np.random.default_rng(4)
+    net = L.Attention(12, 3)
+    net.w = {k: r.standard_normal(v.shape) for k, v in net.w.items()}
+    x, y = r.integers(0, 12, (4, L.WINDOW)), r.integers(0, 9, (4, L.WINDOW))
+    counted = np.arange(L.WINDOW) < np.array([[L.WINDOW], [2], [9], [L.WINDOW]])
+    at, weight = L.last_places(counted, L.WINDOW)
+    one, two = net.gradient(x, at, np.take_along_axis(y, at, 1), weight), net.gradient(x, None, y, counted.astype(float))
+    assert abs(one[0] - two[0]) < 1e-12 and np.allclose(one[2], two[2])
+    assert all(np.allclose(one[1][k], two[1][k]) for k in one[1])
+
+
+def test_one_window_beyond_the_range_of_exponentials():
+    """It is done again by its maximum; the others keep their numbers."""
+    r = np.random.default_rng(5)
+    net = L.Attention(12, 3)
+    net.w = {k: r.standard_normal(v.shape) * 0.5 for k, v in net.w.items()}
+    net.w["embed"][0] *= 400
+    x, y = r.integers(1, 12, (4, L.WINDOW)), r.integers(0, 9, (4, L.WINDOW))
+    x[2, 3] = 0
+    every = np.ones(x.shape, bool)
+    assert np.allclose(net.log_probability(x, y, every).reshape(x.shape), _plain(net, x, y))
+    rest = [0, 1, 3]
+    assert np.array_equal(net._mixed(*[net.w["embed"][x] + net.w["place"]] * 2, np.arange(L.WINDOW))[3][rest],
+                          net._mixed(*[net.w["embed"][x[rest]] + net.w["place"]] * 2, np.arange(L.WINDOW))[3])
+
+
+def test_texts_are_encoded_once(spark):
+    """Counting, training and scoring read the pieces of the blocks: the table is read for its training rows and for the others."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(i, f"one two {i % 9}") for i in range(300)], "doc_id long, text string").mapInArrow(count, "doc_id long, text string")
+    assert L.lm_scores(spark, docs, vocabulary("piece_bpe_32k.model"), block_bytes=1 << 9).count() == 300
+    assert seen.value == 2 * 300
+
+
+def test_blocks_hold_whole_runs():
+    offsets = np.concatenate(([0], np.cumsum([400, 300, 200, 5000, 10, 600, 600])))
+    blocks = list(L.runs_of_blocks(offsets, 1000))
+    assert [r for b in blocks for r in b] == list(B.blocks(offsets, 1000))
+    assert all(len(b) == 1 or offsets[b[-1][1]] - offsets[b[0][0]] <= 1000 for b in blocks)
+    assert [len(b) for b in L.runs_of_blocks(np.arange(9) * (B.BLOCK // 2), 2 * B.BLOCK)] == [2, 2]
