@@ -446,11 +446,14 @@ def lm_scores(spark: SparkSession, docs: DataFrame, model: bytes, key: str = "do
                 words, first = np.concatenate(words), np.concatenate(first)
                 table = pa.array(words).dictionary_encode()
                 known, local = table.dictionary.to_numpy(), table.indices.to_numpy()
-                train = np.zeros(len(known), np.int64) if held else np.bincount(local, minlength=len(known))
+                size = np.bincount(local, minlength=len(known))
+                order, place = np.argsort(-size, kind="stable"), np.empty(len(size), np.int64)
+                place[order] = np.arange(len(size))  # frequent words have small numbers
+                train = np.zeros_like(size) if held else size[order]
                 block = TaskContext.get().partitionId() << 32 | n
                 n += 1
                 one = [pa.array([block]), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i)), pa.array([held]),
-                       *[pa.array([x], pa.binary()) for x in (np.diff(first).astype("<i8").tobytes(), _packed(local, "<u4"), known.astype("<u8").tobytes(), _packed(train, "<u4"),
+                       *[pa.array([x], pa.binary()) for x in (np.diff(first).astype("<i8").tobytes(), _packed(place[local], "<u4"), known[order].astype("<u8").tobytes(), _packed(train, "<u4"),
                                                              zstandard.ZstdCompressor(level=3).compress(np.concatenate(ids).tobytes()), np.concatenate(sizes).astype("<i8").tobytes(),
                                                              (np.array([b for _, b in runs]) - i).astype("<i8").tobytes())]]
                 yield pa.record_batch(one, names=names)

@@ -90,3 +90,21 @@ def test_an_encoder_gets_bounded_runs_of_texts(spark):
     rows = sorted(tokenize.encode_with(df, sizes).collect())
     assert [r.doc_id for r in rows] == list(range(4000)) and rows[7].input_ids[1] >= 3_000_000
     assert all(r.input_ids[0] <= tokenize.ENCODE_ROWS and (r.input_ids[1] <= tokenize.ENCODE_BYTES or r.input_ids[0] == 1) for r in rows)
+
+
+def test_blocks_hold_a_bounded_number_of_tokens(spark, monkeypatch, tmp_path):
+    """What a task of Python holds follows neither the rows of an Arrow batch nor the table."""
+    docs = spark.range(1200, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7, F.repeat(F.lit(" of it"), 500)).alias("text"))
+    vocab = spark.createDataFrame([("of", 2), ("it", 3), *[(f"w{i}", 4 + i) for i in range(6)]], "token string, token_id int")
+    monkeypatch.setattr(tokenize, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        out = tokenize.encode_by_join(docs, vocab)
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+        blocks = spark.read.parquet(f"{tmp_path}/blocks").agg(F.max(F.octet_length("places")), F.sum(F.octet_length("places"))).first()
+        bad = out.where("size(input_ids) <> 1001 or input_ids[0] <> if(doc_id % 7 = 6, 0, 4 + doc_id % 7) or slice(input_ids, 2, 1000) <> flatten(array_repeat(array(2, 3), 500))").count()
+        assert bad == 0 and out.count() == 1200
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert blocks[0] <= 4 * 500_000 and blocks[1] == 4 * 1200 * 1001
