@@ -63,6 +63,11 @@ def _in_range(sums: np.ndarray) -> bool:
     return not sums.size or bool(sums.min() > 1e-15 and sums.max() < 1e15)  # NaN is neither
 
 
+def _keep_freed() -> None:
+    """Let the allocator keep what a step frees for the next one: it returns less after one such array was freed."""
+    np.empty(16 << 20, np.uint8)
+
+
 class Attention:
     """Weights, forward pass, and training by gradients of the class cross-entropy."""
 
@@ -205,6 +210,7 @@ class Attention:
     def train(self, blocks: Iterator[tuple[np.ndarray, ...]], rate: float, batch: int = 512, seed: int = 5) -> tuple[np.ndarray, int]:
         """Steps over all windows of the blocks; how often each piece was an input, and the number of inputs."""
         r, m = np.random.default_rng(seed), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items() if k != "embed"}
+        _keep_freed()
         narrow = np.uint16 if len(self.w["embed"]) <= 1 << 16 else np.int32  # 16 bits are sorted by radix
         step, read, squares = 0, np.zeros(len(self.w["embed"]), dtype=np.int64), np.zeros(len(self.w["embed"]), np.float32)
         for ids, at, target, weight in blocks:
@@ -428,6 +434,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, model: bytes, key: str = "do
 
     def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, n = SP._encoder(shared.value, False), 0
+        _keep_freed()
         for batch in batches:
             buf, offsets = B.text_bytes(batch.column(1))
             held = bool(len(batch)) and batch.column(2)[0].as_py()  # one of the two parts of the table
@@ -484,6 +491,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, model: bytes, key: str = "do
 
     def score_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, *weights.value)
+        _keep_freed()
         for batch in batches:
             for k in range(len(batch)):
                 one = batch.slice(k, 1)
