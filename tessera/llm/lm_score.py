@@ -81,26 +81,25 @@ class Attention:
     def _mixed(self, x: np.ndarray, xq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         """Queries from ``xq`` at the places ``at`` (a row for each window, or one for all) over the inputs ``x``."""
         w = self.w
-        q = xq @ (w["query"] * np.asarray(DIM**-0.5, w["query"].dtype))
-        pair = x @ w["pair"]
+        q = (xq.reshape(-1, DIM) @ (w["query"] * np.asarray(DIM**-0.5, w["query"].dtype))).reshape(xq.shape)
+        pair = (x.reshape(-1, DIM) @ w["pair"]).reshape(*x.shape[:2], 2 * DIM)
         k, v = pair[..., :DIM], pair[..., DIM:]
         seen = np.arange(WINDOW) <= at[..., None]
-        ones = np.empty((*v.shape[:2], DIM + 1), v.dtype)  # the last column of the product sums the weights
-        ones[..., :DIM], ones[..., DIM] = v, 1
+        ones = np.ones((WINDOW, DIM), v.dtype)  # sums of the weights, one for each column of what they mix: divided without broadcasting
         a = q @ k.transpose(0, 2, 1)
         with np.errstate(all="ignore"):
             np.exp(a, out=a)
-            a *= seen
-            mixed = a @ ones
-        sums = np.ascontiguousarray(mixed[..., DIM:])
+            a *= seen.astype(a.dtype)
+            mixed = a @ v
+            sums = (a.reshape(-1, WINDOW) @ ones).reshape(mixed.shape)
         if not _in_range(sums):  # again, by each row's maximum, the windows whose exponentials leave the range of 32-bit numbers
-            left = np.flatnonzero(~((sums > 1e-15) & (sums < 1e15)).all(axis=(1, 2)))
+            left = np.flatnonzero(~((sums[..., 0] > 1e-15) & (sums[..., 0] < 1e15)).all(axis=1))
             again = np.where(seen if seen.ndim == 2 else seen[left], q[left] @ k[left].transpose(0, 2, 1), -np.inf)
             again -= again.max(axis=2, keepdims=True)
             a[left] = np.exp(again)
-            mixed[left] = a[left] @ ones[left]
-            sums = np.ascontiguousarray(mixed[..., DIM:])
-        return q, k, ones, a, sums, mixed[..., :DIM] / sums
+            mixed[left], sums[left] = a[left] @ v[left], a[left] @ ones
+        mixed /= sums
+        return q, k, v, a, sums, mixed
 
     def _by_group(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """The order of the targets by their group, and (group, first, end) of the groups that occur."""
@@ -150,7 +149,8 @@ class Attention:
         some, target, n = some[order], target[order], np.arange(len(some))
         one, two, _, _, s, t = self._parts(self._joined(x, mixed, some), parts)
         out = np.empty(len(some), x.dtype)
-        out[order] = one[n, target // self.groups] + two[n, target % self.groups] - np.log(s * t)
+        n *= self.groups
+        out[order] = one.reshape(-1).take(n + target // self.groups) + two.reshape(-1).take(n + target % self.groups) - np.log(s * t)
         return out
 
     def gradient(self, ids: np.ndarray, at: np.ndarray | None, target: np.ndarray, weight: np.ndarray, with_loss: bool = True) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
@@ -161,7 +161,7 @@ class Attention:
         x += w["place"]
         each = np.arange(len(ids))[:, None]
         xq = x if at is None else x[each, at]
-        q, k, ones, a, sums, mixed = self._mixed(x, xq, np.arange(WINDOW) if at is None else at)
+        q, k, v, a, sums, mixed = self._mixed(x, xq, np.arange(WINDOW) if at is None else at)
         target, weight, rows = target.ravel(), weight.ravel(), target.size
         some = np.flatnonzero(weight)  # what weighs nothing adds nothing
         order, parts = self._by_group(target[some])
@@ -174,8 +174,9 @@ class Attention:
         loss = float(-(np.log(one[n, group] / s * (two[n, member] / t)) * weight).sum() / total) if with_loss else 0.0
         one *= (share / s)[:, None]
         two *= (share / t)[:, None]
-        one[n, group] -= share
-        two[n, member] -= share
+        for k1, first, end in parts:
+            one[first:end, k1] -= share[first:end]
+        two.reshape(-1)[n * G + member] -= share
         both = np.zeros((2 * DIM + 1, G + G * G), x.dtype)
         both[:, :G] = h.T @ one
         dh = np.zeros((len(some) + 1, 2 * DIM), x.dtype)  # the last row: of what weighs nothing
@@ -187,19 +188,22 @@ class Attention:
         g = {"out": both[:-1], "bias": both[-1]}
         where = np.full(rows, len(some))
         where[some] = n
-        dh = dh.take(where, axis=0).reshape(*xq.shape[:2], 2 * DIM)
-        dxq, dm = dh[..., :DIM].copy(), np.empty((*xq.shape[:2], DIM + 1), x.dtype)
-        np.divide(dh[..., DIM:], sums, out=dm[..., :DIM])  # the weights' own division
-        np.einsum("nid,nid->ni", dm[..., :DIM], -mixed, out=dm[..., DIM])
-        da = dm @ ones.transpose(0, 2, 1)
+        where *= 2  # halves of rows
+        halves = dh.reshape(-1, DIM)
+        dxq, dm = halves.take(where, axis=0).reshape(xq.shape), halves.take(where + 1, axis=0).reshape(xq.shape)
+        dm /= sums  # the weights' own division
+        da = dm @ v.transpose(0, 2, 1)
+        da -= np.einsum("nid,nid->ni", dm, mixed)[..., None]
         da *= a
         dq = da @ k
         dq *= np.asarray(DIM**-0.5, x.dtype)
-        dpair = np.concatenate((da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm[..., :DIM]), axis=2)
+        dpair = np.empty((*x.shape[:2], 2 * DIM), x.dtype)
+        np.matmul(da.transpose(0, 2, 1), q, out=dpair[..., :DIM])
+        np.matmul(a.transpose(0, 2, 1), dm, out=dpair[..., DIM:])
         g["query"] = xq.reshape(-1, DIM).T @ dq.reshape(-1, DIM)
         g["pair"] = x.reshape(-1, DIM).T @ dpair.reshape(-1, 2 * DIM)
-        dxq += dq @ w["query"].T
-        dx = dpair @ w["pair"].T
+        dxq += (dq.reshape(-1, DIM) @ w["query"].T).reshape(xq.shape)
+        dx = (dpair.reshape(-1, 2 * DIM) @ w["pair"].T).reshape(x.shape)
         if at is None:
             dx += dxq
         else:
@@ -242,7 +246,7 @@ class Classes:
     def __init__(self, counts: np.ndarray):
         smooth = counts + 1.0
         order = np.argsort(-smooth, kind="stable")
-        self.of = np.empty(len(counts), dtype=np.int64)
+        self.of = np.empty(len(counts), dtype=np.int16)
         self.of[order[:SINGLE]] = np.arange(min(SINGLE, len(order)))
         rest = smooth[order[SINGLE:]]
         share = (np.cumsum(rest) - rest) / max(1.0, rest.sum())
@@ -290,10 +294,12 @@ class Scorer:
         p = self.encoder.pieces
         out = np.zeros(len(at) - 1)
         inputs, targets, counted, row = layout(ids.astype(np.int64), at, p.bos, p.eos)
+        classes, inside, n = self.classes.of.take(targets), self.classes.inside.take(targets[counted]), counted.sum(axis=1)
+        ends = np.cumsum(n)
         for i in range(0, len(row), group):
-            y, c = targets[i : i + group], counted[i : i + group]
-            log = self.net.log_probability(inputs[i : i + group], self.classes.of[y], c).astype(np.float64) + self.classes.inside[y[c]]
-            out += np.bincount(np.repeat(row[i : i + group], c.sum(axis=1)), weights=log, minlength=len(out))
+            j = min(i + group, len(row))
+            log = self.net.log_probability(inputs[i:j], classes[i:j], counted[i:j]).astype(np.float64) + inside[ends[i] - n[i] : ends[j - 1]]
+            out += np.bincount(np.repeat(row[i:j], n[i:j]), weights=log, minlength=len(out))
         return out / math.log(10)
 
 

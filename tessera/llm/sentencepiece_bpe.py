@@ -86,6 +86,7 @@ class Pieces:
             while self._keys[slot] != -1:
                 slot += 1
             self._keys[slot], self._to[slot], self._rank[slot] = key, to, r
+        self._merge = np.where(self._rank < 0, -1, self._rank.astype(np.int64) << 40 | self._to)
 
         plain = [b"" if k == CONTROL else bytes([int(t[1:-1], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else t.replace(MARK, " ").encode()
                  for t, k in zip(texts, kinds)]
@@ -121,10 +122,12 @@ class Pieces:
 
     def encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all segments in a row, and how many each has."""
-        size = np.fromiter(map(len, segments), np.int64, len(segments))
-        chars = np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        return self.encode_chars(np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32), np.fromiter(map(len, segments), np.int64, len(segments)))
+
+    def encode_chars(self, chars: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of segments whose characters stand in a row; ``size``: how many each has."""
         symbol = self.of_char[chars].astype(np.int64)
-        segment = np.repeat(np.arange(len(segments)), size)
+        segment = np.repeat(np.arange(len(size)), size)
         long = size > LONG
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # place, symbol, segment
         place = np.arange(len(chars))
@@ -142,54 +145,57 @@ class Pieces:
         place, symbol, segment = place[order], symbol[order], segment[order]
         raw = symbol >= self.n
         if not raw.any():
-            return symbol, np.bincount(segment, minlength=len(segments))
+            return symbol, np.bincount(segment, minlength=len(size))
         own = [self.of_byte[list(chr(c).encode())] for c in chars[place[raw]]]
         width = np.ones(len(symbol), dtype=np.int64)
         width[raw] = [len(x) for x in own]
         ids = np.repeat(symbol, width)
         ids[np.repeat(raw, width)] = np.concatenate(own)
-        return ids, np.bincount(segment, weights=width, minlength=len(segments)).astype(np.int64)
+        return ids, np.bincount(segment, weights=width, minlength=len(size)).astype(np.int64)
 
-    def _ranks(self, symbol: np.ndarray, segment: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and result of the pairs that begin at the given places; rank -1: no merge."""
+    def _merges(self, symbol: np.ndarray, tag: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places among the given ones that have a symbol of their segment after them, and the merges of these two:
+        rank, how far left the place is, and result in one number; -1: no merge."""
         at = at[(at >= 0) & (at < len(symbol) - 1)]
-        at = at[segment[at] == segment[at + 1]]
-        slot = self.pair(symbol[at], symbol[at + 1])
-        return at, slot
+        own = tag[at]
+        inner = own >> 7 == tag[at + 1] >> 7
+        at, own = at[inner], own[inner]
+        return at, self._merge[self.pair(symbol[at], symbol[at + 1])] | (own & 127) << 32
 
     def _rounds(self, symbol: np.ndarray, segment: np.ndarray, place: np.ndarray, done: list) -> None:
-        rank = np.full(len(symbol), -1, dtype=np.int64)
-        to = np.zeros(len(symbol), dtype=np.int64)
-        at, slot = self._ranks(symbol, segment, np.arange(len(symbol)))
-        rank[at], to[at] = self._rank[slot], self._to[slot]
+        if not len(symbol):
+            return
+        first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+        size = np.diff(np.concatenate((first, [len(symbol)])))
+        begin = np.zeros(segment[-1] + 1, dtype=np.int64)  # of each segment, its first place
+        begin[segment[first]] = place[first]
+        tag = segment << 7 | LONG - (np.arange(len(symbol)) - np.repeat(first, size))  # the segment, and how far left in it
+        merge = np.full(len(symbol), -1, dtype=np.int64)
+        at, found = self._merges(symbol, tag, np.arange(len(symbol)))
+        merge[at] = found
         while len(symbol):
-            first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-            size = np.diff(np.concatenate((first, [len(symbol)])))
-            # the head of each agenda: the highest rank, of these the leftmost
-            head = np.maximum.reduceat(rank * (LONG + 1) + LONG - (np.arange(len(symbol)) - np.repeat(first, size)), first)
-            best = np.maximum.reduceat(rank, first)
-            live = best >= 0
+            head = np.maximum.reduceat(merge, first)  # of each agenda: the highest rank, of these the leftmost
+            live = head >= 0
             if not live.all():
-                ended = np.repeat(~live, size)
-                done.append((place[ended], symbol[ended], segment[ended]))
-                keep = ~ended
-                symbol, segment, place, rank, to = symbol[keep], segment[keep], place[keep], rank[keep], to[keep]
-                head, size = head[live], size[live]
-                best = best[live]
-                first = np.cumsum(size) - size
+                keep = np.repeat(live, size)
+                ended = tag[~keep]
+                done.append((begin[ended >> 7] + LONG - (ended & 127), symbol[~keep], ended >> 7))
+                symbol, tag, merge, head, size = symbol[keep], tag[keep], merge[keep], head[live], size[live]
                 if not len(symbol):
                     return
-            left = first + LONG - (head - best * (LONG + 1))
-            symbol[left] = to[left]
+            left = np.flatnonzero(merge == np.repeat(head, size))
+            symbol[left] = head & 0xFFFFFFFF
             keep = np.ones(len(symbol), dtype=bool)
             keep[left + 1] = False
-            symbol, segment, place, rank, to = symbol[keep], segment[keep], place[keep], rank[keep], to[keep]
-            left = left - np.arange(len(left))  # as many symbols before it have gone
+            symbol, tag, merge = symbol[keep], tag[keep], merge[keep]
+            size -= 1
+            first = np.cumsum(size) - size
+            left -= np.arange(len(left))  # as many symbols before it have gone
             touched = np.concatenate((left - 1, left))
             touched = touched[touched >= 0]
-            rank[touched] = -1
-            at, slot = self._ranks(symbol, segment, touched)
-            rank[at], to[at] = self._rank[slot], self._to[slot]
+            merge[touched] = -1
+            at, found = self._merges(symbol, tag, touched)
+            merge[at] = found
 
     def _heap(self, symbol: list[int]) -> tuple[list[int], list[int]]:
         """The agenda of one long segment as a heap: places and symbols that remain."""
@@ -242,6 +248,21 @@ class Pieces:
         return texts
 
 
+def segment_chars(buf: np.ndarray, body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of segments in a row and how many each has: a space mark, then the bytes from ``body`` to ``ends`` with marks for spaces."""
+    n = ends - body
+    total = np.concatenate(([0], np.cumsum(n)))
+    raw = buf[np.arange(total[-1]) + np.repeat(body - total[:-1], n)]
+    chars = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+    first = np.concatenate(([0], np.cumsum(raw & 0xC0 != 0x80)))[total]  # a character begins at each byte that continues none
+    out = np.empty(len(chars) + len(n), dtype=np.uint32)
+    inner = np.ones(len(out), dtype=bool)
+    mark = first[:-1] + np.arange(len(n))
+    inner[mark] = False
+    out[mark], out[inner] = ord(MARK), np.where(chars == 0x20, ord(MARK), chars)
+    return out, np.diff(first) + 1
+
+
 class Encoder:
     """Encodes blocks of texts; keeps the ids of recent segments in a table of bounded size."""
 
@@ -250,10 +271,12 @@ class Encoder:
         self.cache = B.SpanCache()
         self.ids, self.used = np.zeros(keep_ids, dtype=np.int32), 0
 
-    def _new(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, n = self.pieces.encode_segments(segments)
-        wrong = np.zeros(len(segments), dtype=np.int64)
+    def _new(self, buf: np.ndarray, body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, n = self.pieces.encode_chars(*segment_chars(buf, body, ends))
+        wrong = np.zeros(len(body), dtype=np.int64)
         if self.check:  # the library puts the first space mark there itself, but not before nothing
+            raw = buf.tobytes()
+            segments = [MARK + raw[a:b].decode("utf-8").replace(" ", MARK) for a, b in zip(body, ends)]
             lone = [self.pieces.library.piece_to_id(MARK)]
             theirs = [x or lone for x in self.pieces.library.encode([s[1:].replace(MARK, " ") for s in segments], num_threads=1)]
             m = np.fromiter(map(len, theirs), np.int64, len(theirs))
@@ -293,8 +316,8 @@ class Encoder:
         if not hit.all():
             missed = np.flatnonzero(~hit)
             new, first, back = np.unique(keys[missed], return_index=True, return_inverse=True)
-            raw, where = buf.tobytes(), missed[first]
-            ids, n, wrong = self._new([MARK + raw[a:b].decode("utf-8").replace(" ", MARK) for a, b in zip(body[where], ends[where])])
+            where = missed[first]
+            ids, n, wrong = self._new(buf, body[where], ends[where])
             ptr = np.concatenate(([0], np.cumsum(n)[:-1]))
             if self.used + len(ids) > len(self.ids):  # for this block only; nothing of it is kept
                 extra = np.concatenate((self.ids[: self.used], ids))

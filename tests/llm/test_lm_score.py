@@ -182,3 +182,42 @@ def test_blocks_hold_whole_runs():
     assert [r for b in blocks for r in b] == list(B.blocks(offsets, 1000))
     assert all(len(b) == 1 or offsets[b[-1][1]] - offsets[b[0][0]] <= 1000 for b in blocks)
     assert [len(b) for b in L.runs_of_blocks(np.arange(9) * (B.BLOCK // 2), 2 * B.BLOCK)] == [2, 2]
+
+
+def test_new_segments_need_no_strings(monkeypatch):
+    """Characters of all new segments of a block are taken at once."""
+    import pyarrow as pa
+
+    model = vocabulary("piece_bpe_32k.model")
+    texts = ["One two", "", " lead", "trail ", "many   spaces \n\tß漢😀x", "漢 字", None, "x" * 200 + " yz"]
+    buf, offsets = B.text_bytes(pa.array(texts))
+    encode_segments = SP.Pieces.encode_segments
+    monkeypatch.setattr(SP.Pieces, "encode_segments", None)
+    encoder = SP.Encoder(model, False)
+    ids, at, _ = encoder.encode(buf, offsets)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [encoder.pieces.library.encode(t or "") for t in texts]
+    body, ends = np.array([0, 7, 8, 12]), np.array([3, 7, 12, 18])  # one of them empty, one with a space
+    chars, size = SP.segment_chars(buf, body, ends)
+    strings = [SP.MARK + buf[a:b].tobytes().decode().replace(" ", SP.MARK) for a, b in zip(body, ends)]
+    assert size.tolist() == [len(s) for s in strings] and "".join(map(chr, chars)) == "".join(strings)
+    assert [x.tolist() for x in encoder.pieces.encode_chars(chars, size)] == [x.tolist() for x in encode_segments(encoder.pieces, strings)]
+
+
+def test_merges_in_rounds_equal_the_agenda_of_each_segment():
+    pieces = SP._encoder(vocabulary("piece_bpe_32k.model"), False).pieces
+    r = np.random.default_rng(6)
+    segments = [SP.MARK + "".join(r.choice(list("aaabcdeetinorsh"), k)) for k in r.integers(0, SP.LONG, 400)]
+    ids, n = pieces.encode_segments(segments)
+    own = [pieces._heap([int(pieces.of_char[ord(c)]) for c in s])[1] for s in segments]
+    assert n.tolist() == [len(x) for x in own] and ids.tolist() == sum(own, [])
+
+
+def test_weights_are_summed_for_each_column_of_what_they_mix():
+    """The division by the sums goes number by number; classes are numbers of 16 bits."""
+    r = np.random.default_rng(7)
+    net = L.Attention(12, 3)
+    x = net.w["embed"][r.integers(0, 12, (4, L.WINDOW))]
+    _, _, v, a, sums, mixed = net._mixed(x, x, np.arange(L.WINDOW))
+    assert sums.shape == mixed.shape == v.shape and np.allclose(sums, a.sum(axis=2, keepdims=True))
+    assert np.allclose(mixed, a / a.sum(axis=2, keepdims=True) @ v, atol=1e-6)
+    assert L.Classes(r.integers(0, 50, 200).astype(float)).of.dtype == np.int16
