@@ -322,6 +322,18 @@ def piece_runs(batch: pa.RecordBatch, encoder: SP.Encoder) -> Iterator[tuple[np.
             yield ids.astype(np.int64), at
 
 
+def word_hashes(buf: np.ndarray, body: np.ndarray, ends: np.ndarray, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and at which word each text begins (one more at the end), from the segments: each has one word at its end, or none."""
+    has = ends > body
+    has[has] = buf[ends[has] - 1] != 0x20
+    words = keys[has]
+    spaced = np.flatnonzero(buf[body[has]] == 0x20)  # these have more spaces than one, which their hashes hold
+    if len(spaced):
+        space, end = np.flatnonzero(buf == 0x20), ends[has][spaced]
+        words[spaced] = B.span_hashes(buf, space[np.searchsorted(space, end) - 1] + 1, end)
+    return words, np.concatenate(([0], np.cumsum(has)))[at]
+
+
 def _ids_kind(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
@@ -448,13 +460,14 @@ def lm_scores(spark: SparkSession, docs: DataFrame, model: bytes, key: str = "do
                 i, j = runs[0][0], runs[-1][1]
                 words, first, ids, sizes = [], [np.zeros(1, np.int64)], [], []
                 for a, b in runs:
-                    part, at = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                    pieces, of_text, _ = encoder.encode(_NORMAL[part], at)
+                    part, at = _NORMAL[buf[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
+                    plain, plain_at = SP.without_marks(part, at)
+                    found = SP.spans(plain, plain_at)
+                    pieces, of_text, _ = encoder.encode_spans(plain, *found)
                     ids.append(pieces.astype(_ids_kind(encoder.pieces.n)))
                     sizes.append(np.diff(of_text))
-                    part = B.LOWER[part]
-                    starts, ends, of_row = B.word_spans(part, at)
-                    words.append(B.span_hashes(part, starts, ends))
+                    hashes, of_row = word_hashes(part, *(found if plain is part else SP.spans(part, at)))
+                    words.append(hashes)
                     first.append(of_row[1:] + first[-1][-1])
                 words, first = np.concatenate(words), np.concatenate(first)
                 table = pa.array(words).dictionary_encode()

@@ -248,6 +248,30 @@ class Pieces:
         return texts
 
 
+def without_marks(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same texts with spaces for space marks; the given ones where they have none."""
+    if b"\xe2\x96\x81" not in buf.tobytes():
+        return buf, offsets
+    rows = [buf[a:b].tobytes().replace(b"\xe2\x96\x81", b" ") for a, b in zip(offsets[:-1], offsets[1:])]
+    return np.frombuffer(b"".join(rows), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+
+
+def spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts (after the space that each has), ends and hashes of all segments, and at which one each text begins (one more at the end)."""
+    space = buf == 0x20
+    begins = space.copy()
+    begins[1:] &= ~space[:-1]
+    filled = offsets[:-1][np.diff(offsets) > 0]
+    begins[filled] = True
+    starts = np.flatnonzero(begins)
+    ends = np.concatenate((starts[1:], [len(buf)])) if len(starts) else starts
+    fresh = np.zeros(len(buf) + 1, dtype=bool)
+    fresh[filled] = True
+    # the first segment of a text has one space more than its bytes show
+    body = np.where(fresh[starts], starts, starts + 1)
+    return body, ends, B.span_hashes(buf, body, ends), np.searchsorted(starts, offsets)
+
+
 def segment_chars(buf: np.ndarray, body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Characters of segments in a row and how many each has: a space mark, then the bytes from ``body`` to ``ends`` with marks for spaces."""
     n = ends - body
@@ -289,25 +313,12 @@ class Encoder:
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in a row, where each text's begin (one more at the end), corrections of each."""
-        if b"\xe2\x96\x81" in buf.tobytes():  # the space mark itself stands for a space
-            rows = [buf[a:b].tobytes().replace(b"\xe2\x96\x81", b" ") for a, b in zip(offsets[:-1], offsets[1:])]
-            offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
-            buf = np.frombuffer(b"".join(rows), dtype=np.uint8)
-        space = buf == 0x20
-        begins = space.copy()
-        begins[1:] &= ~space[:-1]
-        filled = offsets[:-1][np.diff(offsets) > 0]
-        begins[filled] = True
-        starts = np.flatnonzero(begins)
-        ends = np.concatenate((starts[1:], [len(buf)])) if len(starts) else starts
-        fresh = np.zeros(len(buf) + 1, dtype=bool)
-        fresh[filled] = True
-        # the first segment of a text has one space more than its bytes show
-        bare = fresh[starts]
-        body = np.where(bare, starts, starts + 1)
-        keys = B.span_hashes(buf, body, ends)
+        buf, offsets = without_marks(buf, offsets)
+        return self.encode_spans(buf, *spans(buf, offsets))
+
+    def encode_spans(self, buf: np.ndarray, body: np.ndarray, ends: np.ndarray, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of texts whose segments have been found."""
         found, hit = self.cache.find(keys)
-        at = np.searchsorted(starts, offsets)
         if self.used > self.keep * 7 // 8:
             self.cache.clear()
             self.used, hit = 0, np.zeros(len(keys), dtype=bool)

@@ -221,3 +221,18 @@ def test_weights_are_summed_for_each_column_of_what_they_mix():
     assert sums.shape == mixed.shape == v.shape and np.allclose(sums, a.sum(axis=2, keepdims=True))
     assert np.allclose(mixed, a / a.sum(axis=2, keepdims=True) @ v, atol=1e-6)
     assert L.Classes(r.integers(0, 50, 200).astype(float)).of.dtype == np.int16
+
+
+def test_words_of_segments_equal_words_of_texts(spark):
+    """Hashes of words are those that the encoder's segments have."""
+    import pyarrow as pa
+
+    texts = ["One two", "", " ", "   ", " lead", "\ttab\n\nlines  \r end ", None, "a", "ß 漢字   😀 ", "x" * 200 + " y z", "a▁b ▁", " ▁c"]
+    for some in (texts, texts[:10], texts[:1], [""], []):
+        buf, offsets = B.text_bytes(pa.array(some, pa.string()))
+        starts, ends, at = B.word_spans(B.LOWER[buf], offsets)
+        mine, my_at = L.word_hashes(L._NORMAL[buf], *SP.spans(L._NORMAL[buf], offsets))
+        assert np.array_equal(mine, B.span_hashes(B.LOWER[buf], starts, ends)) and np.array_equal(my_at, at)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    out = L.lm_scores(spark, spark.createDataFrame(rows, "doc_id long, text string"), vocabulary("piece_bpe_32k.model")).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == base(rows)
