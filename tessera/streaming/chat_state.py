@@ -31,14 +31,18 @@ FORGET_AFTER = "24 hours"
 def turn_effects(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, kind, breaks, sets, jumps, cycles): what each turn does to the session."""
     t = turns.withColumn("kind", turn_kind(F.col("role"), F.col("text")))
-    jump = stage_jump(F.col("kind"), F.col("text"))
+    # shared parts of the expressions below are computed for every row, so only texts of these commands are there to be split
+    t = t.withColumn("_command", F.when(F.col("kind").isin("mode", "switch"), F.col("text")))
+    jump = stage_jump(F.col("kind"), F.col("_command"))
     return t.select("conv_id", "turn", "kind", F.col("kind").isin("clear", "switch").cast("int").alias("breaks"),
-                    mode_value(F.col("kind"), F.col("text")).alias("sets"), jump.cast("double").alias("jumps"),
+                    mode_value(F.col("kind"), F.col("_command")).alias("sets"), jump.cast("double").alias("jumps"),
                     ((F.col("kind") == "switch") & jump.isNull()).cast("int").alias("cycles"))
 
 
 def _continued(rows: pd.DataFrame, segment: int, stage: int, locked: str | None) -> pd.DataFrame:
-    """The session at each of the turns, given where it stood before them (columns as turn_effects makes them)."""
+    """The session at each of the turns, given where it stood before them (columns as turn_effects makes them).
+
+    For tests: the column form of what the loops over a conversation's turns compute."""
     jumps = rows["jumps"]
     since = rows["cycles"].groupby(jumps.notna().cumsum()).cumsum()
     before = rows["sets"].shift(1)
